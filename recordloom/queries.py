@@ -55,8 +55,7 @@ def _side(name):
 
 def ks_key(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, 12).alias("p"))
-    out = vectors.select("vec_id", K.profile_to_key("p").alias("r")).select("vec_id", "r.*")
-    return out.withColumns({"confidence": F.round("confidence", 2), "correlation": F.round("correlation", 3)})
+    return vectors.select("vec_id", K.profile_to_key("p").alias("r")).select("vec_id", "r.*")
 
 
 def profiles(spark, sf):
