@@ -28,9 +28,10 @@ MAX_BITS = 2
 #: Fingerprints that the tree of vantage points is built from, at most.
 SAMPLE = 1 << 16
 #: Fingerprints of a shard, about; past SHARD_MAX a shard is dealt out by midpoints.
-SHARD = 1 << 11
+SHARD = 1 << 13
 SHARD_MAX = 1 << 15
-SMALL = 128
+#: Fingerprints that are compared each with each, without a tree.
+SMALL = 1 << 10
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
@@ -103,19 +104,16 @@ def distances(prints: np.ndarray, point) -> np.ndarray:
 
 def choose_split(prints: np.ndarray, bits: int) -> tuple[int, int] | None:
     """Vantage point and radius with a small larger side; None where none makes it less than 0.85 of the whole."""
-    best = None
+    best, n = None, len(prints)
     for k in range(8):
-        point = int(prints[(len(prints) * k) // 8])
-        shells = np.bincount(distances(prints, point), minlength=65)
-        inside = np.cumsum(shells)
-        for radius in range(64):
-            if inside[radius] in (0, len(prints)):
-                continue
-            outside = len(prints) - (inside[radius - bits] if radius >= bits else 0)
-            larger, copies = max(inside[radius], outside), inside[radius] + outside - len(prints)
-            score = larger + 0.5 * copies
-            if larger < 0.85 * len(prints) and (best is None or score < best[0]):
-                best = (score, point, radius)
+        point = int(prints[(n * k) // 8])
+        inside = np.cumsum(np.bincount(distances(prints, point), minlength=65))[:64]
+        outside = n - np.concatenate((np.zeros(bits, dtype=np.int64), inside[: 64 - bits]))
+        larger = np.maximum(inside, outside)
+        score = np.where((inside > 0) & (inside < n) & (larger < 0.85 * n), 0.5 * (inside + outside - n) + larger, np.inf)
+        radius = int(score.argmin())
+        if score[radius] < np.inf and (best is None or score[radius] < best[0]):
+            best = (score[radius], point, radius)
     return best and best[1:]
 
 
@@ -184,32 +182,36 @@ def midpoints(prints: np.ndarray, flips: int) -> np.ndarray:
     return prints[None, :] ^ np.array(masks, dtype=np.uint64)[:, None]
 
 
+def _link_rows(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest) -> None:
+    """Links of each row to the later ones that aren't in its tree yet; one step a row, however many links there are."""
+    own = prints[rows]
+    label = np.array([forest.find(r) for r in rows.tolist()])
+    for a in range(len(rows) - 1):
+        near = np.bitwise_count(own[a + 1 :] ^ own[a]) <= bits
+        near &= label[a + 1 :] != label[a]
+        while near.any():
+            b = a + 1 + int(near.argmax())
+            forest.join(int(rows[a]), int(rows[b]))
+            label[label == label[b]] = label[a]
+            near &= label[a + 1 :] != label[a]
+
+
 def _link_dense(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest) -> None:
     """Links where no vantage point divides: two prints up to an even number of bits apart have a midpoint at half of
-    it, and prints around one midpoint are that near; so each print joins the first that has the same midpoint."""
-    if bits % 2:
-        for a in range(len(rows)):
-            for b in np.flatnonzero(distances(prints[rows[a + 1 :]], prints[rows[a]]) <= bits):
-                forest.join(int(rows[a]), int(rows[a + 1 + b]))
-        return
-    step = max(1, 2_000_000 // len(rows))
+    it, and prints around one midpoint are that near; so neighbours in the order of midpoints join.  For an odd number
+    the links of its last bit follow row by row."""
     around = midpoints(np.zeros(1, dtype=np.uint64), bits // 2)[:, 0]
-    first: dict[int, int] = {}
-    if len(around) <= step:
+    n = len(rows)
+    if len(around) * n <= 20_000_000:
         hubs = (prints[rows][None, :] ^ around[:, None]).ravel()
         order = np.argsort(hubs, kind="stable")
         same = hubs[order][1:] == hubs[order][:-1]
-        n = len(rows)
-        for a, b in zip((order[:-1][same] % n).tolist(), (order[1:][same] % n).tolist(), strict=True):
-            forest.join(int(rows[a]), int(rows[b]))
-        return
-    for start in range(0, len(rows), max(1, 2_000_000 // len(around))):
-        part = rows[start : start + max(1, 2_000_000 // len(around))]
-        for row, hubs in zip(part.tolist(), (prints[part][:, None] ^ around[None, :]).tolist(), strict=True):
-            for hub in hubs:
-                other = first.setdefault(hub, row)
-                if other != row:
-                    forest.join(other, row)
+        a, b = order[:-1][same] % n, order[1:][same] % n
+        for pair in np.unique(np.minimum(a, b) * n + np.maximum(a, b)).tolist():
+            forest.join(int(rows[pair // n]), int(rows[pair % n]))
+        if bits % 2 == 0:
+            return
+    _link_rows(prints, rows, bits, forest)
 
 
 def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -220,10 +222,14 @@ def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
         rows = stack.pop()
         own = prints[rows]
         if len(rows) <= SMALL:
-            near = np.bitwise_count(own[:, None] ^ own[None, :]) <= bits
-            a, b = np.nonzero(np.triu(near, 1))
-            for x, y in zip(rows[a].tolist(), rows[b].tolist(), strict=True):
-                forest.join(x, y)
+            for start in range(0, len(rows), 128):
+                a, b = np.nonzero(np.bitwise_count(own[start : start + 128, None] ^ own[None, start:]) <= bits)
+                later = b > a
+                if later.sum() > 4 * len(rows):  # a dense block
+                    _link_rows(prints, rows, bits, forest)
+                    break
+                for x, y in zip(rows[start + a[later]].tolist(), rows[start + b[later]].tolist(), strict=True):
+                    forest.join(x, y)
             continue
         split = choose_split(own, bits)
         if split is None:
@@ -288,15 +294,21 @@ def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMP
 
 
 def _links_of_large(routed: DataFrame, bits: int, schema: T.StructType) -> DataFrame:
-    """Links of shards that no vantage point divides and that are too large for a task: each print goes to all its
-    midpoints, which are dealt over all tasks; see _link_dense.  For odd ``bits`` the midpoints of one bit more."""
-    masks = midpoints(np.zeros(1, dtype=np.uint64), (bits + 1) // 2)[:, 0].view(np.int64).tolist()
-    spread = routed.select("shard", "fp", "node", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-    hubs = spread.select("shard", F.col("fp").bitwiseXOR(F.col("mask")).alias("hub"), "fp", "node")
-    firsts = hubs.groupBy("shard", "hub").agg(F.min(F.struct("node", "fp")).alias("first"))
-    met = hubs.join(firsts, ["shard", "hub"]).where(F.col("node") != F.col("first.node"))
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("first.fp"))) <= bits
-    return met.where(near).select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct().to(schema)
+    """Links of shards that no vantage point divides and that are too large for a task.
+
+    Each print goes to its midpoints within half of ``bits``, and is linked to the first one there.  For odd ``bits``
+    each also goes to those one bit farther, and is linked to the first of the nearer ones there: of two prints that
+    many bits apart, one is near a midpoint and the other one bit farther.
+    """
+    def spread(flips: int) -> DataFrame:
+        masks = midpoints(np.zeros(1, dtype=np.uint64), flips)[:, 0].view(np.int64).tolist()
+        rows = routed.select("shard", "fp", "node", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
+        return rows.select("shard", F.col("fp").bitwiseXOR(F.col("mask")).alias("hub"), "node")
+
+    near, far = spread(bits // 2), spread((bits + 1) // 2)
+    firsts = near.groupBy("shard", "hub").agg(F.min("node").alias("first"))
+    met = far.join(firsts, ["shard", "hub"]).where(F.col("node") != F.col("first"))
+    return met.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct().to(schema)
 
 
 # ---------------------------------------------------------------- components
