@@ -11,6 +11,7 @@ and small stars.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,9 +28,11 @@ SHINGLE = 3
 MAX_BITS = 2
 #: Fingerprints that the tree of vantage points is built from, at most.
 SAMPLE = 1 << 16
-#: Fingerprints of a shard, about; past SHARD_MAX a shard is dealt out by midpoints.
+#: Fingerprints of a shard, about: this many, or 64 times the root of all where that is more, so that the copies over
+#: boundaries grow slowly.  A shard that is SHARD_OVER times as large, as nothing divides it, is dealt out by midpoints.
 SHARD = 1 << 13
-SHARD_MAX = 1 << 15
+SHARD_ROOTS = 64
+SHARD_OVER = 4
 #: Fingerprints that are compared each with each, without a tree.
 SMALL = 1 << 10
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
@@ -240,7 +243,7 @@ def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return forest.links
 
 
-def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, shard: int = SHARD, shard_max: int = SHARD_MAX) -> DataFrame:
+def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, shard: int | None = None, shard_max: int | None = None) -> DataFrame:
     """Links (a, b) of ``nodes`` (table int, fp long, node), enough to join all within ``bits`` bits in a table.
 
     (table, fp) has to be distinct.
@@ -249,6 +252,10 @@ def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMP
     ship(spark)
     kind = nodes.schema["node"].dataType
     total = nodes.count()
+    if shard is None:
+        tables = nodes.agg(F.count_distinct("table")).first()[0]
+        shard = max(SHARD, SHARD_ROOTS * math.isqrt(total // max(1, tables)))
+    shard_max = shard_max or SHARD_OVER * shard
     share = min(1.0, sample / max(1, total))
     # A sample by hash, which is the same in each run; about ``sample`` fingerprints of all tables.
     chosen = nodes.where(F.pmod(F.xxhash64("fp", "table"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("table", "fp").limit(2 * sample).toPandas()
