@@ -179,13 +179,15 @@ def mix_plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: s
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as its copies, all columns as they were."""
     plan = mix_plan(docs, text, key, source, **options)
-    names = [free_name(docs.columns, n) for n in ("_copies", "_place")]
-    # Rows with one key take the copies of that key's plans in turn; null keys form one group.
-    by = Window.partitionBy("_id").orderBy("size", "copies")
-    plan = plan.select(F.col("id").alias("_id"), "size", "copies").withColumn("_n", F.row_number().over(by))
+    names = [free_name(docs.columns, n) for n in ("_hash", "_taken", "_place")]
+    # Rows meet their copies by the key's hash, so that texts move once.  Rows of one hash, which are those of one key
+    # and hardly others, take the copies of its plans in order of key and size.
+    taken = plan.groupBy(F.xxhash64("id").alias(names[0])).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "size", "copies"))), lambda p: p["copies"]).alias(names[1]))
     size = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    own = Window.partitionBy(key).orderBy(size)
-    placed = docs.withColumn(names[1], F.row_number().over(own))
-    met = placed.join(plan.select(F.col("_id"), "_n", F.col("copies").alias(names[0])), F.col(key).eqNullSafe(F.col("_id")) & (F.col(names[1]) == F.col("_n")))
-    met = met.where(F.col(names[0]) > 0).withColumn(names[1], F.explode(F.sequence(F.lit(1), F.col(names[0]).cast("int"))))
-    return met.select(*[placed[c] for c in docs.columns])
+    met = docs.withColumn(names[0], F.xxhash64(key)).join(taken, names[0])
+    alone = F.size(names[1]) == 1
+    own = Window.partitionBy(names[0]).orderBy(F.when(~alone, F.col(key)).asc_nulls_first(), F.when(~alone, size))
+    placed = met.withColumn(names[2], F.row_number().over(own))
+    copies = F.element_at(names[1], F.col(names[2]))
+    times = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>")))
+    return placed.select(*[placed[c] for c in docs.columns], times.alias(names[2])).drop(names[2])
