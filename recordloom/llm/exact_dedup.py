@@ -23,6 +23,7 @@ HASHES = 2
 #: 2**29 bits are 64 MiB of bitmaps at most.
 MAX_BITS = 1 << 29
 BITS_PER_ROW = 16
+LARGE_GROUPS = 1000
 
 
 def normalised(text: Column) -> Column:
@@ -91,9 +92,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
     )
     several = marked.where("maybe")
     order = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))
-    groups = several.groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size"))
-    # A group of copies may be a third of all rows: the side with one row a group meets its parts, which AQE splits.
-    repeated = several.join(groups.withColumnRenamed("sha", "_sha"), F.col("sha") == F.col("_sha")).select(
+    groups = hold(several.groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).withColumnRenamed("sha", "_sha"), "groups")
+    # Groups of over a thousandth of these rows are under a thousand, so they may be broadcast, and their rows don't
+    # gather in a task; the others meet by a shuffle.
+    large = F.broadcast(groups.where(F.col("size") * LARGE_GROUPS > several.count()))
+    same = F.col("sha") == F.col("_sha")
+    met = several.join(large, same).unionByName(several.join(large.select("_sha"), same, "left_anti").join(groups, same))
+    repeated = met.select(
         F.col("id").alias(key), F.col("best.id").alias("keep_id"), F.col("size").alias("group_size"), (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
     return single.unionByName(repeated)
