@@ -1,9 +1,9 @@
 """Fuzzy self-joins of names inside blocks, without comparing all pairs of a block.
 
-A similarity of t allows (1 - t) of both lengths in insertions and deletions, each of which changes two bigrams at
-most.  So of two similar names the rarest 2k + 1 bigrams of the one and of the other have one in common, k being the
-changes allowed; names meet on these, the common bigrams of a hot block don't make candidates, and every pair at or
-above the threshold is found.
+A similarity of t allows K = (1 - t) times both lengths in insertions and deletions.  A deletion destroys two bigrams
+of a name and an insertion one, so of names whose lengths differ by D the shorter loses (3K - D) / 2 bigrams at most and
+the longer (3K + D) / 2.  Hence the rarest bigrams of either, one more than that, have one in common: names meet on
+these, the common bigrams of a hot block don't make candidates, and every pair at or above the threshold is found.
 """
 
 from __future__ import annotations
@@ -17,23 +17,23 @@ from ..functions.similarity import ratio
 def candidate_pairs(names: DataFrame, block: list[str], name: str, least: float) -> DataFrame:
     """(*block, a, b) with a < b: all pairs of distinct names of a block whose ratio may reach ``least``."""
     loss = 1 - least / 100
-    # Of lengths la <= lb: changes are at most loss * (la + lb) and at least lb - la.
     rows = names.select(*block, F.col(name).alias("_x")).where(F.length("_x") > 0).distinct().withColumn("_len", F.length("_x"))
-    longest = F.col("_len") * (1 + loss) / (1 - loss)
-    prefix = F.floor(2 * loss * (F.col("_len") + longest)).cast("int") + 1
     grams = F.transform(F.sequence(F.lit(1), F.col("_len") + 1), lambda i: F.substring(F.concat(F.lit("\x02"), F.col("_x"), F.lit("\x03")), i, F.lit(2)))
-    rows = rows.withColumn("_prefix", prefix)
-    spread = rows.select(*block, "_x", "_len", "_prefix", F.posexplode(F.array_sort(grams)).alias("_p", "_g"))
+    spread = rows.select(*block, "_x", "_len", F.posexplode(F.array_sort(grams)).alias("_p", "_g"))
     # A bigram's second occurrence is a token of its own.
     again = Window.partitionBy(*block, "_x", "_g").orderBy("_p")  # occurrences in one name
     tokens = spread.withColumn("_t", F.concat_ws("\x1f", "_g", F.row_number().over(again).cast("string"))).drop("_p", "_g")
     rarity = tokens.groupBy(*block, "_t").agg(F.count(F.lit(1)).alias("_n"))
     by_rarity = Window.partitionBy(*block, "_x").orderBy("_n", "_t")  # bigrams of one name
-    kept = tokens.join(rarity, [*block, "_t"]).withColumn("_r", F.row_number().over(by_rarity)).where("_r <= _prefix")
-    left = kept.select(*block, "_t", F.col("_x").alias("a"), F.col("_len").alias("_la"))
-    right = kept.select(*block, "_t", F.col("_x").alias("b"), F.col("_len").alias("_lb"))
-    near = F.abs(F.col("_la") - F.col("_lb")) <= loss * (F.col("_la") + F.col("_lb"))
-    return left.join(right, [*block, "_t"]).where((F.col("a") < F.col("b")) & near).select(*block, "a", "b").distinct()
+    ranked = tokens.join(rarity, [*block, "_t"]).withColumn("_r", F.row_number().over(by_rarity))
+    # Most bigrams lost as the shorter name, at equal lengths; as the longer one, where all changes are insertions.
+    shorter, longer = F.floor(3 * loss * F.col("_len") + 1e-6) + 1, F.floor(4 * loss / (1 + loss) * F.col("_len") + 1e-6) + 1
+    left = ranked.where(F.col("_r") <= shorter).select(*block, "_t", F.col("_x").alias("_a"), F.col("_len").alias("_la"))
+    right = ranked.where(F.col("_r") <= longer).select(*block, "_t", F.col("_x").alias("_b"), F.col("_len").alias("_lb"))
+    order = (F.col("_la") < F.col("_lb")) | ((F.col("_la") == F.col("_lb")) & (F.col("_a") < F.col("_b")))
+    near = F.col("_lb") - F.col("_la") <= loss * (F.col("_la") + F.col("_lb")) + 1e-6
+    met = left.join(right, [*block, "_t"]).where(order & near)
+    return met.select(*block, F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
 
 
 def similar_pairs(names: DataFrame, block: list[str], name: str, least: float) -> DataFrame:
