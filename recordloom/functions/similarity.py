@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..tables import ship
 from .text import QUERY_NOISE, SPACE, col, strip, sub, words
 
 
@@ -49,6 +50,7 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def ratio(a: Column | str, b: Column | str) -> Column:
     """Similarity of two texts, 0 to 100; null where one is null."""
+    ship(SparkSession.active())
     return _ratio(col(a), col(b))
 
 
@@ -59,6 +61,7 @@ def _ascii(x: pd.Series) -> pd.Series:
 
 def to_ascii(x: Column | str) -> Column:
     """Characters decomposed, and what isn't ASCII left out."""
+    ship(SparkSession.active())
     return _ascii(col(x))
 
 

@@ -74,3 +74,24 @@ def alias_usage(tracks: DataFrame, aliases: DataFrame, limit: int = 80) -> DataF
     """(variant, canonical, n): how many tracks each alias would rename, the commonest first."""
     used = tracks.groupBy(F.col("artist").alias("variant")).agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("o"))
     return used.join(aliases, "variant").orderBy(F.desc("n"), "o").limit(limit).select("variant", "canonical", "n")
+
+
+def report(tracks: DataFrame) -> list[str]:
+    """The statistics as lines of text; each comes from a few rows."""
+    t = library_totals(tracks).first()
+    if not t["files"]:
+        return ["The library is empty."]
+    hours = tracks.sparkSession.range(1).select(X.hours(F.lit(t["seconds"])).alias("h")).first()["h"]
+    formats = sorted(format_breakdown(tracks).collect(), key=lambda r: (-r["n"], r["format"]))
+    lines = [
+        f"Files: {t['files']:,}", f"Distinct songs: {t['distinct_songs']:,}", f"Distinct artists: {t['distinct_artists']:,}", f"Files of unknown artists: {t['unknown']:,}",
+        f"Extra copies: {t['duplicates']:,} ({t['duplicates'] / t['files']:.0%} of files)", "Formats: " + ", ".join(f"{r['format']}={r['n']:,}" for r in formats),
+        f"With details: {t['detailed']:,}", f"Total audio: {hours}", f"Total size: {t['bytes'] / 1e9:,.1f} GB",
+    ]
+    if t["avg_seconds"] is not None:
+        lines.append(f"Mean length: {t['avg_seconds'] // 60}m {t['avg_seconds'] % 60}s")
+    if t["avg_kbps"] is not None:
+        lines.append(f"Mean bit rate: {t['avg_kbps']} kbps")
+    lines += [f"{i:>4}. {r['artist']}: {r['songs']:,} songs" for i, r in enumerate(top_artists(tracks).collect(), 1)]
+    lines += [f"{r['copies']:>4} copies of {r['title']}" for r in most_duplicated(tracks).collect()]
+    return lines + [f"{r['decade']}s: {r['n']:,}" for r in decades(tracks).orderBy("decade").collect()]

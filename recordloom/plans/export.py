@@ -16,6 +16,7 @@ from ..functions.keys import key_index_fields
 from ..functions.similarity import fold, to_ascii
 from ..operators import groups
 from ..schema import meta, with_meta
+from ..tables import ship
 
 SEARCH_LIMIT = 400
 
@@ -88,6 +89,8 @@ def copies_needed(plan: DataFrame, sources: DataFrame, present: DataFrame) -> Da
 def run_copies(todo: DataFrame, root: str) -> DataFrame:
     """Copy the files of ``todo`` (dest, src, action) whose action is copy below ``root``, on the executors; returns
     (dest, copied).  Both ends have to be on a file system that all of them mount."""
+    ship(todo.sparkSession)
+
     def run(frames):
         for frame in frames:
             for dest, src in zip(frame["dest"], frame["src"], strict=True):

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import stems as S
 from ..functions import text as X
 from ..schema import NOT_FOUND, with_meta
+from ..tables import ship
 
 SWAPPED_FOLDER = "song-artist"
 
@@ -166,6 +167,7 @@ DETAILS = T.StructType([T.StructField("path", T.StringType()), T.StructField("de
 
 def read_details(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
     """(path, details) of zip and cdg files below a folder; of ``wanted`` (path) only, where that is given."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     ext = F.lower(F.regexp_extract("path", r"\.([^./]*)\z", 1))

@@ -1,12 +1,17 @@
-"""Tables written in the cluster's shared folder to cut lineage."""
+"""Tables written in the cluster's shared folder to cut lineage, and the package's way to the executors."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local folder of our own."""
@@ -41,3 +46,20 @@ def drop_held(df: DataFrame) -> None:
         if "/recordloom/" in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let executors import this package.
+
+    Nothing to do where PYTHONPATH or the working folder leads there; else Spark's file server hands out a zip.
+    """
+    seen = {os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
+    sc = spark.sparkContext
+    if str(ROOT) in seen | {os.path.realpath(os.getcwd())} or getattr(sc, "_recordloom_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="recordloom-code-")) / "recordloom_code.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for source in sorted((ROOT / "recordloom").rglob("*.py")):
+            archive.write(source, source.relative_to(ROOT))
+    sc.addPyFile(str(target))
+    sc._recordloom_shipped = True

@@ -39,6 +39,13 @@ def test_empty_library(spark):
     assert cleanup.all_clean(df).count() == 0
 
 
+def test_report(spark):
+    assert stats.report(tracks(spark, [])) == ["The library is empty."]
+    df = tracks(spark, many("Big", 2) + [("x", "Big", "S0", "2000000")]).withColumn("length_seconds", F.lit("65.9")).withColumn("tag_year", F.lit("1987"))
+    lines = stats.report(df)
+    assert "Extra copies: 1 (33% of files)" in lines and "Mean length: 1m 5s" in lines and "1980s: 3" in lines and "   2 copies of Big - S0" in lines and "   1. Big: 2 songs" in lines
+
+
 def test_clean(spark):
     df = tracks(spark, [
         ("a/1.zip", "Foo (Wbgv)", "Bar (Duet) Multiplex", None), ("a/2.zip", "Foo", "Bar [SC Karaoke] Baz", None), ("a/3.zip", "Foo (WOBGV)", "Bar", None),
