@@ -14,10 +14,18 @@ def _named(tracks: DataFrame) -> DataFrame:
     return keyed(tracks).where(~X.is_unknown(F.coalesce("artist", F.lit(""))))
 
 
+def _beside(*rows: DataFrame) -> DataFrame:
+    """One row of the columns of frames of one row each."""
+    both = rows[0]
+    for row in rows[1:]:
+        both = both.unionByName(row, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def distinct_pairs(tracks: DataFrame) -> DataFrame:
     """One row: ``pairs`` distinct artist and song keys of named artists, ``files`` in all."""
     pairs = _named(tracks).select("artist_key", "song_key").distinct().agg(F.count(F.lit(1)).alias("pairs"))
-    return pairs.join(tracks.agg(F.count(F.lit(1)).alias("files")), F.lit(True))
+    return _beside(pairs, tracks.agg(F.count(F.lit(1)).alias("files")))
 
 
 def library_totals(tracks: DataFrame) -> DataFrame:
@@ -36,7 +44,7 @@ def library_totals(tracks: DataFrame) -> DataFrame:
     pairs = _named(tracks).where("song_key <> ''").groupBy("artist_key", "song_key").agg(F.count(F.lit(1)).alias("n"))
     artists = pairs.groupBy("artist_key").agg(F.count(F.lit(1)).alias("songs"), F.sum(F.col("n") - 1).alias("extra"))
     kinds = artists.agg(F.coalesce(F.sum("songs"), F.lit(0)).alias("distinct_songs"), F.count(F.lit(1)).alias("distinct_artists"), F.coalesce(F.sum("extra"), F.lit(0)).alias("duplicates"))
-    both = files.join(kinds, F.lit(True))  # a row each
+    both = _beside(files, kinds)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint"))
     return both.select(
         "files", "distinct_songs", "distinct_artists", "unknown", "duplicates", zero("seconds").alias("seconds"), zero("bytes").alias("bytes"), "detailed",

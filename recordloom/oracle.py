@@ -413,6 +413,9 @@ def oracle_sql() -> dict[str, str]:
     two = lambda xs: f"{{'a': {xs}[-2], 's': {xs}[-1]}}"
     swap_if = "NOT (lower(artist) IN ('unknown', '')) AND song <> '' AND NOT contains(artist, chr(92)) AND NOT a_known AND flip IS NOT NULL AND NOT (flip = song AND len(tag) > 0 AND tag = own) AND ((len(tag) > 0 AND tag = stok) OR flip <> song)"
     tag_swaps = f"swaps AS (SELECT *, {swap_if} AS swap_ FROM (SELECT *, {artist_tokens('song')} AS stok FROM flip))"
+    credit = rf"(?i){X.SPACE}+(?:with|and|feat\.?|f\.|ft\.?|featuring){X.SPACE}+"
+    own = words("x")
+    reliable = f"CASE WHEN i = 1 THEN CASE WHEN len({own}) > 1 THEN list_concat({own}[1:1], {own}[2:len({own}) - 1]) ELSE [] END WHEN i = len(f) THEN CASE WHEN len({own}) > 1 THEN {own}[2:] ELSE [] END ELSE {own}[2:len({own}) - 1] END"
     docs = "SELECT sha256(k) AS digest, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g') AS k FROM documents) GROUP BY k HAVING count(*) > 1"
     return {
         "best_copy": q(f"SELECT artist_key, song_key, ord, path FROM (SELECT *, row_number() OVER (PARTITION BY artist_key, song_key ORDER BY {whole('mp3_size')} DESC, {TITLE}, ord) AS r FROM keyed) WHERE r = 1", KEYED),
@@ -503,6 +506,16 @@ def oracle_sql() -> dict[str, str]:
         "stale_files": q("SELECT dest || '.old' AS path FROM plan WHERE dest || '.old' NOT IN (SELECT dest FROM plan)", KEYED, shelf(1)),
         "songbook_rows": q("SELECT artist, song, details, artist_sort, song_sort FROM book", book()),
         "songbook_search": q("SELECT artist, song, (SELECT count(*) FROM hits) AS total FROM (SELECT * FROM hits ORDER BY artist_sort, song_sort, first_ord LIMIT 40)", book(), "hits AS (SELECT * FROM book WHERE contains(artist_sort || ' ' || song_sort, 'ring') AND contains(artist_sort || ' ' || song_sort, 'sm'))"),
+        "auto_clean": q(f"SELECT ord, coalesce({uncomma('primary_')}, primary_) AS artist, feature FROM (SELECT ord, {strip("split_part(raw, '&', 1)")} AS primary_, CASE WHEN contains(raw, '&') THEN {strip("substr(raw, instr(raw, '&') + 1)")} END AS feature FROM (SELECT ord, {rx('artist', credit, ' & ')} AS raw FROM tracks))"),
+        "reliable_words": q(f"SELECT ord, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(list_transform(flatten(list_transform(f, lambda x, i: {reliable})), lambda w: {rx('w', "[^A-Za-z0-9']")}), lambda w: length(w) >= 3)), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda r: r.w), '|') AS words FROM (SELECT ord, {split_stem(stem())}[2:] AS f FROM tracks)"),
+        "scan": q(f"""SELECT path, CASE WHEN path LIKE '%.zip' THEN 'zip' WHEN regexp_replace(path, '\\.[^./]*\\z', '') IN (SELECT regexp_replace(path, '\\.[^./]*\\z', '') FROM tracks WHERE list_contains(file_types, 'mp3')) THEN 'mp3|cdg' ELSE 'cdg' END AS file_types,
+            CASE WHEN coalesce(canonical, p.artist) = '' THEN 'Unknown' ELSE coalesce(canonical, p.artist) END AS artist, p.song AS song FROM (SELECT path, {parse(stem())} AS p FROM tracks WHERE ord % 4 <> 0) LEFT JOIN usable ON variant = p.artist""", ALIASES, sides=("aliases",)),
+        "changed_files": q("SELECT path, CAST(ord * 10 + 1700000000 AS VARCHAR) AS src_mtime, CAST(ord * 10 AS VARCHAR) AS src_size FROM tracks WHERE ord % 3 = 0 OR ord % 5 = 0"),
+        "export_index": q("""SELECT b.file AS path, b.artist, b.song AS title, b.duration, b.k AS key, b.kc AS key_confidence, CAST(coalesce(n, 0) AS INT) AS n_versions, versions FROM playable b
+            LEFT JOIN (SELECT artist_key, song_key, count(*) AS n, string_agg(concat_ws('/', file, label, CAST(duration AS VARCHAR), k), '|' ORDER BY rank) AS versions FROM playable WHERE rank > 1 GROUP BY ALL) v USING (artist_key, song_key) WHERE b.rank = 1""", KEYED, shelf(3),
+            f"""keyed_files AS (SELECT *, coalesce(key, '') <> '' AND {emit('key_source', "coalesce(TRY_CAST(nullif(key_confidence, '') AS DOUBLE), 0.0)")} AS e FROM chosen WHERE ext IS NOT NULL),
+            playable AS (SELECT artist_key, song_key, rank, artist, song, dir || '/' || st || '.' || ext AS file, {number('length_seconds')} AS duration, split_part(regexp_replace(path, '/[^/]*\\z', ''), '/', -1) AS label,
+                CASE WHEN e THEN key END AS k, CASE WHEN e THEN round(coalesce(TRY_CAST(nullif(key_confidence, '') AS DOUBLE), 0.0), 3) END AS kc FROM keyed_files)"""),
         "upsert": q("SELECT path, CASE WHEN ord % 6 = 0 THEN 'Third' WHEN ord % 3 = 0 THEN 'Second' ELSE artist END AS artist, song, CASE WHEN ord % 2 = 0 THEN ord ELSE ord + 100000 END AS ord FROM tracks WHERE ord % 2 = 0 OR ord % 3 = 0"),
         "doc_duplicates": docs,
     }

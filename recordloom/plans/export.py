@@ -8,7 +8,7 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,8 +35,9 @@ def _versions(tracks: DataFrame, limit: int) -> DataFrame:
     have another stem."""
     rows = with_meta(tracks, "mp3_size", "length_seconds", "key", "key_confidence", "key_source", "key_camelot")
     ranked = _shelf(groups.ranked_versions(rows, limit))
-    best = ranked.where("rank = 1").select("artist_key", "song_key", F.col("_stem").alias("_best"), F.col("_ext").alias("_best_ext"))
-    kept = ranked.join(best, ["artist_key", "song_key"])
+    # The same partitions as the ranks, of ``limit`` rows a pair at most: no further shuffle.
+    w = Window.partitionBy("artist_key", "song_key").orderBy("rank")
+    kept = ranked.withColumns({"_best": F.first("_stem").over(w), "_best_ext": F.first("_ext").over(w)})
     return kept.where("rank = 1 or (_best_ext is not null and _ext is not null and _stem <> _best)")
 
 
@@ -146,7 +147,7 @@ def songbook_search(book: DataFrame, text: str, within: str = "all", letter: str
         found = found.where(F.when(first.rlike("^[a-z]"), F.upper(first)).otherwise("#") == letter)
     total = found.agg(F.count(F.lit(1)).alias("total"))
     first = found.orderBy("artist_sort", "song_sort", "first_ord").limit(limit)
-    return first.select("artist", "song").join(total, F.lit(True))  # one row
+    return first.select("artist", "song", total.scalar().alias("total"))
 
 
 PAGE = """<!doctype html>

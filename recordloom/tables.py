@@ -26,7 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A path that no other run uses, in the shared folder."""
-    return f"{shared_folder(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/recordloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete all that this application has put in the shared folder; results that read it can't be used any more."""
+    _delete(spark, f"{shared_folder(spark)}/recordloom/{spark.sparkContext.applicationId}")
 
 
 def hold(df: DataFrame, label: str) -> DataFrame:
@@ -44,8 +54,7 @@ def drop_held(df: DataFrame) -> None:
     spark = df.sparkSession
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if "/recordloom/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
 
 
 def ship(spark: SparkSession) -> None:
