@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from .fixture import with_sql
+from .fixture import tracks_sql, with_sql
 from .functions import keys as K
 from .functions import stems as S
 from .functions import text as X
@@ -338,15 +338,21 @@ def raw_keys() -> str:
     return "raws AS (SELECT ord, [" + ", ".join(map(lit, RAW_KEYS)) + "][ord % 25 + 1] AS raw FROM tracks)"
 
 
+#: What is fused from the normalised signals o, t, h and n and the confidence c.
+FUSED = {
+    "key": "coalesce(o, t, h, n)",
+    "confidence": "CAST(CASE WHEN o IS NOT NULL THEN 1.0 WHEN t IS NOT NULL THEN CASE WHEN t = h OR t = n THEN 0.97 ELSE 0.9 END WHEN h IS NOT NULL THEN round(CASE WHEN h = n THEN least(1.0, c + 0.2) ELSE c END, 3) WHEN n IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE)",
+    "source": "CASE WHEN o IS NOT NULL THEN 'manual' WHEN t IS NOT NULL THEN 'tag' WHEN h IS NOT NULL THEN 'auto' WHEN n IS NOT NULL THEN 'online' ELSE 'none' END",
+    "detail": """CASE WHEN o IS NOT NULL THEN '' WHEN t IS NOT NULL THEN CASE WHEN t = h OR t = n THEN 'id3 TKEY (corroborated)' ELSE 'id3 TKEY' END
+        WHEN h IS NOT NULL THEN CASE WHEN n IS NULL THEN '' WHEN h = n THEN 'offline+online agree' ELSE 'online disagrees (' || n || ')' END
+        WHEN n IS NOT NULL THEN 'original master key; unverified vs rip' ELSE '' END""",
+}
+
+
 def fused() -> str:
     pick = lambda n, *xs: "[" + ", ".join("NULL" if x is None else lit(x) if isinstance(x, str) else str(x) for x in xs) + f"][(ord // {n}) % {len(xs)} + 1]"
     signals = f"sig AS (SELECT ord, {normalize_key(pick(1, None, 'Am', None, 'zz'))} AS o, {normalize_key(pick(4, 'C', None, 'Gbm'))} AS t, {normalize_key(pick(12, 'C major', 'A minor', None))} AS h, {pick(36, 0.3, 0.85, 0.9)} AS c, {normalize_key(pick(108, 'C', None, 'F# minor'))} AS n FROM tracks)"
-    return q("""SELECT ord, coalesce(o, t, h, n) AS key,
-        CAST(CASE WHEN o IS NOT NULL THEN 1.0 WHEN t IS NOT NULL THEN CASE WHEN t = h OR t = n THEN 0.97 ELSE 0.9 END WHEN h IS NOT NULL THEN round(CASE WHEN h = n THEN least(1.0, c + 0.2) ELSE c END, 3) WHEN n IS NOT NULL THEN 0.5 ELSE 0.0 END AS DOUBLE) AS confidence,
-        CASE WHEN o IS NOT NULL THEN 'manual' WHEN t IS NOT NULL THEN 'tag' WHEN h IS NOT NULL THEN 'auto' WHEN n IS NOT NULL THEN 'online' ELSE 'none' END AS source,
-        CASE WHEN o IS NOT NULL THEN '' WHEN t IS NOT NULL THEN CASE WHEN t = h OR t = n THEN 'id3 TKEY (corroborated)' ELSE 'id3 TKEY' END
-             WHEN h IS NOT NULL THEN CASE WHEN n IS NULL THEN '' WHEN h = n THEN 'offline+online agree' ELSE 'online disagrees (' || n || ')' END
-             WHEN n IS NOT NULL THEN 'original master key; unverified vs rip' ELSE '' END AS detail FROM sig""", signals)
+    return q("SELECT ord, " + ", ".join(f"{v} AS {k}" for k, v in FUSED.items()) + " FROM sig", signals)
 
 
 def pairs(block: str, name: str, least: float) -> str:
@@ -399,7 +405,81 @@ RESOLVED = """given AS (SELECT path, artist AS new_artist, song AS new_song FROM
 ALIASES = "usable AS (SELECT variant, max(canonical) AS canonical FROM aliases WHERE variant <> '' AND canonical <> '' AND variant <> canonical GROUP BY variant)"
 
 
+CREDIT = rf"(?i){X.SPACE}+(?:with|and|feat\.?|f\.|ft\.?|featuring){X.SPACE}+"
+
+
+def chain(passes: list[str]) -> str:
+    """Queries over ``tracks`` that return ord, artist and song, each over what the one before it made of the tracks."""
+    rows = tracks_sql(spark=False)
+    out = passes[0]
+    for sql in passes[1:]:
+        new = f"SELECT t.* REPLACE (p.artist AS artist, p.song AS song) FROM ({rows}) t JOIN ({out}) p USING (ord)"
+        out = sql.replace(f"tracks AS ({rows})", f"tracks AS ({new})", 1)
+    return out
+
+
+def edits_apply() -> str:
+    op = "(ord // 3) % 6"
+    primary = strip("split_part(raw, '&', 1)")
+    step = f"""CASE WHEN ord % 3 <> 0 THEN artist WHEN {op} = 0 THEN song WHEN {op} = 1 THEN 'E' || ord WHEN {op} = 3 THEN '' WHEN {op} = 4 THEN coalesce({uncomma(primary)}, {primary}) WHEN {op} = 5 AND tagged <> '' THEN tagged ELSE artist END AS a,
+        CASE WHEN ord % 3 <> 0 THEN song WHEN {op} = 0 THEN artist WHEN {op} = 2 THEN 'E' || ord ELSE song END AS s, CASE WHEN ord % 3 = 0 AND {op} = 4 AND contains(raw, '&') THEN nullif({strip("substr(raw, instr(raw, '&') + 1)")}, '') END AS feature"""
+    return q("SELECT ord, CASE WHEN ord % 9 = 0 THEN s ELSE a END AS artist, CASE WHEN ord % 9 = 0 THEN a ELSE s END AS song, feature FROM st",
+        f"rw AS (SELECT ord, artist, song, {rx('artist', CREDIT, ' & ')} AS raw, {query_form('tag_artist')} AS tagged FROM tracks)", f"st AS (SELECT ord, {step} FROM rw)")
+
+
+def corroborate() -> str:
+    def best(name: str, query: tuple, ours: tuple) -> str:
+        return f"""{name}m AS (SELECT la, ls, rank, c.artist AS ca, c.title AS ct, {match_form('o.' + ours[0])} AS fa, {match_form('o.' + ours[1])} AS ft, {match_form('c.artist')} AS ga, {match_form('c.title')} AS gt
+                FROM prs JOIN candidates c ON c.shape = 'direct' AND c.query_artist = {query[0]} AND c.query_title = {query[1]}), {name}s AS (SELECT *, {ratio('fa', 'ga')} AS x, {ratio('ft', 'gt')} AS y FROM {name}m),
+            {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY la, ls ORDER BY x + y DESC, rank) AS r FROM {name}s WHERE x + y > 0) WHERE r = 1)"""
+
+    kind = "CASE WHEN d.x >= 88 AND d.y >= 88 THEN 'ok' WHEN v.x >= 88 AND v.y >= 88 THEN 'swap' WHEN d.x >= 70 AND d.y >= 70 THEN 'flag' ELSE 'none' END"
+    return q("""SELECT t.ord, CASE WHEN kind = 'swap' THEN t.song ELSE t.artist END AS artist, CASE WHEN kind = 'swap' THEN t.artist ELSE t.song END AS song, CASE WHEN kind IS NOT NULL THEN '1' END AS mb_checked, kind AS mb_match, ma AS mb_artist, mt AS mb_title
+        FROM tracks t LEFT JOIN asked ON asked.path = t.path LEFT JOIN res USING (la, ls)""", KEYED, COUNTS, QUEUE,
+        f"asked AS (SELECT path, {strip('artist')} AS oa, {strip('song')} AS ot, lower({strip('artist')}) AS la, lower({strip('song')}) AS ls FROM queue WHERE {strip('artist')} <> '' AND {strip('song')} <> '')",
+        "prs AS (SELECT la, ls, min({'a': oa, 't': ot}) AS o FROM asked GROUP BY ALL)", best("d", ("la", "ls"), ("a", "t")), best("v", ("ls", "la"), ("t", "a")),
+        f"res AS (SELECT prs.la, prs.ls, {kind} AS kind, CASE WHEN {kind} = 'flag' THEN d.ca END AS ma, CASE WHEN {kind} = 'flag' THEN d.ct END AS mt FROM prs LEFT JOIN d USING (la, ls) LEFT JOIN v USING (la, ls))", sides=("state", "candidates"))
+
+
+def reliable(f: str) -> str:
+    """The longest words that fragments certainly hold whole."""
+    own = words("x")
+    part = f"CASE WHEN i = 1 THEN CASE WHEN len({own}) > 1 THEN list_concat({own}[1:1], {own}[2:len({own}) - 1]) ELSE [] END WHEN i = len({f}) THEN CASE WHEN len({own}) > 1 THEN {own}[2:] ELSE [] END ELSE {own}[2:len({own}) - 1] END"
+    bare = f"list_distinct(list_filter(list_transform(flatten(list_transform({f}, lambda x, i: {part})), lambda w: {rx('w', "[^A-Za-z0-9']")}), lambda w: length(w) >= 3))"
+    return f"list_transform(list_sort(list_transform({bare}, lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda r: r.w)"
+
+
+def restitch() -> str:
+    length = f"list_sum(list_transform(fragments, lambda z: length({equality('z')})))"
+    return q("SELECT t.ord, CASE WHEN kind = 'ok' THEN ca ELSE t.artist END AS artist, CASE WHEN kind = 'ok' THEN ct ELSE t.song END AS song, kind AS restitch, CASE WHEN kind = 'suggest' THEN 'suggest' END AS mb_match, CASE WHEN kind = 'suggest' THEN ct END AS mb_title FROM tracks t LEFT JOIN res USING (path)",
+        KEYED, COUNTS, known(1), f"stems AS (SELECT path, artist AS own, {clean_artist('artist')} AS own_key, {split_stem(stem())} AS p FROM tracks WHERE path NOT IN (SELECT path FROM state WHERE status = 'ok'))",
+        "runs AS (SELECT path, own, own_key, p, j, array_to_string(p[1:j], ' ') AS run FROM (SELECT *, unnest(range(1, len(p))) AS j FROM stems WHERE len(p) >= 3))", f"keyedr AS (SELECT *, {clean_artist('run')} AS rk FROM runs)",
+        "joined AS (SELECT path, run AS artist, p[j + 1:] AS fr FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY j DESC) AS r FROM keyedr WHERE j >= 2 AND rk IN (SELECT k FROM known)) WHERE r = 1)",
+        "owned AS (SELECT path, own AS artist, p[j + 1:] AS fr FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY j) AS r FROM keyedr WHERE rk = own_key AND own_key IN (SELECT k FROM known)) WHERE r = 1)",
+        "asked AS (SELECT path, artist, list_filter(fr, lambda x: x <> '') AS fragments FROM (SELECT * FROM joined UNION ALL SELECT * FROM owned WHERE path NOT IN (SELECT path FROM joined)))",
+        f"q1 AS (SELECT *, {reliable('fragments')} AS w FROM asked WHERE len(fragments) > 0)", "cand AS (SELECT lower(artist) AS qa, lower(array_to_string(w, ' ')) AS qt, min(artist) AS ca, min('Heaven Is A Place On ' || w[1]) AS ct FROM q1 WHERE len(w) > 0 GROUP BY ALL)",
+        f"m1 AS (SELECT path, fragments, ca, ct, {match_form('artist')} AS fa, {match_form('ca')} AS ga FROM q1 LEFT JOIN cand ON qa = lower(artist) AND qt = lower(array_to_string(w, ' ')) AND len(w) > 0)",
+        f"res AS (SELECT path, ca, ct, CASE WHEN ca IS NULL OR {ratio('fa', 'ga')} < 88 OR NOT {fits('fragments', 'ct')} THEN 'none' WHEN {length} >= 10 THEN 'ok' ELSE 'suggest' END AS kind FROM m1)", sides=("state",))
+
+
+def detect_keys() -> str:
+    return q("""SELECT ord, CASE WHEN work THEN fk ELSE key END AS key, CASE WHEN work THEN CASE WHEN fk IS NOT NULL THEN format('{:.3f}', fc) END ELSE key_confidence END AS key_confidence, CASE WHEN work THEN fs ELSE key_source END AS key_source,
+        CASE WHEN work THEN fd END AS key_detail, CASE WHEN work THEN code END AS key_camelot FROM (SELECT *, """ + camelot("fk") + """ AS code FROM fu)""", f"heard AS ({ks_key()})",
+        "ov AS (SELECT name, max(key) AS ok FROM overrides GROUP BY name)", f"net AS (SELECT DISTINCT lower({strip('artist')}) AS qa, lower({strip('song')}) AS qt FROM tracks WHERE ord % 4 = 1 AND artist IS NOT NULL)",
+        f"""sg AS (SELECT t.ord, t.key, t.key_confidence, t.key_source, (list_contains(file_types, 'mp3') OR list_contains(file_types, 'zip')) AND (ov.name IS NOT NULL OR t.ord % 7 <> 0) AS work, {normalize_key('ov.ok')} AS o,
+            CASE WHEN ov.name IS NULL THEN {normalize_key('tag_key')} END AS t, CASE WHEN ov.name IS NULL THEN h.key END AS h, h.confidence AS c, CASE WHEN ov.name IS NULL AND net.qa IS NOT NULL AND (h.key IS NULL OR h.confidence < 0.85) THEN 'C major' END AS n
+            FROM tracks t LEFT JOIN ov ON ov.name = lower({strip("artist || ' - ' || song")}) LEFT JOIN heard h ON h.vec_id = t.ord LEFT JOIN net ON net.qa = lower({strip('t.artist')}) AND net.qt = lower({strip('t.song')}))""",
+        f"fu AS (SELECT *, {FUSED['key']} AS fk, {FUSED['confidence']} AS fc, {FUSED['source']} AS fs, {FUSED['detail']} AS fd FROM sg)", sides=("overrides",))
+
+
 def oracle_sql() -> dict[str, str]:
+    found = _oracles()
+    steps = [found[n] for n in ("clean_pass", "trailing_article_pass", "tag_fill", "uncomma_pass", "ungroup", "fuzz_merge", "fuzz_song_merge")]
+    found["all_clean"] = f"SELECT f.ord, f.artist, f.song, c.style, u.feature FROM ({chain(steps)}) f JOIN ({steps[0]}) c USING (ord) JOIN ({chain(steps[:5])}) u USING (ord)"
+    return found
+
+
+def _oracles() -> dict[str, str]:
     named = f"named AS (SELECT * FROM keyed WHERE NOT {unknown()} AND song_key <> '')"
     reps = lambda most: f"reps AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY artist_key, song_key ORDER BY {TITLE}, ord) AS rn FROM keyed WHERE artist_key IN (SELECT artist_key FROM counts WHERE n <= {most})) WHERE rn = 1)"
     tag_name = strip(rx("coalesce(tag_artist, '')", X.TAG_SUFFIX))
@@ -413,9 +493,6 @@ def oracle_sql() -> dict[str, str]:
     two = lambda xs: f"{{'a': {xs}[-2], 's': {xs}[-1]}}"
     swap_if = "NOT (lower(artist) IN ('unknown', '')) AND song <> '' AND NOT contains(artist, chr(92)) AND NOT a_known AND flip IS NOT NULL AND NOT (flip = song AND len(tag) > 0 AND tag = own) AND ((len(tag) > 0 AND tag = stok) OR flip <> song)"
     tag_swaps = f"swaps AS (SELECT *, {swap_if} AS swap_ FROM (SELECT *, {artist_tokens('song')} AS stok FROM flip))"
-    credit = rf"(?i){X.SPACE}+(?:with|and|feat\.?|f\.|ft\.?|featuring){X.SPACE}+"
-    own = words("x")
-    reliable = f"CASE WHEN i = 1 THEN CASE WHEN len({own}) > 1 THEN list_concat({own}[1:1], {own}[2:len({own}) - 1]) ELSE [] END WHEN i = len(f) THEN CASE WHEN len({own}) > 1 THEN {own}[2:] ELSE [] END ELSE {own}[2:len({own}) - 1] END"
     docs = "SELECT sha256(k) AS digest, min(doc_id) AS first_id, count(*) AS n FROM (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', '', 'g') AS k FROM documents) GROUP BY k HAVING count(*) > 1"
     return {
         "best_copy": q(f"SELECT artist_key, song_key, ord, path FROM (SELECT *, row_number() OVER (PARTITION BY artist_key, song_key ORDER BY {whole('mp3_size')} DESC, {TITLE}, ord) AS r FROM keyed) WHERE r = 1", KEYED),
@@ -506,8 +583,12 @@ def oracle_sql() -> dict[str, str]:
         "stale_files": q("SELECT dest || '.old' AS path FROM plan WHERE dest || '.old' NOT IN (SELECT dest FROM plan)", KEYED, shelf(1)),
         "songbook_rows": q("SELECT artist, song, details, artist_sort, song_sort FROM book", book()),
         "songbook_search": q("SELECT artist, song, (SELECT count(*) FROM hits) AS total FROM (SELECT * FROM hits ORDER BY artist_sort, song_sort, first_ord LIMIT 40)", book(), "hits AS (SELECT * FROM book WHERE contains(artist_sort || ' ' || song_sort, 'ring') AND contains(artist_sort || ' ' || song_sort, 'sm'))"),
-        "auto_clean": q(f"SELECT ord, coalesce({uncomma('primary_')}, primary_) AS artist, feature FROM (SELECT ord, {strip("split_part(raw, '&', 1)")} AS primary_, CASE WHEN contains(raw, '&') THEN {strip("substr(raw, instr(raw, '&') + 1)")} END AS feature FROM (SELECT ord, {rx('artist', credit, ' & ')} AS raw FROM tracks))"),
-        "reliable_words": q(f"SELECT ord, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(list_transform(flatten(list_transform(f, lambda x, i: {reliable})), lambda w: {rx('w', "[^A-Za-z0-9']")}), lambda w: length(w) >= 3)), lambda w: {{'n': -length(w), 'w': w}}))[1:3], lambda r: r.w), '|') AS words FROM (SELECT ord, {split_stem(stem())}[2:] AS f FROM tracks)"),
+        "auto_clean": q(f"SELECT ord, coalesce({uncomma('primary_')}, primary_) AS artist, feature FROM (SELECT ord, {strip("split_part(raw, '&', 1)")} AS primary_, CASE WHEN contains(raw, '&') THEN {strip("substr(raw, instr(raw, '&') + 1)")} END AS feature FROM (SELECT ord, {rx('artist', CREDIT, ' & ')} AS raw FROM tracks))"),
+        "edits_apply": edits_apply(),
+        "corroborate": corroborate(),
+        "detect_keys": detect_keys(),
+        "reliable_words": q(f"SELECT ord, array_to_string({reliable('f')}, '|') AS words FROM (SELECT ord, {split_stem(stem())}[2:] AS f FROM tracks)"),
+        "restitch": restitch(),
         "scan": q(f"""SELECT path, CASE WHEN path LIKE '%.zip' THEN 'zip' WHEN regexp_replace(path, '\\.[^./]*\\z', '') IN (SELECT regexp_replace(path, '\\.[^./]*\\z', '') FROM tracks WHERE list_contains(file_types, 'mp3')) THEN 'mp3|cdg' ELSE 'cdg' END AS file_types,
             CASE WHEN coalesce(canonical, p.artist) = '' THEN 'Unknown' ELSE coalesce(canonical, p.artist) END AS artist, p.song AS song FROM (SELECT path, {parse(stem())} AS p FROM tracks WHERE ord % 4 <> 0) LEFT JOIN usable ON variant = p.artist""", ALIASES, sides=("aliases",)),
         "changed_files": q("SELECT path, CAST(ord * 10 + 1700000000 AS VARCHAR) AS src_mtime, CAST(ord * 10 AS VARCHAR) AS src_size FROM tracks WHERE ord % 3 = 0 OR ord % 5 = 0"),

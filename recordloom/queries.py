@@ -107,7 +107,9 @@ def _edits(spark, sf):
 
 
 def _restitch_candidates(spark, sf, asked):
-    return asked.where(F.size("words") > 0).select(F.lit("restitch").alias("shape"), F.lower("artist").alias("query_artist"), F.lower(F.array_join("words", " ")).alias("query_title"), F.lit(1).alias("rank"), "artist", F.concat(F.lit("Heaven Is A Place On "), F.get("words", F.lit(0))).alias("title")).distinct()
+    rows = asked.where(F.size("words") > 0).groupBy(F.lower("artist").alias("query_artist"), F.lower(F.array_join("words", " ")).alias("query_title"))
+    found = rows.agg(F.min("artist").alias("artist"), F.min(F.concat(F.lit("Heaven Is A Place On "), F.get("words", F.lit(0)))).alias("title"))
+    return found.select(F.lit("restitch").alias("shape"), "query_artist", "query_title", F.lit(1).alias("rank"), "artist", "title")
 
 
 def restitch(spark, sf):
