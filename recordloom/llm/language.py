@@ -8,16 +8,17 @@ for a language is the mean marginal of its words.
 
 from __future__ import annotations
 
-import re
+import uuid
 from collections import Counter, defaultdict
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .line_dedup import mix
 from .shared import free_name, raw, ship
 
 BUCKETS = 1 << 15
@@ -30,19 +31,40 @@ LENGTH = 48
 ROUNDS = 60
 #: Words whose emissions a worker remembers, at most.
 REMEMBER = 300_000
-MOST_GRAMS = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _ENDS = "\"'.,;:!?()[]{}<>-*#$%&/|"
 
 
-def grams(word: str) -> list[int]:
-    """Buckets of a word's affixes and character n-grams; of a very long word, those of its start and end."""
-    if len(word) > 40:
-        word = word[:20] + word[-20:]
-    w = f"^{word}$"
-    found = [w[i : i + n] for n in (1, 2, 3) for i in range(len(w) - n + 1)]
-    found += [f"<{word[:n]}" for n in (2, 3, 4) if len(word) >= n] + [f">{word[-n:]}" for n in (2, 3, 4) if len(word) >= n]
-    return [crc32(g.encode()) % BUCKETS for g in found[: 3 * MOST_GRAMS]]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, words): of each word's byte n-grams, with marks at its ends, and its affixes, in order of the words.
+
+    Of a very long word, only those of its start and end.
+    """
+    data = [w if len(w) <= 42 else w[:21] + w[-21:] for w in (f"^{w}$".encode() for w in words)]
+    sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+    flat = np.frombuffer(b"".join(data) + b"\0" * 4, dtype=np.uint8).astype(np.uint64)
+    n = len(flat) - 4
+    owner = np.repeat(np.arange(len(data)), sizes)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    room = ends[owner] - np.arange(n)
+    own = np.arange(len(data))
+    hashes, owners = [], []
+    rolling = np.zeros(n, dtype=np.uint64)
+    for k in (1, 2, 3, 4):
+        rolling = rolling * np.uint64(257) + flat[k - 1 : k - 1 + n]
+        if k < 4:
+            fits = room >= k
+            hashes.append(mix(rolling[fits], k))
+            owners.append(owner[fits])
+        if k > 1:
+            long = sizes >= k + 2
+            for salt, at in ((10 + k, starts + 1), (20 + k, ends - 1 - k)):
+                hashes.append(mix(rolling[at[long]], salt))
+                owners.append(own[long])
+    who = np.concatenate(owners)
+    order = np.argsort(who, kind="stable")
+    return (np.concatenate(hashes)[order] % np.uint64(BUCKETS)).astype(np.int64), who[order]
 
 
 def tokens(text: str) -> list[str]:
@@ -66,11 +88,8 @@ class Crf:
         """Unnormalised log scores (words, languages)."""
         out = np.zeros((len(words), len(self.languages)))
         for begin in range(0, len(words), 20_000):
-            part = words[begin : begin + 20_000]
-            found = [grams(w) for w in part]
-            sizes = np.array([len(f) for f in found])
-            flat = self.w[np.fromiter((x for f in found for x in f), dtype=np.int64, count=int(sizes.sum()))]
-            out[begin : begin + len(part)] = np.add.reduceat(flat, np.concatenate(([0], np.cumsum(sizes)[:-1]))) if len(part) else 0
+            flat, owner = grams(words[begin : begin + 20_000])
+            out[begin : begin + 20_000] = np.add.reduceat(self.w[flat], np.flatnonzero(np.diff(owner, prepend=-1)))
         for i, word in enumerate(words):
             own = self.lexicon.get(word)
             if own is not None:
@@ -163,11 +182,8 @@ def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS, l2: float = 1e-3) ->
     sequences = switched(split)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for s in sequences for w, _ in s))}
     names = list(vocabulary)
-    found = [grams(w) for w in names]
-    sizes = np.array([len(f) for f in found])
-    flat = np.fromiter((x for f in found for x in f), dtype=np.int64, count=int(sizes.sum()))
-    owner = np.repeat(np.arange(len(names)), sizes)
-    begins = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    flat, owner = grams(names)
+    begins = np.flatnonzero(np.diff(owner, prepend=-1))
     own_lex = np.array([lexicon.get(w, -1) for w in names])
     lengths = np.array([len(s) for s in sequences])
     ids = np.zeros((len(sequences), LENGTH), dtype=np.int64)
@@ -273,6 +289,17 @@ class Tagger:
         return out
 
 
+_TAGGERS: dict[str, Tagger] = {}
+
+
+def tagger_of(name: str, model: Crf) -> Tagger:
+    """A worker's tagger for a model, with what it remembers; the last one only."""
+    if name not in _TAGGERS:
+        _TAGGERS.clear()
+        _TAGGERS[name] = Tagger(model)
+    return _TAGGERS[name]
+
+
 def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Crf | None:
     """A model from rows for which ``learnable`` holds and whose language and text aren't null.
 
@@ -297,12 +324,13 @@ def with_languages(docs: DataFrame, model: Crf | None, text: str = "text") -> Da
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS weights a language
+    uid = uuid.uuid4().hex
     names = [free_name(docs.columns, n) for n in ("lang_pred", "score")]
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
     all_names, at = schema.names, docs.columns.index(text)
 
     def run(batches):
-        tagger = Tagger(shared.value) if shared.value else None
+        tagger = tagger_of(uid, shared.value) if shared.value else None
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)

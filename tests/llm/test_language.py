@@ -66,6 +66,11 @@ def test_odd_rows(odd, none, model):
     assert L.with_languages(none, model).count() == 0
 
 
+def test_numerals_are_no_letters(spark, model):
+    df = spark.createDataFrame([(1, "² ½ 12 _"), (2, "²a")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] == "und" for r in L.with_languages(df, model).collect()} == {1: True, 2: False}
+
+
 def test_nothing_to_learn(none, odd):
     model = L.train(none, F.lit(True))
     assert model is None
