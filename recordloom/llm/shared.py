@@ -1,53 +1,16 @@
-"""What the corpus operators share: scratch tables in the cluster's shared folder, file access, shipping of code."""
+"""What the corpus operators share: tables in the shared folder, file access, Arrow columns."""
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-ROOT = Path(__file__).resolve().parents[2]
+from ..tables import drop_held, hold, scratch, ship
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local folder of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
-        folder = sc.getCheckpointDir()
-    return folder.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A path that no other run uses, in the shared folder."""
-    return f"{shared_folder(spark)}/recordloom/{label}-{uuid.uuid4().hex}"
-
-
-def hold(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again.
-
-    Cuts the lineage: what follows needs neither the plan above nor the executors that ran it.
-    """
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_held(df: DataFrame) -> None:
-    """Delete the files of a table that :func:`hold` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/recordloom/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["drop_held", "filesystem", "free_name", "hold", "raw", "read_file", "scratch", "ship", "table", "write_file"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -76,25 +39,6 @@ def read_file(uri: str) -> bytes:
         return src.read()
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package.
-
-    Nothing to do where PYTHONPATH or the working folder leads there; else Spark's file server hands out a zip.
-    """
-    seen = {os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
-    if str(ROOT) in seen | {os.path.realpath(os.getcwd())}:
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_recordloom_shipped", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="recordloom-code-")) / "recordloom_code.zip"
-    with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted((ROOT / "recordloom").rglob("*.py")):
-            archive.write(source, source.relative_to(ROOT))
-    sc.addPyFile(str(target))
-    sc._recordloom_shipped = True
-
-
 def raw(column) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column's rows, None for null."""
     if isinstance(column, pa.ChunkedArray):
