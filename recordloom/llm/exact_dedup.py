@@ -105,8 +105,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
 
 
 def drop_copies(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept; ``key`` has to be unique."""
-    out = exact_dedup(docs, text, key)
-    name = free_name(docs.columns, "_gone")
-    gone = out.where(~F.col("kept")).select(F.col(key).alias(name))
-    return docs.join(gone, docs[key].eqNullSafe(F.col(name)), "left_anti")
+    """``docs`` with one row of each group of equal texts, the one that :func:`exact_dedup` keeps; all columns stay.
+
+    Of rows that tie in text, length and key, one stays.
+    """
+    names = [free_name(docs.columns, n) for n in ("_sha", "_chars", "_kept_sha", "_kept_id")]
+    kept = exact_dedup(docs, text, key).where("kept").select(F.col("text_sha256").alias(names[2]), F.col("keep_id").alias(names[3]))
+    own = docs.withColumns({names[0]: F.sha2(normalised(F.col(text)), 256), names[1]: F.char_length(F.coalesce(F.col(text), F.lit("")))})
+    met = own.join(kept, (F.col(names[0]) == F.col(names[2])) & F.col(key).eqNullSafe(F.col(names[3])))
+    longest = met.groupBy(names[0]).agg(F.max(names[1]).alias(names[1]))
+    return met.join(longest, [names[0], names[1]], "left_semi").dropDuplicates([names[0]]).select(*docs.columns)

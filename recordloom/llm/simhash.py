@@ -83,6 +83,12 @@ def fingerprints(texts: list[bytes | None], size: int = SHINGLE, tables: int = 1
     return out
 
 
+def _prints_column(text, size: int, tables: int) -> pa.ListArray:
+    prints = fingerprints(raw(text), size, tables)
+    offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * tables)
+    return pa.ListArray.from_arrays(offsets, pa.array(prints.view(np.int64).ravel()))
+
+
 def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, tables: int = 1) -> DataFrame:
     """(id, fps array<long>) of each row."""
     ship(docs.sparkSession)
@@ -90,14 +96,24 @@ def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id",
 
     def run(batches):
         for batch in batches:
-            prints = fingerprints(raw(batch.column(1)), size, tables)
-            flat = pa.array(prints.view(np.int64).ravel())
-            offsets = pa.array(np.arange(len(prints) + 1, dtype=np.int32) * tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _prints_column(batch.column(1), size, tables)], names=["id", "fps"])
 
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def add_fingerprints(docs: DataFrame, name: str, text: str = "text", size: int = SHINGLE, tables: int = 1) -> DataFrame:
+    """``docs`` with a column of fingerprints."""
+    ship(docs.sparkSession)
+    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField(name, T.ArrayType(T.LongType()))])
+    names, at = schema.names, docs.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, _prints_column(batch.column(at), size, tables)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
+
 # ------------------------------------------------------------- vantage points
 
 
@@ -349,15 +365,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
-    """One row per input row: ``key``, ``fingerprint`` (16 hex digits, of the first table), ``component_id``.
-
-    Rows link where their fingerprints differ in at most ``bits`` bits in one of ``tables`` tables; the component is
-    the smallest key reachable, the row's own included.  Texts of fewer than ``size`` words have all their words as
-    one shingle; null and wordless texts have the fingerprint zero and link like others.  Rows with a null key take
-    part; a component of null keys only has a null id.  Repeated keys give a row each.  Other columns are left out.
-    """
-    prints = hold(with_fingerprints(docs, text, key, size, tables), "prints")
+def _components(prints: DataFrame, bits: int, tables: int) -> DataFrame:
+    """(fps, node, component_id) of the distinct fingerprints of rows (id, fps) with an id; the node is the least id."""
     nodes = hold(prints.where("id is not null").groupBy("fps").agg(F.min("id").alias("node")), "nodes")
     table = nodes.select(F.posexplode("fps").alias("table", "fp"), "node")
     if tables > 1:
@@ -368,7 +377,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     else:
         links = link_fingerprints(table, bits)
     found = components(links)
-    named = nodes.join(found, "node", "left").select(F.col("fps").alias("_fps"), F.coalesce("component", "node").alias("component_id"))
+    return nodes.join(found, "node", "left").select("fps", "node", F.coalesce("component", "node").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
+    """One row per input row: ``key``, ``fingerprint`` (16 hex digits, of the first table), ``component_id``.
+
+    Rows link where their fingerprints differ in at most ``bits`` bits in one of ``tables`` tables; the component is
+    the smallest key reachable, the row's own included.  Texts of fewer than ``size`` words have all their words as
+    one shingle; null and wordless texts have the fingerprint zero and link like others.  Rows that share a key are one
+    document.  A row with a null key links nothing; it gets the component of rows with its fingerprints, or null where
+    there is none.  Other columns are left out, whatever their names; an empty table gives no rows.
+    """
+    prints = hold(with_fingerprints(docs, text, key, size, tables), "prints")
+    named = _components(prints, bits, tables).select(F.col("fps").alias("_fps"), "component_id")
     # One print may be that of a third of all rows; the other side has one row a print, and AQE splits the large part.
     out = prints.join(named, F.col("fps") == F.col("_fps"), "left")
     digits = F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0"))
@@ -378,9 +400,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
     """``docs`` with one row of each group of near duplicates, the one with the smallest key; all columns stay.
 
-    Of rows that share that key, each stays; rows with a null key stay only where their group has no other.
+    Of rows that share that key one stays.  Rows with a null key stay, one for each set of fingerprints, where no row
+    with a key has the same.
     """
-    groups = near_duplicates(docs, text, key, size, bits, tables)
-    kept = free_name(docs.columns, "_kept")
-    heads = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias(kept)).distinct()
-    return docs.join(heads, docs[key] == F.col(kept), "left_semi")
+    prints = hold(with_fingerprints(docs, text, key, size, tables), "prints")
+    named = hold(_components(prints, bits, tables), "named")
+    kept, own = free_name(docs.columns, "_kept"), free_name(docs.columns, "_prints")
+    heads = named.select(F.col("component_id").alias(kept)).distinct()
+    with_key = docs.join(heads, docs[key] == F.col(kept), "left_semi").dropDuplicates([key])
+    without = add_fingerprints(docs.where(F.col(key).isNull()), own, text, size, tables)
+    without = without.join(named.select(F.col("fps").alias(kept)), F.col(own) == F.col(kept), "left_anti").dropDuplicates([own])
+    return with_key.unionByName(without.select(*docs.columns))

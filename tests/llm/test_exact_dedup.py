@@ -52,3 +52,9 @@ def test_drop_copies_keeps_columns(documents):
     out = drop_copies(documents)
     assert out.columns == documents.columns
     assert out.count() == exact_dedup(documents).where("kept").count()
+
+
+def test_drop_copies_keeps_one_of_repeated_rows(odd):
+    out = drop_copies(odd)
+    assert out.columns == odd.columns
+    assert out.count() == exact_dedup(odd).where("kept").count()

@@ -59,3 +59,14 @@ def test_pipeline(spark, sf):
     ended = [d for r in packed for d, s in zip(r["doc_ids"], r["doc_starts"]) if s == 0]
     assert sorted(ended) == sorted(mixed)
     assert all(r["n_ids"] <= packing.ROW for r in packed)
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf, odd, none):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, sf)
+        assert out.columns == odd.columns and out.dtypes == odd.dtypes
+        assert 0 < out.count() <= 2 * odd.count()
+        assert stage(spark, none, sf).count() == 0
+    last = corpus_pipeline.STAGES[-1][1]
+    assert sum(len([s for s in r["doc_starts"] if s == 0]) for r in last(spark, odd, sf).collect()) == odd.count()
+    assert last(spark, none, sf).count() == 0

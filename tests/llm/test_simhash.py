@@ -109,3 +109,11 @@ def test_near_copy_of_a_long_text_goes(spark):
     other[400] = "changed"
     df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(reversed(words)))], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in Z.keep_one(df, size=5, bits=3, tables=8).collect()) == [1, 3]
+
+
+def test_repeated_and_null_keys(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long), (1, long), (2, long), (None, long), (None, "other text of its own"), (None, "other text of its own"), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0), (r["text"] or "")[:5]) for r in Z.keep_one(df, size=5, bits=3, tables=2).collect())
+    assert got == [(0, "other"), (1, "w0 w1"), (3, "")]
