@@ -8,6 +8,7 @@ over the rooms finds it.  Partitions are packed by themselves, in blocks of boun
 from __future__ import annotations
 
 import base64
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -180,7 +181,8 @@ def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
                 bounds.append(np.array([len(own) - 1, *own], dtype="<u4").tobytes())
             n += batch.num_rows
         if n:
-            name = f"part-{TaskContext.get().partitionId():06d}"
+            # Each attempt has names of its own; only those returned count.
+            name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
             for what, parts in (("ids", ids), ("positions", positions), ("cu_seqlens", bounds)):
                 write_file(f"{folder}/{name}-{what}.bin", parts)
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n_rows"])

@@ -124,6 +124,8 @@ def plan(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int) ->
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 1000, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record for each row into archives under the URI ``folder``; returns (path, n_records), already written.
 
+    Archives that aren't in the result come from attempts that didn't count.
+
     A null payload is empty, a null url an empty target.  Of equal payloads of at least ``min_bytes`` bytes, the row
     with the largest key is the response that the others revisit; rows with a null key are responses.  Other columns
     are left out.  An empty table makes no archive.
@@ -138,11 +140,12 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
     words = spark.sparkContext.broadcast(dictionary(samples))
 
     def run(batches):
-        part, serial, n = TaskContext.get().partitionId(), 0, 0
+        # A repeated task may deal its rows to archives in another order, so each attempt has names of its own.
+        part, serial, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", 0, 0
         writer = Writer(words.value)
 
         def flush():
-            path = f"{folder}/part-{part:06d}-{serial:05d}.warc.zst"
+            path = f"{folder}/{part}-{serial:05d}.warc.zst"
             write_file(path, writer.frames)
             return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_records"])
 
