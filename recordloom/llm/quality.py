@@ -1,7 +1,8 @@
 """Quality classifier: logistic regression over hashed word n-grams, trained by follow-the-regularised-leader.
 
-Features are hashes of words, word pairs, and the same of word shapes (what is left of words without lower-case
-letters), each weighing its share of the text's features; a score is one sparse dot product.
+Features are hashes of words, word pairs, the same of word shapes (what is left of words without lower-case letters),
+and word pairs, triples and quadruples that end as they begin, each weighing its share of the text's features; a score
+is one sparse dot product.
 """
 
 from __future__ import annotations
@@ -27,19 +28,27 @@ SCALE = 20.0
 _LOWER = bytes(range(97, 123)) + bytes(range(128, 256))
 
 
-def _grams(words: list[bytes], salt: int) -> list[np.ndarray]:
-    h = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
+
+
+def _grams(h: np.ndarray, salt: int) -> list[np.ndarray]:
     return [mix(h, salt), mix(h[:-1] * np.uint64(0x100000001B3) + h[1:], salt + 1)]
 
 
+def _repeats(h: np.ndarray) -> list[np.ndarray]:
+    """One feature for all words that the next one repeats, one for the next but one, and so on."""
+    return [mix(np.full(int((h[k:] == h[:-k]).sum()), k, dtype=np.uint64), 6) for k in (1, 2, 3)]
+
+
 def features(text: bytes | None, bits: int = BITS) -> np.ndarray:
     """Hashed n-grams, repeats included; none for texts without words."""
     text = text or b""
     words = text.split()
     if not words:
         return np.zeros(0, dtype=np.int64)
-    shapes = text.translate(None, _LOWER).split()
-    found = np.concatenate([*_grams(words, 0), *(_grams(shapes, 2) if shapes else [])])
+    h = _hashes(words)
+    found = np.concatenate([*_grams(h, 0), *_grams(_hashes(text.translate(None, _LOWER).split()), 2), *_repeats(h)])
     return (found >> np.uint64(64 - bits)).astype(np.int64)
 
 
