@@ -4,6 +4,7 @@ import numpy as np
 import public_tokenizers
 
 from recordloom.llm import packing as K
+from recordloom.llm.shared import read_file
 from recordloom.tables import scratch
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -90,6 +91,13 @@ def test_files(spark, documents):
         ids, places = (K.read_matrix(f"{folder}/{r['name']}-{what}.bin") for what in ("ids", "positions"))
         assert ids.shape == places.shape == (r["n_rows"], 2048)
         total += len(ids)
-        bounds = np.frombuffer(K.read_file(f"{folder}/{r['name']}-cu_seqlens.bin"), "<u4") if hasattr(K, "read_file") else None
-        assert bounds is None or len(bounds)
+        flat = np.frombuffer(read_file(f"{folder}/{r['name']}-cu_seqlens.bin"), "<u4").tolist()
+        at = 0
+        for row, place in zip(ids, places):
+            n = flat[at]
+            bounds = flat[at + 1 : at + 2 + n]
+            assert bounds[0] == 0 and len(bounds) == n + 1 and (place[bounds[:-1]] == 0).all()
+            assert all((row[b - 1] == 50256 or b == 2048 or place[b - 1] == 2047) for b in bounds[1:])
+            at += n + 2
+        assert at == len(flat)
     assert total == packed.count()
