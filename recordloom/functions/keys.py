@@ -47,24 +47,29 @@ def profile_to_key(profile: Column | str) -> Column:
     """
     p = col(profile)
     checked = F.when(F.size(p) == 12, p.cast("array<double>")).otherwise(F.raise_error(F.lit("a pitch-class profile has 12 values")).cast("array<double>"))
-    mean = _total(checked) / 12
-    centred = F.transform(checked, lambda a: a - mean)
-    norm = F.sqrt(_total(F.transform(centred, lambda a: a * a)))
 
-    def entry(k: int) -> Column:
+    def template(k: int) -> Column:
         name, values = TEMPLATES[k]
-        middle = sum(values) / 12
-        own = [v - middle for v in values]
-        size = sum(v * v for v in own) ** 0.5
-        top = _total(F.zip_with(centred, F.array(*[F.lit(v) for v in own]), lambda a, b: a * b))
-        r = F.when(norm == 0, 0.0).otherwise(top / F.nullif(norm * size, F.lit(0.0)))
-        return F.struct((-r).alias("r"), F.lit(k).alias("k"), F.lit(name).alias("name"))
-
-    ranked = F.array_sort(F.array(*[entry(k) for k in range(24)]))
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    margin = second["r"] - best["r"]
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), margin / FULL_MARGIN))
-    return F.when(p.isNotNull(), F.struct(best["name"].alias("key"), F.round(confidence, 3).alias("confidence"), F.round(-best["r"], 4).alias("correlation"), second["name"].alias("runner_up")))
+        own = [v - sum(values) / 12 for v in values]
+        return F.struct(F.lit(k).alias("k"), F.lit(name).alias("name"), F.lit(sum(v * v for v in own) ** 0.5).alias("norm"), F.array(*[F.lit(v) for v in own]).alias("own"))
+
+    templates = F.array(*[template(k) for k in range(24)])
+    centred = bind(bind(checked, lambda v: F.struct(v.alias("v"), (_total(v) / 12).alias("mean"))), lambda s: F.transform(s["v"], lambda a: a - s["mean"]))
+    heard = bind(centred, lambda c: F.struct(c.alias("v"), F.sqrt(_total(F.transform(c, lambda a: a * a))).alias("norm")))
+
+    def rank(h: Column) -> Column:
+        def entry(t: Column) -> Column:
+            r = F.when(h["norm"] == 0, 0.0).otherwise(_total(F.zip_with(h["v"], t["own"], lambda a, b: a * b)) / F.nullif(h["norm"] * t["norm"], F.lit(0.0)))
+            return F.struct((-r).alias("r"), t["k"].alias("k"), t["name"].alias("name"))
+
+        return F.array_sort(F.transform(templates, entry))
+
+    def answer(ranked: Column) -> Column:
+        best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (second["r"] - best["r"]) / FULL_MARGIN))
+        return F.struct(best["name"].alias("key"), F.round(confidence, 3).alias("confidence"), F.round(-best["r"], 4).alias("correlation"), second["name"].alias("runner_up"))
+
+    return F.when(p.isNotNull(), bind(bind(heard, rank), answer))
 
 
 def normalize_key(raw: Column | str) -> Column:
