@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import decontaminate, mixing, packing, quality, queries, simhash
+from recordloom.llm import decontaminate, mixing, packing, quality, queries, similar
 from recordloom.llm.shared import hold, table
 
 
@@ -17,12 +17,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: eight fingerprints over five words, linked where one is within three bits.
-
-    At a similarity of 0.8 fingerprints are about ten bits apart, at 0.97 about four; three bits leave texts below
-    0.8 alone, and several fingerprints find most pairs well above it.
-    """
-    return simhash.keep_one(docs, size=5, bits=3, tables=8)
+    """One document of each group linked by a similarity of 0.8 or more over five words, which is worked out exactly."""
+    return similar.keep_one(docs, size=5, tenths=8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
