@@ -26,6 +26,8 @@ BUCKETS = 1 << 15
 TRAIN_DOCS = 150
 TRAIN_CHARS = 20_000
 TRAIN_WORDS = 150_000
+#: UTF-8 bytes of a word at most; a longer one, as a line of a text without spaces is, is a run of words.
+PIECE = 40
 #: Words of a sequence.
 LENGTH = 48
 ROUNDS = 60
@@ -36,11 +38,8 @@ _ENDS = "\"'.,;:!?()[]{}<>-*#$%&/|"
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, words): of each word's byte n-grams, with marks at its ends, and its affixes, in order of the words.
-
-    Of a very long word, only those of its start and end.
-    """
-    data = [w if len(w) <= 42 else w[:21] + w[-21:] for w in (f"^{w}$".encode() for w in words)]
+    """(buckets, words): of each word's byte n-grams, with marks at its ends, and its affixes, in order of the words."""
+    data = [f"^{w}$".encode() for w in words]
     sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
     flat = np.frombuffer(b"".join(data) + b"\0" * 4, dtype=np.uint8).astype(np.uint64)
     n = len(flat) - 4
@@ -67,10 +66,22 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes)[order] % np.uint64(BUCKETS)).astype(np.int64), who[order]
 
 
+def pieces(word: str) -> list[str]:
+    """``word``, or consecutive pieces of it of at most PIECE UTF-8 bytes, about alike in bytes and never split inside a character."""
+    if len(word) * 4 <= PIECE or (size := len(word.encode())) <= PIECE:
+        return [word]
+    # Characters have up to four bytes, so a piece may be three bytes over its share.
+    share = size / -(-size // (PIECE - 3))
+    ends = np.cumsum(np.fromiter((len(c.encode()) for c in word), dtype=np.int64, count=len(word)))
+    cuts = np.flatnonzero(np.diff(np.ceil(ends / share - 1e-9), prepend=1)).tolist()
+    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True) if a < b]
+
+
 def tokens(text: str) -> list[str]:
-    """Lower-case words without marks at their ends; words without a letter are left out."""
+    """Lower-case words without marks at their ends, long ones in pieces; words without a letter are left out."""
     words = [w.strip(_ENDS) for w in text.lower().split()]
-    return [w for w in words if w and (w.isalpha() or _LETTER.search(w))]
+    words = [w for w in words if w and (w.isalpha() or _LETTER.search(w))]
+    return [p for w in words for p in (pieces(w) if len(w) > PIECE // 4 else (w,))]
 
 
 class Crf:
@@ -280,7 +291,7 @@ class Tagger:
         for text in texts:
             own = tokens(text)
             if not own and _LETTER.search(text):
-                own = [text.lower()]
+                own = pieces(text.lower())
             batch.append(own)
             size += len(own)
             if size > 100_000:

@@ -81,3 +81,21 @@ def test_language_of_held_out_rows_is_not_learnt(documents):
     turned = documents.withColumn("lang", F.when(fold(4) == 2, F.lit("xx")).otherwise(F.col("lang")))
     a, b = (L.train(d, fold(4) != 2, docs_each=5) for d in (documents, turned))
     assert a.languages == b.languages and (a.w == b.w).all()
+
+
+def test_long_words_are_read_whole():
+    assert L.pieces("a" * 40) == ["a" * 40]
+    for word in ("a" * 41, "x" * 1000, "漢" * 14, "漢字é🙂a" * 99, "é" * 21):
+        found = L.pieces(word)
+        assert "".join(found) == word and len(found) > 1
+        sizes = [len(p.encode()) for p in found]
+        assert max(sizes) <= L.PIECE and min(sizes) >= L.PIECE // 4
+    assert "".join(L.tokens("漢字" * 500)) == "漢字" * 500
+
+
+def test_middle_of_a_text_without_spaces_counts():
+    rows = [("alpha beta gamma delta " * 50, "a"), ("юла жук щит чаща " * 50, "b")]
+    model = L.fit(rows)
+    glued = "alphabetagammadelta" + "юлажукщитчаща" * 100 + "alphabetagammadelta"
+    mixed = "юлажукщитчаща" * 100 + " alpha beta gamma"
+    assert [lang for lang, _ in L.Tagger(model).languages([glued, mixed])] == ["b", "b"]
