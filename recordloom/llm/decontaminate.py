@@ -114,7 +114,7 @@ class Automaton:
         self.window_of = [0] * len(order)
         for state in order[1:]:
             parent = self.link[state]
-            self.short[state] = (*sorted(self.whole.get(state, ())), *self.short[parent])
+            self.short[state] = (*sorted(self.whole.get(state, ()), key=lambda x: (x[0], *_null_last(x[1]))), *self.short[parent])
             self.window_of[state] = self.window_of[parent] or (state if self.length[state] >= self.window else 0)
         self.alert = [bool(self.short[s]) or bool(self.window_of[s]) for s in range(len(order))]
 
@@ -175,6 +175,10 @@ def built(name: str, block: list, window: int) -> Automaton:
     return _BUILT[name]
 
 
+def _null_last(item) -> tuple:
+    return (True, 0) if item is None else (False, item)
+
+
 def _joined(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -187,7 +191,7 @@ def _joined(spans) -> list[tuple[int, int]]:
 
 def _item_blocks(benchmark: DataFrame, item: str, text: str, block_words: int):
     """Lists of (item, words) of at most ``block_words`` words or one item, read in order of the item's id."""
-    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
+    rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text is not null")
     block, size = [], 0
     for row in rows.orderBy("item").toLocalIterator(prefetchPartitions=False):
         sequence = words(row["text"].encode())
@@ -205,8 +209,8 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items`` (array) and ``spans`` (array of word starts and ends).
 
     A document word inside any occurrence of a window is hit; a window is ``window`` consecutive item words, or a
-    whole shorter item.  Null and wordless texts have no words and no hits; null and wordless items have no window.
-    Items that share an id count once.  Other columns stay; where one has a new column's name, the new one gets
+    whole shorter item.  Null and wordless texts have no words and no hits; items of a null or wordless text have no
+    window.  Items that share an id count once; those without an id count as one item, a null at the end of ``items``.  Other columns stay; where one has a new column's name, the new one gets
     underscores before it.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
@@ -240,7 +244,7 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
                         spans, items = automaton.scan([get(w) for w in sequence])
                         n_words.append(len(sequence))
                         all_spans.append(_joined(chain(spans, ((s["start"], s["end"]) for s in old_spans))) if old_spans else spans)
-                        all_items.append(sorted(items | set(old_items)))
+                        all_items.append(sorted(items | set(old_items), key=_null_last))
                     columns = [
                         pa.array(n_words, pa.int64()),
                         pa.array([sum(e - s for s, e in x) for x in all_spans], pa.int64()),

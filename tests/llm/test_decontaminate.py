@@ -79,3 +79,12 @@ def test_spans_are_cut(spark):
     bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
     out = {r["doc_id"]: r["text"] for r in D.remove_spans(docs, bench, share=20).collect()}
     assert out == {1: "Keep this. " * 40 + "! " + "And this. " * 40, 2: None, 3: None}
+
+
+def test_items_without_an_id_hit_as_one_item(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "seven eight nine"), (3, "ten")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "two three four"), (None, "seven eight"), (5, "three four five"), (None, None)], "item_id long, text string")
+    for block_words in (1, 100):
+        out = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in D.match(docs, bench, block_words=block_words).collect()}
+        assert out == {1: (4, 2, [5, None]), 2: (2, 1, [None]), 3: (0, 0, [])}
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [3]
