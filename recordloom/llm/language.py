@@ -22,7 +22,8 @@ from .line_dedup import mix
 from .shared import free_name, raw, ship
 
 BUCKETS = 1 << 15
-#: Documents a language, characters of a document and words of all, that the model is fitted on at most.
+#: Documents a language, characters of a document and words of all languages, that the model is fitted on at most; each
+#: language has an equal share of the words, and those that need less leave the rest to the others.
 TRAIN_DOCS = 150
 TRAIN_CHARS = 20_000
 TRAIN_WORDS = 150_000
@@ -167,16 +168,32 @@ def switched(rows: list[tuple[list[str], int]], seed: int = 11) -> list[list[tup
     return [s for s in out if s]
 
 
-def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS, l2: float = 1e-3) -> Crf | None:
-    """A model from (text, language) rows; None where no row has a word.  Adagrad on the exact gradient."""
+def shares(needs: list[int], most: int) -> list[int]:
+    """``most`` dealt out evenly over ``needs``; what one doesn't need goes to the others."""
+    out = [0] * len(needs)
+    order = sorted(range(len(needs)), key=needs.__getitem__)
+    for place, k in enumerate(order):
+        out[k] = min(needs[k], most // (len(order) - place))
+        most -= out[k]
+    return out
+
+
+def fit(rows: list[tuple[str, str]], rounds: int = ROUNDS, l2: float = 1e-3, max_words: int = TRAIN_WORDS) -> Crf | None:
+    """A model from (text, language) rows; None where no row has a word.  Adagrad on the exact gradient.
+
+    A language's texts are taken in order up to its share of ``max_words``; its first text is always taken, the last one whole.
+    """
     languages = sorted({lang for _, lang in rows})
     place = {lang: i for i, lang in enumerate(languages)}
-    split, total = [], 0
-    for text, lang in rows:
-        own = tokens(text)
-        if own and total < TRAIN_WORDS:
-            split.append((own, place[lang]))
-            total += len(own)
+    texts = [(own, place[lang]) for text, lang in rows if (own := tokens(text))]
+    needs = [0] * len(languages)
+    for own, label in texts:
+        needs[label] += len(own)
+    split, room, taken = [], shares(needs, max_words), [0] * len(languages)
+    for own, label in texts:
+        if not taken[label] or taken[label] < room[label]:
+            split.append((own, label))
+            taken[label] += len(own)
     if not split:
         return None
     spread: dict[str, Counter] = defaultdict(Counter)
@@ -311,10 +328,11 @@ def tagger_of(name: str, model: Crf) -> Tagger:
     return _TAGGERS[name]
 
 
-def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS) -> Crf | None:
+def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, max_words: int = TRAIN_WORDS) -> Crf | None:
     """A model from rows for which ``learnable`` holds and whose language and text aren't null.
 
-    About ``docs_each`` texts of each language, of at most ``max_chars`` characters, chosen by a hash of the key.
+    About ``docs_each`` texts of each language, of at most ``max_chars`` characters, chosen by a hash of the key; of all
+    languages about ``max_words`` words, in equal shares.
     """
     known = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= max_chars))
     known = known.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("train"), key).alias("o"))
@@ -323,7 +341,7 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     # A row a language, as the model has weights for each: may be broadcast.
     rows = known.join(F.broadcast(share), "lang").where(F.pmod("o", F.lit(1 << 20)) < F.col("share")).select("lang", "text", "o", "id").toPandas()
     rows = rows.sort_values(["o", "id", "text"]).groupby("lang").head(docs_each) if len(rows) else rows
-    return fit(list(zip(rows["text"], rows["lang"], strict=True)))
+    return fit(list(zip(rows["text"], rows["lang"], strict=True)), max_words=max_words)
 
 
 def with_languages(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:

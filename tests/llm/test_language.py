@@ -99,3 +99,16 @@ def test_middle_of_a_text_without_spaces_counts():
     glued = "alphabetagammadelta" + "юлажукщитчаща" * 100 + "alphabetagammadelta"
     mixed = "юлажукщитчаща" * 100 + " alpha beta gamma"
     assert [lang for lang, _ in L.Tagger(model).languages([glued, mixed])] == ["b", "b"]
+
+
+def test_each_language_has_its_share_of_the_words(spark):
+    assert L.shares([5, 100, 100], 65) == [5, 30, 30]
+    assert L.shares([5, 100], 1000) == [5, 100]
+    rows = [(i, "alpha beta gamma delta " * 50, "a") for i in range(20)] + [(100 + i, "uno dos tres cuatro " * 5, "b") for i in range(2)]
+    by = {"a": "alpha beta gamma", "b": "dos tres cuatro"}
+    texts = [(text, lang) for _, text, lang in rows]
+    model = L.fit(texts, max_words=400)
+    assert L.Tagger(model).languages(list(by.values()))[1][0] == "b"
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.train(df, F.lit(True), max_words=400)
+    assert [lang for lang, _ in L.Tagger(model).languages(list(by.values()))] == ["a", "b"]
