@@ -216,6 +216,7 @@ def queries() -> dict[str, Query]:
         "strip_echo": lambda s, d: _t(s, d).select("ord", X.strip_artist_echo("artist", "song").alias("stripped")),
         "book_details": lambda s, d: _t(s, d).select("ord", X.book_details("length_seconds", "bitrate_bps", "tag_year", "tag_album").alias("details")),
         "metadata_line": lambda s, d: _t(s, d).where("ord % 13 <> 0").select("ord", X.metadata_line("length_seconds", "bitrate_bps", "mp3_size", "cdg_size", "mp3_hash", "mp3_hash").alias("line")),
+        "metadata_line_all": lambda s, d: _t(s, d).where("mp3_size is null or try_cast(mp3_size as bigint) is not null").select("ord", X.metadata_line("length_seconds", "bitrate_bps", "mp3_size", "cdg_size", "mp3_hash", "mp3_hash").alias("line")),
         "parse_stem": lambda s, d: _t(s, d).select("ord", S.parse_artist_song(X.stem("path")).alias("p")).select("ord", "p.*"),
         "split_stem": _stem(lambda c: _joined(S.split_stem(c)), "parts"),
         "catalog_segment": lambda s, d: _t(s, d).select("ord", S.is_catalog_segment("song").alias("strict"), S.is_catalog_segment("song", True).alias("relaxed")),
