@@ -35,6 +35,8 @@ SHARD_ROOTS = 64
 SHARD_OVER = 4
 #: Fingerprints that are compared each with each, without a tree.
 SMALL = 1 << 10
+#: Hashes that vote at once, so that a very long text needs no more memory.
+VOTES = 1 << 18
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64)
 
 
@@ -61,9 +63,13 @@ def vote(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     if not len(hashes):
         return out
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    at = owner[:, None] * 2048 + np.arange(8) * 256 + hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    counts = np.bincount(at.ravel(), minlength=len(sizes) * 2048).reshape(len(sizes), 8, 256)
-    bits = (2 * (counts @ _BYTE_BITS).reshape(len(sizes), 64) > sizes[:, None]).astype(np.uint8)
+    counts = np.zeros(len(sizes) * 2048, dtype=np.int64)
+    for start in range(0, len(hashes), VOTES):
+        part = hashes[start : start + VOTES].astype("<u8").view(np.uint8).reshape(-1, 8)
+        at = owner[start : start + VOTES, None] * 2048 + np.arange(8) * 256 + part
+        counts += np.bincount(at.ravel(), minlength=len(counts))
+    ones = counts.reshape(len(sizes), 8, 256) @ _BYTE_BITS
+    bits = (2 * ones.reshape(len(sizes), 64) > sizes[:, None]).astype(np.uint8)
     return np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
 
 
@@ -90,28 +96,20 @@ def _prints_column(text, size: int, tables: int) -> pa.ListArray:
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, tables: int = 1) -> DataFrame:
-    """(id, fps array<long>) of each row."""
+    """(id, mark, fps array<long>) of each row; ``mark`` is a hash of the text."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("fps", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("mark", T.LongType()), T.StructField("fps", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _prints_column(batch.column(1), size, tables)], names=["id", "fps"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _prints_column(batch.column(2), size, tables)], names=schema.names)
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def add_fingerprints(docs: DataFrame, name: str, text: str = "text", size: int = SHINGLE, tables: int = 1) -> DataFrame:
-    """``docs`` with a column of fingerprints."""
-    ship(docs.sparkSession)
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField(name, T.ArrayType(T.LongType()))])
-    names, at = schema.names, docs.columns.index(text)
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, _prints_column(batch.column(at), size, tables)], names=names)
-
-    return docs.mapInArrow(run, schema)
+def with_rows(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written, with a number for each row in a column ``row``."""
+    return hold(df.withColumn("row", F.monotonically_increasing_id()), label)
 
 
 # ------------------------------------------------------------- vantage points
@@ -233,37 +231,44 @@ def _link_dense(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest)
     _link_rows(prints, rows, bits, forest)
 
 
-def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among distinct ``prints``, by a vantage-point tree down to small blocks."""
-    forest = Forest(len(prints))
+def blocks(prints: np.ndarray, bits: int):
+    """Positions, block by block, by a vantage-point tree: any two prints within ``bits`` bits share a block.
+
+    A block of more than SMALL prints is one that no vantage point divides.
+    """
     stack = [np.arange(len(prints))]
     while stack:
         rows = stack.pop()
-        own = prints[rows]
-        if len(rows) <= SMALL:
-            for start in range(0, len(rows), 128):
-                a, b = np.nonzero(np.bitwise_count(own[start : start + 128, None] ^ own[None, start:]) <= bits)
-                later = b > a
-                if later.sum() > 4 * len(rows):  # a dense block
-                    _link_rows(prints, rows, bits, forest)
-                    break
-                for x, y in zip(rows[start + a[later]].tolist(), rows[start + b[later]].tolist(), strict=True):
-                    forest.join(x, y)
-            continue
-        split = choose_split(own, bits)
+        split = choose_split(prints[rows], bits) if len(rows) > SMALL else None
         if split is None:
-            _link_dense(prints, rows, bits, forest)
+            yield rows
             continue
-        d = distances(own, split[0])
+        d = distances(prints[rows], split[0])
         stack += [rows[d <= split[1]], rows[d > split[1] - bits]]
-    return forest.links
 
 
-def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, shard: int | None = None, shard_max: int | None = None) -> DataFrame:
-    """Links (a, b) of ``nodes`` (table int, fp long, node), enough to join all within ``bits`` bits in a table.
+def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among distinct ``prints``, by a vantage-point tree down to small blocks."""
+    forest = Forest(len(prints))
+    for rows in blocks(prints, bits):
+        if len(rows) > SMALL:
+            _link_dense(prints, rows, bits, forest)
+            continue
+        own = prints[rows]
+        for start in range(0, len(rows), 128):
+            a, b = np.nonzero(np.bitwise_count(own[start : start + 128, None] ^ own[None, start:]) <= bits)
+            later = b > a
+            if later.sum() > 4 * len(rows):  # a dense block
+                _link_rows(prints, rows, bits, forest)
+                break
+            for x, y in zip(rows[start + a[later]].tolist(), rows[start + b[later]].tolist(), strict=True):
+                forest.join(x, y)
+    return forest.links
 
-    (table, fp) has to be distinct.
-    """
+
+def route_fingerprints(nodes: DataFrame, bits: int, sample: int = SAMPLE, shard: int | None = None, shard_max: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(shard, fp, node) of all shards that ``nodes`` (table int, fp long, node) belong to or reach over a boundary, and
+    (shard, n) of the shards of more than ``shard_max``, of which there are fewer than rows over ``shard_max``."""
     spark = nodes.sparkSession
     ship(spark)
     kind = nodes.schema["node"].dataType
@@ -300,7 +305,28 @@ def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMP
                     yield pa.RecordBatch.from_arrays([pa.array(shard_ids), pa.array(prints[at]), batch.column(2).take(pa.array(at))], names=["shard", "fp", "node"])
 
     routed = hold(nodes.select("table", "fp", "node").mapInArrow(route, routed_schema), "routed")
-    large = [r["shard"] for r in routed.groupBy("shard").count().where(F.col("count") > shard_max).select("shard").collect()]
+    large = hold(routed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_max).withColumn("parts", F.ceil(2 * F.col("n") / shard_max)), "large")
+    return routed, large
+
+
+def deal_parts(routed: DataFrame, large: DataFrame) -> DataFrame:
+    """``routed`` with columns ``i`` and ``j``: those of a large shard dealt into parts, and each row once for each other
+    part, so that any two rows share a group (shard, i, j), of bounded size."""
+    # A row a large shard, each of shard_max rows or more: may be broadcast.
+    rows = routed.join(F.broadcast(large.select("shard", "parts")), "shard", "left")
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("own"))
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
+    return rows.select("shard", F.coalesce(F.least("own", "other"), F.lit(0)).alias("i"), F.coalesce(F.greatest("own", "other"), F.lit(0)).alias("j"), "fp", "node")
+
+
+def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, shard: int | None = None, shard_max: int | None = None) -> DataFrame:
+    """Links (a, b) of ``nodes`` (table int, fp long, node), enough to join all within ``bits`` bits in a table.
+
+    (table, fp) has to be distinct.
+    """
+    routed, large = route_fingerprints(nodes, bits, sample, shard, shard_max)
+    kind = nodes.schema["node"].dataType
     link_schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
 
     def within(group: pa.Table) -> pa.Table:
@@ -309,19 +335,20 @@ def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMP
         ids = group.column("node").combine_chunks()
         return pa.table([ids.take(pa.array(links[:, 0])), ids.take(pa.array(links[:, 1]))], names=["a", "b"])
 
-    some = routed.where(~F.col("shard").isin(large)) if large else routed
-    links = some.groupBy("shard").applyInArrow(within, link_schema)
-    if large:
-        links = links.unionByName(_links_of_large(routed.where(F.col("shard").isin(large)), bits, link_schema))
-    return links
+    if not large.limit(1).count():
+        return routed.groupBy("shard").applyInArrow(within, link_schema)
+    if bits > 2:
+        return deal_parts(routed, large).groupBy("shard", "i", "j").applyInArrow(within, link_schema)
+    ids = F.broadcast(large.select("shard"))
+    links = routed.join(ids, "shard", "left_anti").groupBy("shard").applyInArrow(within, link_schema)
+    return links.unionByName(_links_of_large(routed.join(ids, "shard", "left_semi"), bits, link_schema))
 
 
 def _links_of_large(routed: DataFrame, bits: int, schema: T.StructType) -> DataFrame:
-    """Links of shards that no vantage point divides and that are too large for a task.
+    """Links, up to two bits, of shards that no vantage point divides and that are too large for a task.
 
-    Each print goes to its midpoints within half of ``bits``, and is linked to the first one there.  For odd ``bits``
-    each also goes to those one bit farther, and is linked to the first of the nearer ones there: of two prints that
-    many bits apart, one is near a midpoint and the other one bit farther.
+    Each print goes to its midpoints within half of ``bits``, and is linked to the first one there.  For one bit each
+    also goes to those one bit farther, and is linked to the first of the nearer ones there.
     """
     def spread(flips: int) -> DataFrame:
         masks = midpoints(np.zeros(1, dtype=np.uint64), flips)[:, 0].view(np.int64).tolist()
@@ -337,8 +364,9 @@ def _links_of_large(routed: DataFrame, bits: int, schema: T.StructType) -> DataF
 # ---------------------------------------------------------------- components
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of a link reaches, by alternating large and small stars."""
+def components(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that each node of a link reaches, by alternating large and small stars until
+    nothing changes."""
     def state(df):
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         return row["n"], row["h"]
@@ -356,18 +384,19 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     now = hold(links.where("a <> b").distinct(), "links")
     before = state(now)
-    for _ in range(rounds):
+    last = None
+    while before != last:
         after = hold(star(star(now, True), False), "stars")
         drop_held(now)
         now, last, before = after, before, state(after)
-        if before == last:
-            break
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
 
 
 def _components(prints: DataFrame, bits: int, tables: int) -> DataFrame:
-    """(fps, node, component_id) of the distinct fingerprints of rows (id, fps) with an id; the node is the least id."""
-    nodes = hold(prints.where("id is not null").groupBy("fps").agg(F.min("id").alias("node")), "nodes")
+    """(fps, node, component, n, first) of the distinct fingerprints of ``prints``; ``first`` is (no_id, id, mark, row)
+    of the row with the smallest id, and ``node`` the smallest row number."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
+    nodes = hold(prints.groupBy("fps").agg(F.min("row").alias("node"), first), "nodes")
     table = nodes.select(F.posexplode("fps").alias("table", "fp"), "node")
     if tables > 1:
         # Nodes that share a table's print are linked through the first of them.
@@ -377,7 +406,7 @@ def _components(prints: DataFrame, bits: int, tables: int) -> DataFrame:
     else:
         links = link_fingerprints(table, bits)
     found = components(links)
-    return nodes.join(found, "node", "left").select("fps", "node", F.coalesce("component", "node").alias("component_id"))
+    return nodes.join(found, "node", "left").select("fps", "node", F.coalesce("component", "node").alias("component"), "first")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
@@ -385,29 +414,43 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     Rows link where their fingerprints differ in at most ``bits`` bits in one of ``tables`` tables; the component is
     the smallest key reachable, the row's own included.  Texts of fewer than ``size`` words have all their words as
-    one shingle; null and wordless texts have the fingerprint zero and link like others.  Rows that share a key are one
-    document.  A row with a null key links nothing; it gets the component of rows with its fingerprints, or null where
-    there is none.  Other columns are left out, whatever their names; an empty table gives no rows.
+    one shingle; null and wordless texts have the fingerprint zero and link like others; texts are read whole, however
+    long.  Rows are linked, not keys: rows that share a key are documents of their own, and rows with a null key link
+    like others, but name a component only (by null) where none of its rows has a key.  Other columns are left out,
+    whatever their names; an empty table gives no rows.
     """
-    prints = hold(with_fingerprints(docs, text, key, size, tables), "prints")
-    named = _components(prints, bits, tables).select(F.col("fps").alias("_fps"), "component_id")
+    prints = with_rows(with_fingerprints(docs, text, key, size, tables), "prints")
+    named = hold(_components(prints, bits, tables), "named")
+    least = named.groupBy("component").agg(F.min("first.id").alias("component_id"))
+    names = named.select(F.col("fps").alias("_fps"), "component").join(least, "component").select("_fps", "component_id")
     # One print may be that of a third of all rows; the other side has one row a print, and AQE splits the large part.
-    out = prints.join(named, F.col("fps") == F.col("_fps"), "left")
+    out = prints.join(names, F.col("fps") == F.col("_fps"), "left")
     digits = F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0"))
     return out.select(F.col("id").alias(key), digits.alias("fingerprint"), "component_id")
 
 
+def keep_heads(docs: DataFrame, rows: DataFrame, heads: DataFrame, text: str, key: str) -> DataFrame:
+    """The rows of ``docs`` with the key and text of one of ``heads`` (id, mark); of those that share both one stays.
+
+    ``rows`` (id, mark) are those of ``docs``; ``mark`` is xxhash64 of the text.
+    """
+    names = [free_name(docs.columns, n) for n in ("_mark", "_head_id", "_head_mark")]
+    heads = heads.select(F.col("id").alias(names[1]), F.col("mark").alias(names[2]))
+    marked = docs.withColumn(names[0], F.xxhash64(text))
+    same = F.col(names[0]) == F.col(names[2])
+    with_key = marked.join(heads.where(F.col(names[1]).isNotNull()), (F.col(key) == F.col(names[1])) & same, "left_semi")
+    without = marked.where(F.col(key).isNull()).join(heads.where(F.col(names[1]).isNull()), same, "left_semi")
+    if rows.groupBy("id", "mark").count().where("count > 1").limit(1).count():
+        with_key, without = with_key.dropDuplicates([key, names[0]]), without.dropDuplicates([names[0]])
+    return with_key.unionByName(without).drop(names[0])
+
+
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, bits: int = MAX_BITS, tables: int = 1) -> DataFrame:
-    """``docs`` with one row of each group of near duplicates, the one with the smallest key; all columns stay.
+    """``docs`` with one row of each group of near duplicates, the one with the smallest key, null last; all columns stay.
 
-    Of rows that share that key one stays.  Rows with a null key stay, one for each set of fingerprints, where no row
-    with a key has the same.
+    Rows are linked as by :func:`near_duplicates`; of rows that share the kept key and text one stays.
     """
-    prints = hold(with_fingerprints(docs, text, key, size, tables), "prints")
-    named = hold(_components(prints, bits, tables), "named")
-    kept, own = free_name(docs.columns, "_kept"), free_name(docs.columns, "_prints")
-    heads = named.select(F.col("component_id").alias(kept)).distinct()
-    with_key = docs.join(heads, docs[key] == F.col(kept), "left_semi").dropDuplicates([key])
-    without = add_fingerprints(docs.where(F.col(key).isNull()), own, text, size, tables)
-    without = without.join(named.select(F.col("fps").alias(kept)), F.col(own) == F.col(kept), "left_anti").dropDuplicates([own])
-    return with_key.unionByName(without.select(*docs.columns))
+    prints = with_rows(with_fingerprints(docs, text, key, size, tables), "prints")
+    named = _components(prints, bits, tables)
+    heads = named.groupBy("component").agg(F.min("first").alias("first")).select("first.id", "first.mark")
+    return keep_heads(docs, prints, heads, text, key)

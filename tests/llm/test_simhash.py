@@ -65,6 +65,7 @@ def test_long_chain(spark):
 
 
 def check(df):
+    """Against brute force, by row: a row without a key links like others."""
     rows = [(r["doc_id"], r["text"]) for r in df.collect()]
     got = {}
     for r in Z.near_duplicates(df).collect():
@@ -82,7 +83,31 @@ def check(df):
 
 
 def test_odd_rows(odd):
-    check(odd.where("doc_id is not null or text is null"))
+    check(odd)
+
+
+def prints_by_row(spark, monkeypatch, rows):
+    """Components of rows (id, fingerprint) in order, the fingerprints as they are given."""
+    df = spark.createDataFrame([(i, k) for k, (i, _) in enumerate(rows)], "doc_id long, k long")
+    fps = {k: p for k, (_, p) in enumerate(rows)}
+    table = df.rdd.map(lambda r: (r["doc_id"], r["k"], [fps[r["k"]]])).toDF("id long, mark long, fps array<long>")
+    monkeypatch.setattr(Z, "with_fingerprints", lambda *_: table)
+    return sorted((r["fingerprint"], r["component_id"]) for r in Z.near_duplicates(df, "doc_id").collect())
+
+
+def test_rows_without_a_key_link(spark, monkeypatch):
+    assert prints_by_row(spark, monkeypatch, [(1, 0), (None, 3), (9, 15)]) == [(f"{p:016x}", 1) for p in (0, 3, 15)]
+
+
+def test_rows_that_share_a_key_are_told_apart(spark, monkeypatch):
+    far, one = 0xFFFF, 1
+    found = prints_by_row(spark, monkeypatch, [(5, 0), (5, far), (2, one), (3, far ^ 1)])
+    assert found == [(f"{0:016x}", 2), (f"{1:016x}", 2), (f"{far ^ 1:016x}", 3), (f"{far:016x}", 3)]
+
+
+def test_very_long_chain(spark):
+    links = spark.range(100_000).selectExpr("id as a", "id + 1 as b")
+    assert Z.components(links).where("component <> 0").count() == 0
 
 
 def test_documents(documents):
