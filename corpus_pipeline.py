@@ -17,7 +17,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more over five words, which is worked out exactly."""
+    """One document of each group linked by a similarity of 0.8 or more over five words.
+
+    Fingerprints find the pairs to compare, sets of shingles decide; see :func:`recordloom.llm.similar.keep_one`.
+    """
     return similar.keep_one(docs, size=5, tenths=8)
 
 

@@ -1,145 +1,285 @@
-"""Near copies by the exact similarity of their shingles: shared distinct shingles over all distinct ones of two texts.
+"""Near copies: SimHash fingerprints find candidates over vantage-point trees, and shingle sets decide exactly.
 
-Two texts of a similarity of ``tenths`` / 10 or more share one of the first shingles of each, in any order that is the
-same for all texts: as many as may differ and one more.  The order here puts shingles common in a sample last, so few
-texts meet by chance.  Texts that share a first shingle are compared by all of their shingles: first with one of them a
-shingle, which joins most groups, then with all that aren't in the same group yet.  No link is missed or guessed.
+Each text has ``TABLES`` fingerprints, each of the distinct words in a part of it that anchors cut out, which are
+word pairs of least hash in that table's order: changed words move a fingerprint by few bits, and what is added or cut
+elsewhere leaves a part as it was.  The trees of :mod:`simhash` bring together all pairs within ``BITS`` bits in a table.
+A wide fingerprint of the shingles then drops pairs that are far from similar, and the sets of shingles decide the rest.
+
+A block in which most are near each other gives a forest and each one's nearest first; the pairs that this leaves in
+different groups follow, nearest first, in rounds, so that large groups of copies are never compared pair by pair.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, hold, raw, ship
-from .simhash import components, shingle_hashes
+from .line_dedup import mix
+from .shared import hold, raw, ship
+from .simhash import Forest, blocks, components, deal_parts, distances, keep_heads, route_fingerprints, vote, with_rows
 
-#: Texts whose shingles are counted for the order, and shingles that the order knows as common, at most about.  Both
-#: change the work only, not the result.
-SAMPLE = 20_000
-COMMON = 300_000
+TABLES = 16
+BITS = 3
+#: 64-bit parts of the wide fingerprint, and bits in which those of similar texts differ at most: at a similarity of 0.8
+#: a bit differs with a probability of 0.151, so 38.8 on average with a deviation of 5.7.
+WIDE = 4
+WIDE_BITS = 60
+#: Bounds of the rounds over dense blocks, in bits of the wide fingerprint.
+ROUNDS = (40, 50, WIDE_BITS)
+#: Pairs a row beyond which a block is dense.
+DENSE = 4
+_LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingle_set(text: bytes | None, size: int) -> np.ndarray:
-    return np.unique(np.array(shingle_hashes(text, size), dtype=np.uint64))
+def word_codes(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the distinct words, A-Z lower-cased, and for each word of the text which of them it is."""
+    places: dict[bytes, int] = {}
+    at = np.array([places.setdefault(w, len(places)) for w in (text or b"").lower().split()], dtype=np.int64)
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in places), dtype=np.uint64, count=len(places)), at
 
 
-def _common(docs: DataFrame, text: str, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that several texts of a sample have, and in how many."""
-    total = docs.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    chosen = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select(F.col(text).alias("text")).distinct()
+def shingle_set(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Distinct hashes of each run of ``size`` words, of all words where there are fewer; none without words."""
+    if not len(at):
+        return np.zeros(0, dtype=np.uint64)
+    run = min(size, len(at))
+    words, n = hashes[at], len(at) - run + 1
+    rolling = np.full(n, run, dtype=np.uint64)
+    for k in range(run):
+        rolling = mix(rolling * np.uint64(0x100000001B3) + words[k : k + n], k)
+    return np.unique(rolling)
 
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in raw(batch.column(0))]
-            found, n = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *sets]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
-    counts = chosen.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
-    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).toPandas()
-    hashes = rows["h"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], rows["n"].to_numpy(dtype=np.int64)[order]
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
+
+
+def part_prints(texts: list[tuple[np.ndarray, np.ndarray]], tables: int = TABLES) -> np.ndarray:
+    """Array (texts, tables) of fingerprints of the distinct words in each table's part of a text.
+
+    The table's order of word pairs gives two anchors, the first places of the two least.  In even tables the part is
+    what lies between them where that is a quarter of the text or more, and else the longer of what is before and after
+    both; in odd ones what is on the shorter side of the first anchor where that is a quarter, and else the longer side.
+    So edits at both ends spare some parts, and those in the middle others.
+    """
+    out = np.zeros((len(texts), tables), dtype=np.uint64)
+    live = np.array([k for k, (h, _) in enumerate(texts) if len(h)], dtype=np.int64)
+    if not len(live):
+        return out
+    sizes = np.array([len(texts[k][0]) for k in live])
+    lengths = np.array([len(texts[k][1]) for k in live])
+    hashes = np.concatenate([texts[k][0] for k in live])
+    starts, begins = _starts(sizes), _starts(lengths)
+    code = np.concatenate([texts[k][1] for k in live]) + np.repeat(starts, lengths)
+    place = np.arange(len(code)) - np.repeat(begins, lengths)
+    words = hashes[code]
+    # A text's last word makes a pair with itself, so that each word starts one.
+    after = np.minimum(np.arange(len(code)) + 1, np.repeat(begins + lengths - 1, lengths))
+    pairs = words * np.uint64(0x100000001B3) + words[after]
+    for t in range(tables):
+        order = mix(pairs, 2 * t)
+        least = np.repeat(np.minimum.reduceat(order, begins), lengths)
+        anchor = np.minimum.reduceat(np.where(order == least, place, len(code)), begins)
+        if t % 2:
+            short = 4 * np.minimum(anchor + 1, lengths - anchor) >= lengths
+            front = (2 * anchor + 1 < lengths) == short
+            low, high = np.where(front, 0, anchor), np.where(front, anchor, lengths)
+        else:
+            order = np.where(order == least, _LAST, order)
+            least = np.repeat(np.minimum.reduceat(order, begins), lengths)
+            other = np.minimum.reduceat(np.where(order == least, place, len(code)), begins)
+            one, two = np.minimum(anchor, other), np.maximum(anchor, other)
+            middle, front = 4 * (two - one) >= lengths, one + 1 >= lengths - two
+            low = np.where(middle | ~front, np.where(middle, one, two), 0)
+            high = np.where(middle, two, np.where(front, one, lengths))
+        inside = (place >= np.repeat(low, lengths)) & (place <= np.repeat(high, lengths))
+        taken = np.zeros(len(hashes), dtype=bool)
+        taken[code[inside]] = True
+        out[live, t] = vote(mix(hashes[taken], 2 * t + 1), np.add.reduceat(taken.astype(np.int64), starts))
+    return out
 
 
-def _firsts(docs: DataFrame, text: str, key: str, size: int, tenths: int) -> DataFrame:
-    """(id, digest of the set of shingles, n of them, those that a similar text has to share one of) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text, size))
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()), T.StructField("firsts", T.ArrayType(T.LongType()))])
+def with_prints(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(id, mark, digest of the set of shingles, n of them, fps, w0.., hs: the set) of each row."""
+    ship(docs.sparkSession)
+    longs = T.ArrayType(T.LongType())
+    wide = [f"w{k}" for k in range(WIDE)]
+    schema = T.StructType([
+        T.StructField("id", docs.schema[key].dataType), T.StructField("mark", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()),
+        T.StructField("fps", longs), *[T.StructField(w, T.LongType()) for w in wide], T.StructField("hs", longs),
+    ])
 
     def run(batches):
-        known, counts = shared.value
         for batch in batches:
-            digests, sizes, firsts = [], [], []
-            for t in raw(batch.column(1)):
-                own = shingle_set(t, size)
-                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-                sizes.append(len(own))
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
-                most = len(own) + (-tenths * len(own)) // 10 + 1
-                firsts.append(own[: most if len(own) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], names=schema.names)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                texts = [word_codes(t) for t in raw(part.column(2))]
+                sets = [shingle_set(*t, size) for t in texts]
+                sizes = np.array([len(s) for s in sets], dtype=np.int64)
+                flat = np.concatenate(sets)
+                prints = part_prints(texts).view(np.int64)
+                far = [vote(mix(flat, 100 + k), sizes).view(np.int64) for k in range(WIDE)]
+                columns = [
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), pa.array(prints.ravel())),
+                    *map(pa.array, far),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64))),
+                ]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
 
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def _may_be(tenths: int, n, at, m, other):
-    """Texts of ``n`` and ``m`` shingles whose first shared ones are at these places have enough others to be similar."""
-    return F.least(n - at, m - other) * (10 + tenths) >= (n + m) * tenths
+def _near(own: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Pairs of positions within ``bits`` bits; None where there are more than ``most``."""
+    left, right, found = [], [], 0
+    for start in range(0, len(own), 64):
+        a, b = np.nonzero(np.bitwise_count(own[start : start + 64, None] ^ own[None, start:]) <= bits)
+        later = b > a
+        left.append(start + a[later])
+        right.append(start + b[later])
+        found += len(left[-1])
+        if found > most:
+            return None
+    return np.concatenate(left), np.concatenate(right)
 
 
-def _similar(pairs: DataFrame, docs: DataFrame, text: str, key: str, size: int, tenths: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts are similar."""
-    schema = T.StructType([T.StructField("node", docs.schema[key].dataType), T.StructField("hs", T.ArrayType(T.LongType()))])
-    wanted = pairs.select(F.col("a").alias("_node")).unionByName(pairs.select(F.col("b").alias("_node"))).distinct()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, F.col("id") == F.col("_node"), "left_semi")
+def _nearest(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each position's nearest other within ``bits`` bits, and a forest of all such links."""
+    forest, left, right = Forest(len(own)), [], []
+    label = np.arange(len(own))
+    for a in range(len(own)):
+        d = distances(own, own[a])
+        d[a] = 99
+        b = int(d.argmin())
+        if d[b] <= bits:
+            left.append(a)
+            right.append(b)
+        while True:
+            other = np.where(label != label[a], d, 99)
+            b = int(other.argmin())
+            if other[b] > bits:
+                break
+            forest.join(a, b)
+            label[label == label[b]] = label[a]
+    links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
+    return np.concatenate([np.array(left, dtype=np.int64), links[:, 0]]), np.concatenate([np.array(right, dtype=np.int64), links[:, 1]])
 
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t, size).view(np.int64) for t in raw(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
 
-    sets = hold(rows.mapInArrow(run, schema), "sets")
-    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return met.where(both * (10 + tenths) >= (F.size("x") + F.size("y")) * tenths).select("a", "b").distinct()
-
-
-def similar_links(nodes: DataFrame, docs: DataFrame, text: str, key: str, size: int, tenths: int) -> DataFrame:
-    """Links (a, b), enough to join all similar texts, of ``nodes`` (node, n, firsts)."""
-    rows = nodes.select("node", "n", F.posexplode("firsts").alias("at", "h"))
-    mixed = F.struct(F.xxhash64("h", "node").alias("o"), "node", "n", "at")
-    heads = rows.groupBy("h").agg(F.min(mixed).alias("head"), F.count(F.lit(1)).alias("texts")).where("texts > 1").select("h", "head")
-    rows = hold(rows.join(heads, "h"), "met")
-    near = _may_be(tenths, F.col("n"), F.col("at"), F.col("head.n"), F.col("head.at"))
-    tried = hold(rows.where(near & (F.col("node") != F.col("head.node"))).select(F.least("node", "head.node").alias("a"), F.greatest("node", "head.node").alias("b")).distinct(), "tried")
-    links = hold(_similar(tried, docs, text, key, size, tenths), "similar")
-    rows = rows.drop("head").join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
-    rows = hold(rows, "placed")
-    open_ = rows.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    rows = rows.join(open_, "h")
-    x, y = (rows.select("h", *[F.col(c).alias(f"{c}{k}") for c in ("node", "n", "at", "c")]) for k in "12")
-    near = _may_be(tenths, F.col("n1"), F.col("at1"), F.col("n2"), F.col("at2"))
-    rest = x.join(y, "h").where(near & (F.col("c1") < F.col("c2"))).select(F.least("node1", "node2").alias("a"), F.greatest("node1", "node2").alias("b")).distinct()
-    rest = hold(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    return links.unionByName(_similar(rest, docs, text, key, size, tenths))
-
-
-def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, tenths: int = 8) -> DataFrame:
-    """``docs`` with one row of each group of texts linked by a similarity of ``tenths`` / 10 or more, the one with the
-    smallest key; all columns stay.
+def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (block, fp, node) of dense blocks, of whose
+    pairs the first frame has a part."""
+    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def within(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        prints = group.column("fp").to_numpy()
+        ids = group.column("node").to_numpy()
+        name = "/".join(str(k.as_py()) for k in key)
+        out = []
+
+        def emit(block, fps, a, b):
+            n = len(a)
+            out.append(pa.table([pa.array([block] * n, pa.string()), pa.array(fps, pa.int64()) if fps is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=schema.names))
+
+        for number, rows in enumerate(blocks(prints.view(np.uint64), bits)):
+            own = prints[rows].view(np.uint64)
+            found = _near(own, bits, DENSE * len(rows))
+            if found is None:
+                found = _nearest(own, bits)
+                emit(f"{name}/{number}", prints[rows], ids[rows], None)
+            emit(None, None, ids[rows[found[0]]], ids[rows[found[1]]])
+        return pa.concat_tables(out)
 
-    Texts of fewer than ``size`` words have all their words as one shingle; null and wordless texts are equal.  Of rows
-    that share a key one stays.  Rows with a null key stay, one for each set of shingles, where no row with a key has it.
+    routed, large = route_fingerprints(nodes, bits, **options)
+    found = hold(deal_parts(routed, large).groupBy("shard", "i", "j").applyInArrow(within, schema), "candidates")
+    pairs = found.where("block is null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, found.where("block is not null").select("block", "fp", F.col("a").alias("node"))
+
+
+def open_pairs(placed: DataFrame, bits: int, low: int, high: int) -> DataFrame:
+    """Pairs (a, b) of rows (block, fp, node, c, w0..) of a block that are within ``bits`` bits, over ``low`` and up to
+    ``high`` bits apart by the wide fingerprint, and not in the same group ``c``."""
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def within(group: pa.Table) -> pa.Table:
+        own = group.column("fp").to_numpy().view(np.uint64)
+        ids, label = group.column("node").to_numpy(), group.column("c").to_numpy()
+        wide = [group.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)]
+        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for start in range(0, len(own), 64):
+            near = np.bitwise_count(own[start : start + 64, None] ^ own[None, start:]) <= bits
+            a, b = np.nonzero(near & (label[start : start + 64, None] != label[None, start:]))
+            a, b = start + a[b > a], start + b[b > a]
+            far = reduce(add, (np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in wide))
+            fits = (far > low) & (far <= high)
+            left.append(ids[a[fits]])
+            right.append(ids[b[fits]])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
+
+    apart = placed.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
+    return placed.join(apart, "block").groupBy("block").applyInArrow(within, schema).distinct()
+
+
+def _wide_distance(left: str, right: str) -> Column:
+    return reduce(add, (F.bit_count(F.col(f"{left}w{k}").bitwiseXOR(F.col(f"{right}w{k}"))) for k in range(WIDE)))
+
+
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sets of shingles have a similarity of ``tenths`` / 10 or more.
+
+    ``nodes``: (node, n, w0..), ``sets``: (node, hs).
     """
-    ship(docs.sparkSession)
-    firsts = hold(_firsts(docs, text, key, size, tenths), "firsts")
-    named = hold(firsts.where("id is not null").groupBy("digest").agg(F.min("id").alias("node")), "nodes")
-    nodes = firsts.join(named, "digest").where("id = node").select("node", "n", "firsts")
-    linked = components(similar_links(nodes, docs.where(F.col(key).isNotNull()), text, key, size, tenths))
-    kept = free_name(docs.columns, "_kept")
-    heads = named.join(linked, "node", "left").select(F.coalesce("component", "node").alias(kept)).distinct()
-    with_key = docs.join(heads, docs[key] == F.col(kept), "left_semi").dropDuplicates([key])
-    return with_key.unionByName(_without_key(docs, named, text, key, size))
+    wide = [f"w{k}" for k in range(WIDE)]
+    x, y = (nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col(w).alias(f"{side}{w}") for w in wide]) for side in "ab")
+    sized = F.least("an", "bn") * 10 >= F.greatest("an", "bn") * tenths
+    some = hold(pairs.join(x, "a").join(y, "b").where(sized & (_wide_distance("a", "b") <= WIDE_BITS)).select("a", "b"), "near")
+    wanted = hold(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct(), "wanted")
+    own = sets.join(wanted, "node", "left_semi")
+    met = some.join(own.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    return hold(met.where(both * (10 + tenths) >= (F.size("x") + F.size("y")) * tenths).select("a", "b"), "similar")
 
 
-def _without_key(docs: DataFrame, named: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    own, kept = free_name(docs.columns, "_digest"), free_name(docs.columns, "_kept")
-    schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], T.StructField(own, T.BinaryType())])
-    names, at = schema.names, docs.columns.index(text)
+def similar_links(nodes: DataFrame, sets: DataFrame, tenths: int, **options) -> DataFrame:
+    """Links (a, b), enough to join all similar ``nodes`` (node, n, fps, w0..) that a table brings together."""
+    table = nodes.select(F.posexplode("fps").alias("table", "fp"), "node")
+    pairs, dense = candidates(table, **options)
+    links = similar_pairs(pairs, nodes, sets, tenths)
+    if not dense.limit(1).count():
+        return links
+    low = -1
+    for high in ROUNDS:
+        placed = dense.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
+        placed = placed.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node")
+        links = links.unionByName(similar_pairs(open_pairs(placed, options.get("bits", BITS), low, high), nodes, sets, tenths))
+        low = high
+    return links
 
-    def run(batches):
-        for batch in batches:
-            digests = [xxhash.xxh3_128_digest(shingle_set(t, size).tobytes()) for t in raw(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], names=names)
 
-    rows = docs.where(F.col(key).isNull()).mapInArrow(run, schema)
-    rows = rows.join(named.select(F.col("digest").alias(kept)), F.col(own) == F.col(kept), "left_anti").dropDuplicates([own])
-    return rows.select(*docs.columns)
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, tenths: int = 8, **options) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a similarity of ``tenths`` / 10 or more, the one with the
+    smallest key, null last; all columns stay.
+
+    The similarity is that of the sets of shingles of ``size`` words, A-Z lower-cased, between ASCII white space.
+    Texts of fewer words have all of them as one shingle; null and wordless texts are equal; texts are read whole,
+    however long.  Rows are linked, not keys; of rows that share the kept key and text one stays.  An empty table
+    stays empty.  Links that no table's fingerprints bring within ``BITS`` bits are missed; see the README for how many.
+    """
+    rows = with_rows(with_prints(docs, text, key, size), "prints")
+    wide = [f"w{k}" for k in range(WIDE)]
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
+    nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), first)
+    nodes = hold(nodes, "nodes")
+    own = rows.join(nodes.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi")
+    own = hold(own.select(F.col("row").alias("node"), "n", "fps", *wide), "firsts")
+    links = similar_links(own, rows.select(F.col("row").alias("node"), "hs"), tenths, **options)
+    found = nodes.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first"))
+    return keep_heads(docs, rows, found.select("first.id", "first.mark"), text, key)

@@ -3,7 +3,9 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from recordloom.llm import decontaminate, packing, queries, simhash
+from recordloom.llm import decontaminate, packing, queries
+
+from .test_similar import kept as kept_by_brute_force
 
 
 def test_names():
@@ -41,10 +43,7 @@ def test_pipeline(spark, sf):
     assert all(labels.get(i, 1) == 1 for i in first)
     assert sum(i in first for i, y in labels.items() if y) >= 0.97 * sum(labels.values())
     second = set(after["simhash near-dedup"])
-    groups = {}
-    for r in simhash.near_duplicates(docs.where(docs.doc_id.isin(list(first))), size=5, bits=3, tables=8).collect():
-        groups.setdefault(r["component_id"], set()).add(r["doc_id"])
-    assert second == set(groups)
+    assert second == kept_by_brute_force([(i, rows[i]["text"]) for i in first])
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     wins = set()
     for _, text in bench:
