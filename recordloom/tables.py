@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 
 
+#: Folders that open ``tidy`` blocks have to delete.
+_OPEN: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (tests) a local folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset a local folder of our own, for local masters."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="recordloom-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
@@ -45,10 +53,36 @@ def hold(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage: what follows needs neither the plan above nor the executors that ran it.
     """
     path = scratch(df.sparkSession, label)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete the tables that :func:`hold` writes within the block at its end; the given function writes ones that stay.
+
+    What leaves the block must not read the deleted ones.
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        path = scratch(spark, label)
+        df.write.parquet(path)
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            _delete(spark, path)
+
+
 def drop_held(df: DataFrame) -> None:
     """Delete the files of a table that :func:`hold` returned, once nothing reads it any more."""
     spark = df.sparkSession
