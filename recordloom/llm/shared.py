@@ -8,9 +8,9 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from ..tables import drop_held, hold, scratch, ship
+from ..tables import drop_held, hold, scratch, ship, tidy
 
-__all__ = ["drop_held", "filesystem", "free_name", "hold", "raw", "read_file", "scratch", "ship", "table", "write_file"]
+__all__ = ["drop_held", "filesystem", "free_name", "hold", "raw", "read_file", "scratch", "ship", "table", "tidy", "write_file"]
 
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

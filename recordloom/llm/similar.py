@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .line_dedup import mix
-from .shared import hold, raw, ship
+from .shared import hold, raw, ship, tidy
 from .simhash import Forest, blocks, components, deal_parts, distances, keep_heads, route_fingerprints, vote, with_rows
 
 TABLES = 16
@@ -107,13 +107,13 @@ def part_prints(texts: list[tuple[np.ndarray, np.ndarray]], tables: int = TABLES
 
 
 def with_prints(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(id, mark, digest of the set of shingles, n of them, fps, w0.., hs: the set) of each row."""
+    """(id, mark, digest of the set of shingles, n of them, fps, w0..) of each row."""
     ship(docs.sparkSession)
     longs = T.ArrayType(T.LongType())
     wide = [f"w{k}" for k in range(WIDE)]
     schema = T.StructType([
         T.StructField("id", docs.schema[key].dataType), T.StructField("mark", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("n", T.LongType()),
-        T.StructField("fps", longs), *[T.StructField(w, T.LongType()) for w in wide], T.StructField("hs", longs),
+        T.StructField("fps", longs), *[T.StructField(w, T.LongType()) for w in wide],
     ])
 
     def run(batches):
@@ -130,13 +130,26 @@ def with_prints(docs: DataFrame, text: str, key: str, size: int) -> DataFrame:
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(sizes),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * TABLES), pa.array(prints.ravel())),
                     *map(pa.array, far),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(flat.view(np.int64))),
                 ]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=schema.names)
 
     return docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
+def with_sets(docs: DataFrame, nodes: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(node, hs): the set of shingles of each of ``nodes`` (node, id, mark), from the rows with that key and text."""
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("hs", T.ArrayType(T.LongType()))])
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(*word_codes(t), size).view(np.int64) for t in raw(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=schema.names)
+
+    rows = docs.select(F.col(key).alias("_id"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
+    met = rows.join(nodes, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_mark") == F.col("mark"))).select("node", "_text")
+    return met.mapInArrow(run, schema).groupBy("node").agg(F.first("hs").alias("hs"))
+
+
 def _near(own: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray] | None:
     """Pairs of positions within ``bits`` bits; None where there are more than ``most``."""
     left, right, found = [], [], 0
@@ -174,8 +187,8 @@ def _nearest(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (block, fp, node) of dense blocks, of whose
-    pairs the first frame has a part."""
+    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (block, fp, node) of dense parts of shards, of
+    whose pairs the first frame has a part."""
     schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def within(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
@@ -188,13 +201,15 @@ def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame
             n = len(a)
             out.append(pa.table([pa.array([block] * n, pa.string()), pa.array(fps, pa.int64()) if fps is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=schema.names))
 
-        for number, rows in enumerate(blocks(prints.view(np.uint64), bits)):
+        dense = np.zeros(len(prints), dtype=bool)
+        for rows in blocks(prints.view(np.uint64), bits):
             own = prints[rows].view(np.uint64)
             found = _near(own, bits, DENSE * len(rows))
             if found is None:
                 found = _nearest(own, bits)
-                emit(f"{name}/{number}", prints[rows], ids[rows], None)
+                dense[rows] = True
             emit(None, None, ids[rows[found[0]]], ids[rows[found[1]]])
+        emit(name, prints[dense], ids[dense], None)
         return pa.concat_tables(out)
 
     routed, large = route_fingerprints(nodes, bits, **options)
@@ -232,34 +247,33 @@ def _wide_distance(left: str, right: str) -> Column:
     return reduce(add, (F.bit_count(F.col(f"{left}w{k}").bitwiseXOR(F.col(f"{right}w{k}"))) for k in range(WIDE)))
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+def similar_pairs(pairs: DataFrame, nodes: DataFrame, sets_of, tenths: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose sets of shingles have a similarity of ``tenths`` / 10 or more.
 
-    ``nodes``: (node, n, w0..), ``sets``: (node, hs).
+    ``nodes``: (node, id, mark, n, w0..); ``sets_of`` gives (node, hs) for some of them.
     """
     wide = [f"w{k}" for k in range(WIDE)]
     x, y = (nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col(w).alias(f"{side}{w}") for w in wide]) for side in "ab")
     sized = F.least("an", "bn") * 10 >= F.greatest("an", "bn") * tenths
     some = hold(pairs.join(x, "a").join(y, "b").where(sized & (_wide_distance("a", "b") <= WIDE_BITS)).select("a", "b"), "near")
-    wanted = hold(some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct(), "wanted")
-    own = sets.join(wanted, "node", "left_semi")
+    wanted = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
+    own = hold(sets_of(hold(nodes.join(wanted, "node", "left_semi").select("node", "id", "mark"), "wanted")), "sets")
     met = some.join(own.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
     return hold(met.where(both * (10 + tenths) >= (F.size("x") + F.size("y")) * tenths).select("a", "b"), "similar")
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame, tenths: int, **options) -> DataFrame:
-    """Links (a, b), enough to join all similar ``nodes`` (node, n, fps, w0..) that a table brings together."""
-    table = nodes.select(F.posexplode("fps").alias("table", "fp"), "node")
-    pairs, dense = candidates(table, **options)
-    links = similar_pairs(pairs, nodes, sets, tenths)
+def similar_links(nodes: DataFrame, sets_of, tenths: int, **options) -> DataFrame:
+    """Links (a, b), enough to join all similar ``nodes`` (node, id, mark, n, fps, w0..) that a table brings together."""
+    pairs, dense = candidates(nodes.select(F.posexplode("fps").alias("table", "fp"), "node"), **options)
+    links = similar_pairs(pairs, nodes, sets_of, tenths)
     if not dense.limit(1).count():
         return links
     low = -1
     for high in ROUNDS:
         placed = dense.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
         placed = placed.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node")
-        links = links.unionByName(similar_pairs(open_pairs(placed, options.get("bits", BITS), low, high), nodes, sets, tenths))
+        links = links.unionByName(similar_pairs(open_pairs(placed, options.get("bits", BITS), low, high), nodes, sets_of, tenths))
         low = high
     return links
 
@@ -273,13 +287,14 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int
     however long.  Rows are linked, not keys; of rows that share the kept key and text one stays.  An empty table
     stays empty.  Links that no table's fingerprints bring within ``BITS`` bits are missed; see the README for how many.
     """
-    rows = with_rows(with_prints(docs, text, key, size), "prints")
-    wide = [f"w{k}" for k in range(WIDE)]
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
-    nodes = rows.groupBy("digest").agg(F.min("row").alias("node"), first)
-    nodes = hold(nodes, "nodes")
-    own = rows.join(nodes.select(F.col("node").alias("_node")), F.col("row") == F.col("_node"), "left_semi")
-    own = hold(own.select(F.col("row").alias("node"), "n", "fps", *wide), "firsts")
-    links = similar_links(own, rows.select(F.col("row").alias("node"), "hs"), tenths, **options)
-    found = nodes.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(F.min("first").alias("first"))
-    return keep_heads(docs, rows, found.select("first.id", "first.mark"), text, key)
+    with tidy(docs.sparkSession) as keep:
+        rows = with_rows(with_prints(docs, text, key, size), "prints")
+        first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "row")).alias("first")
+        heads = rows.groupBy("digest").agg(first).select("first").withColumn("node", F.col("first.row"))
+        own = rows.join(heads.select("node"), F.col("row") == F.col("node"), "left_semi")
+        nodes = hold(own.select(F.col("row").alias("node"), "id", "mark", "n", "fps", *[f"w{k}" for k in range(WIDE)]), "nodes")
+        links = similar_links(nodes, lambda some: with_sets(docs, some, text, key, size), tenths, **options)
+        order = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "mark", "node")).alias("first")
+        found = nodes.join(components(links), "node", "left").groupBy(F.coalesce("component", "node").alias("c")).agg(order)
+        kept = keep(found.select("first.id", "first.mark"), "kept")
+        return keep_heads(docs, rows, kept, text, key)
