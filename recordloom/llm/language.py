@@ -29,7 +29,7 @@ TRAIN_CHARS = 20_000
 TRAIN_WORDS = 150_000
 #: UTF-8 bytes of a word at most; a longer one, as a line of a text without spaces is, is a run of words.
 PIECE = 40
-#: Words of a sequence.
+#: Words of a sequence that the model is fitted on, and of the parts that a text's chain is worked out in.
 LENGTH = 48
 ROUNDS = 60
 #: Words whose emissions a worker remembers, at most.
@@ -108,17 +108,53 @@ class Crf:
                 out[i, own] += self.lex[0]
         return out
 
-    def marginals(self, emission: np.ndarray, lengths: np.ndarray, pairs: bool = False):
+    def transfers(self, emission: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """(sequences, languages, languages): from a forward message at a sequence's start to that at its end, each up
+        to a factor."""
+        n, steps, k = emission.shape
+        e, a = np.exp(emission - emission.max(axis=2, keepdims=True)), np.exp(self.trans)
+        out = np.tile(np.eye(k), (n, 1, 1))
+        for t in range(steps):
+            moved = (out @ a if t else out) * e[:, t, None, :]
+            moved /= moved.max(axis=(1, 2), keepdims=True)
+            out = np.where((t < lengths)[:, None, None], moved, out)
+        return out
+
+    def joints(self, emission: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Messages at the ends of sequences that are parts of longer ones: (into the first word, back to the last one).
+
+        ``counts``: of parts of each whole, which follow each other.  With them, parts have the marginals of the whole.
+        """
+        k, a = emission.shape[2], np.exp(self.trans)
+        into, back = np.tile(np.exp(self.start), (len(lengths), 1)), np.ones((len(lengths), k))
+        begins = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int64)
+        split = counts > 1
+        some = np.repeat(split, counts)
+        move = np.zeros((len(lengths), k, k))
+        if split.any():
+            move[some] = self.transfers(emission[some], lengths[some])
+        begins, counts = begins[split], counts[split]
+        for j in range(1, int(counts.max(initial=1))):
+            live = begins[counts > j]
+            now = np.einsum("ni,nij->nj", into[live + j - 1], move[live + j - 1]) @ a
+            into[live + j] = now / now.max(axis=1, keepdims=True)
+            end = live + counts[counts > j] - 1
+            now = np.einsum("nij,nj->ni", move[end - j + 1], back[end - j + 1]) @ a.T
+            back[end - j] = now / now.max(axis=1, keepdims=True)
+        return into, back
+
+    def marginals(self, emission: np.ndarray, lengths: np.ndarray, pairs: bool = False, into: np.ndarray | None = None, back: np.ndarray | None = None):
         """Forward-backward over (sequences, time, languages) log scores; time beyond a sequence's length is masked.
 
-        Marginals, and with ``pairs`` the expected transitions and the log likelihoods' normalisers.
+        Marginals, and with ``pairs`` the expected transitions and the log likelihoods' normalisers.  ``into`` and
+        ``back`` are messages from what is before and after a sequence.
         """
         n, steps, k = emission.shape
         shift = emission.max(axis=2, keepdims=True)
         e = np.exp(emission - shift)
         a = np.exp(self.trans)
         alpha, scale = np.empty_like(e), np.ones((n, steps))
-        now = e[:, 0] * np.exp(self.start)
+        now = e[:, 0] * (np.exp(self.start) if into is None else into)
         for t in range(steps):
             if t:
                 now = (alpha[:, t - 1] @ a) * e[:, t]
@@ -126,10 +162,12 @@ class Crf:
             alpha[:, t] = now / total[:, None]
             scale[:, t] = total
         beta = np.empty_like(e)
-        after = np.ones((n, k))
+        ends = np.ones((n, k)) if back is None else back
+        after = ends.copy()
         for t in range(steps - 1, -1, -1):
-            # At and beyond its end, a sequence's backward score is 1.
-            after[t + 1 >= lengths] = 1.0
+            # At and beyond its end, a sequence's backward score is what comes from after it, else 1.
+            done = t + 1 >= lengths
+            after[done] = ends[done]
             beta[:, t] = after
             after = (e[:, t] * after) @ a.T / np.maximum(scale[:, t], 1e-300)[:, None]
         gamma = alpha * beta
@@ -276,7 +314,7 @@ class Tagger:
         if not total:
             return [np.zeros((0, k)) for _ in texts]
         ids = self._ids([w for t in texts for w in t])
-        # Sequences of LENGTH words at most, none over two texts.
+        # A text is one chain, worked out in parts of LENGTH words that pass messages to each other.
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         within = np.arange(total) - np.repeat(begin, sizes)
         head = within % LENGTH == 0
@@ -285,7 +323,8 @@ class Tagger:
         lengths = np.bincount(row)
         emission = np.zeros((len(lengths), LENGTH, k))
         emission[row, column] = self.scores[ids]
-        gamma = self.model.marginals(emission, lengths)[row, column]
+        into, back = self.model.joints(emission, lengths, -(-sizes[sizes > 0] // LENGTH))
+        gamma = self.model.marginals(emission, lengths, into=into, back=back)[row, column]
         return np.split(gamma, np.cumsum(sizes)[:-1])
 
     def languages(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -331,15 +370,15 @@ def tagger_of(name: str, model: Crf) -> Tagger:
 def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_each: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, max_words: int = TRAIN_WORDS) -> Crf | None:
     """A model from rows for which ``learnable`` holds and whose language and text aren't null.
 
-    About ``docs_each`` texts of each language, of at most ``max_chars`` characters, chosen by a hash of the key; of all
+    About ``docs_each`` texts of each language, of at most ``max_chars`` characters, chosen by a hash of key and text; of all
     languages about ``max_words`` words, in equal shares.
     """
     known = docs.where(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(text) <= max_chars))
-    known = known.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("train"), key).alias("o"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))  # a row a language
+    known = known.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("train"), key, text).alias("o"))
+    counts = known.groupBy("lang").agg(F.approx_count_distinct("o", 0.02).alias("n"))  # a row a language
     share = counts.select("lang", (F.least(F.lit(1.0), 1.2 * docs_each / F.col("n")) * (1 << 20) + 1).alias("share"))
-    # A row a language, as the model has weights for each: may be broadcast.
-    rows = known.join(F.broadcast(share), "lang").where(F.pmod("o", F.lit(1 << 20)) < F.col("share")).select("lang", "text", "o", "id").toPandas()
+    # Copies of a row are one, so that they can't fill the sample.
+    rows = known.join(share, "lang").where(F.pmod("o", F.lit(1 << 20)) < F.col("share")).groupBy("lang", "o").agg(F.min(F.struct("text", "id")).alias("r")).select("lang", "r.text", "o", "r.id").toPandas()
     rows = rows.sort_values(["o", "id", "text"]).groupby("lang").head(docs_each) if len(rows) else rows
     return fit(list(zip(rows["text"], rows["lang"], strict=True)), max_words=max_words)
 
@@ -347,8 +386,8 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
 def with_languages(docs: DataFrame, model: Crf | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``.
 
-    A null text, one without a letter, and every text where there was nothing to learn from is ``und`` at 0.  Other
-    columns stay; where one has a new column's name, the new one gets underscores before it.  Empty tables stay empty.
+    A null text, one without a letter, and every text where there was nothing to learn from is ``und`` at 0.  Texts are
+    read whole, however long, as one chain; repeated rows get the same.  Other columns stay; where one has a new column's name, the new one gets underscores before it.  Empty tables stay empty.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -371,7 +410,11 @@ def with_languages(docs: DataFrame, model: Crf | None, text: str = "text") -> Da
 
 
 def with_word_languages(docs: DataFrame, model: Crf, text: str = "text") -> DataFrame:
-    """``docs`` with ``words``: an array of (word, lang, score) for the words that have a letter, by their marginals."""
+    """``docs`` with ``words``: an array of (word, lang, score) for the words that have a letter, by their marginals.
+
+    Null and letterless texts have no words; texts are read whole.  Other columns and repeated rows stay; a column
+    ``words`` has the new one get underscores before its name.  Empty tables stay empty.
+    """
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)

@@ -37,6 +37,36 @@ def test_forward_backward_against_all_paths():
     assert np.isclose(logz, want_z)
 
 
+def test_parts_of_a_text_have_the_marginals_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(1)
+    model = L.Crf(["a", "b", "c"], {})
+    model.w, model.trans, model.start = rng.normal(size=model.w.shape), rng.normal(size=(3, 3)), rng.normal(size=3)
+    texts = [[f"w{i}" for i in rng.integers(0, 50, n)] for n in (1, 7, 8, 9, 0, 200, 16)]
+    monkeypatch.setattr(L, "LENGTH", 1000)
+    whole = L.Tagger(model).tag(texts)
+    monkeypatch.setattr(L, "LENGTH", 8)
+    for a, b in zip(whole, L.Tagger(model).tag(texts), strict=True):
+        assert a.shape == b.shape and np.allclose(a, b)
+
+
+def test_gradient_of_the_likelihood():
+    rng = np.random.default_rng(2)
+    model = L.Crf(["a", "b"], {})
+    model.trans, model.start = rng.normal(size=(2, 2)), rng.normal(size=2)
+    emission, lengths = rng.normal(size=(2, 4, 2)), np.array([4, 2])
+    _, expected, base = model.marginals(emission, lengths, pairs=True)
+    for i, j in product(range(2), repeat=2):
+        model.trans[i, j] += 1e-6
+        assert np.isclose((model.marginals(emission, lengths, pairs=True)[2] - base) / 1e-6, expected[i, j], atol=1e-4)
+        model.trans[i, j] -= 1e-6
+
+
+def test_copies_of_a_row_do_not_fill_the_sample(spark):
+    rows = [(None, "alpha beta gamma", "a")] * 3000 + [(1, "dos tres cuatro", "b")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert [lang for lang, _ in L.Tagger(model).languages(["alpha beta", "tres"])] == ["a", "b"]
+
+
 def test_held_out_accuracy(spark, model):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(fold(4) == 2)
     rows = L.with_languages(docs, model).where("lang is not null").collect()
