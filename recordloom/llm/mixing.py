@@ -9,15 +9,16 @@ chunk are 0 or 1; what is left of the chunks flies on together, and the last few
 from __future__ import annotations
 
 import random
+from functools import reduce
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import free_name, hold, raw, ship
+from .shared import free_name, hold, raw, ship, tidy
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -25,6 +26,8 @@ MOST = 2
 #: Documents that fly together.
 CHUNK = 2048
 TINY = 1e-9
+#: Rows that one array of :func:`repeated` stands for, at most.
+STEP = 10_000
 
 
 def word_count(texts) -> list[int]:
@@ -32,15 +35,15 @@ def word_count(texts) -> list[int]:
 
 
 def with_sizes(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
-    """(id, source, size): words between ASCII white space; null has none."""
+    """(id, source, mark, size): a hash of the text, and words between ASCII white space; null has none."""
     ship(docs.sparkSession)
-    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("source", docs.schema[source].dataType), T.StructField("size", T.LongType())])
+    schema = T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("source", docs.schema[source].dataType), T.StructField("mark", T.LongType()), T.StructField("size", T.LongType())])
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(word_count(raw(batch.column(2))), pa.int64())], names=["id", "source", "size"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(word_count(raw(batch.column(3))), pa.int64())], names=schema.names)
 
-    return docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key).alias("id"), F.col(source).alias("source"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -122,26 +125,32 @@ def land(sizes: list[int], chances: list[float], flown: list[float]) -> list[flo
     return out
 
 
-def mix_sizes(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
-    """(id, source, size, source_size, target, copies) of (id, source, size) rows; see :func:`mix`."""
+def mix_units(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST, chunk: int = CHUNK) -> DataFrame:
+    """(id, source, mark, size, n, source_size, target, copies) of rows (id, source, mark, size); see :func:`mix`.
+
+    The ``n`` rows that are alike in all four are one unit, whose ``copies`` are those of all of them, so that nothing
+    depends on the order of rows and no chunk gathers what hashes can't tell apart.
+    """
     named = targets(sized, weights, share, most)
+    units = sized.groupBy("id", "source", "mark", "size").agg(F.count(F.lit(1)).alias("n"))
     # Sources are few against documents; where they aren't, Spark joins by shuffle and splits hot ones.
-    t = named.select(F.col("source").alias("_s"), "n_docs", "source_size", "target")
-    factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rows = sized.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("factor", factor)
-    rows = rows.select("id", "source", "size", "n_docs", "source_size", "target", F.floor("factor").cast("int").alias("whole"), (F.col("factor") - F.floor("factor")).alias("chance"))
+    t = named.select(F.col("source").alias("_s"), "source_size", "target")
+    factor = F.col("n") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rows = units.join(t, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("factor", factor)
+    rows = rows.select("id", "source", "mark", "size", "n", "source_size", "target", F.floor("factor").cast("long").alias("whole"), (F.col("factor") - F.floor("factor")).alias("chance"))
     rows = hold(rows, "chances")
-    settled = rows.where(f"chance <= {TINY} or chance >= {1 - TINY}").withColumn("chance", F.round("chance"))
-    left = rows.where(f"chance > {TINY} and chance < {1 - TINY}")
-    done = [settled]
+    open_ = f"chance > {TINY} and chance < {1 - TINY}"
+    done = [rows.where(f"not ({open_})").withColumn("chance", F.round("chance"))]
+    left = rows.where(open_)
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in left.schema.fields])
-    n_of = F.col("n_docs")
-    for level in range(12):
-        chunks = F.greatest(F.lit(1), F.ceil(n_of / chunk)).cast("long")
-        dealt = left.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "id", "size"), F.col("chunks")))
+    chunk, level = max(8, chunk), 0  # a chunk leaves two at most, so each level has a fraction of the one before
+    while left.limit(1).count():
+        counts = left.groupBy("source").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / chunk)).cast("long").alias("chunks")).withColumnRenamed("source", "_s")
+        dealt = left.join(counts, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+        dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(level), "id", "mark", "size"), F.col("chunks")))
 
         def move(group: pa.Table) -> pa.Table:
-            order = np.lexsort((np.array([str(x) for x in group.column("id").to_pylist()]), -group.column("size").to_numpy()))
+            order = np.lexsort((group.column("mark").to_numpy(), np.array([str(x) for x in group.column("id").to_pylist()]), -group.column("size").to_numpy()))
             group = group.take(pa.array(order))
             sizes, chances = group.column("size").to_pylist(), group.column("chance").to_pylist()
             rng = random.Random(f"{group.column('source')[0].as_py()}/{group.column('chunk')[0].as_py()}/{level}")
@@ -153,41 +162,48 @@ def mix_sizes(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
 
         flown = hold(dealt.groupBy("source", "chunk").applyInArrow(move, schema), "flown")
         done.append(flown.where("chance = 0 or chance = 1"))
-        left = flown.where("chance > 0 and chance < 1")
-        counts = left.groupBy("source").agg(F.count(F.lit(1)).alias("n_left"))
-        if not counts.limit(1).count():
-            break
-        again = counts.select(F.col("source").alias("_s"), "n_left")
-        left = left.join(again, F.col("source").eqNullSafe(F.col("_s"))).withColumn("n_docs", F.col("n_left")).select(*schema.names)
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies"))
+        left, level = flown.where("chance > 0 and chance < 1"), level + 1
+    out = reduce(DataFrame.unionByName, done)
+    return out.select("id", "source", "mark", "size", "n", "source_size", "target", (F.col("whole") + F.col("chance")).cast("long").alias("copies"))
+
+
+def repeated(df: DataFrame, times: Column, name: str) -> DataFrame:
+    """``df`` with each row ``times`` times, numbered from 0 in column ``name``; the arrays behind it are bounded."""
+    many = F.floor((times - 1) / STEP)
+    df = df.where(times > 0).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), many)))
+    first = F.col(name) * STEP
+    return df.withColumn(name, F.explode(F.sequence(first, F.least(times - 1, first + STEP - 1))))
 
 
 def mix_plan(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """For each row its id, source, size, source_size, target and copies; reruns agree.
+    """For each row its id, source, size, source_size, target and copies; reruns agree, whatever the partitions.
 
     Words are runs without ASCII white space; null has none, and a document without words is taken or left like
-    others, at no words.  A null source is one source, the last by order.  Sources without words have the target 0.
-    Repeated rows and null keys are documents of their own.  An empty table gives an empty result.
+    others, at no words; texts are read whole.  A null source is one source, the last by order.  Sources without words
+    have the target 0.  Repeated rows and null keys are documents of their own; rows alike in key, source and text share
+    their copies evenly.  An empty table gives an empty result.
     """
-    sized = hold(with_sizes(docs, text, key, source), "sizes")
-    return mix_sizes(sized, **options)
+    units = mix_units(hold(with_sizes(docs, text, key, source), "sizes"), **options)
+    rows = repeated(units, F.col("n"), "place")
+    extra = (F.col("place") < F.col("copies") % F.col("n")).cast("long")
+    return rows.select("id", "source", "size", "source_size", "target", (F.floor(F.col("copies") / F.col("n")) + extra).alias("copies"))
 
 
 def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as its copies, all columns as they were."""
-    plan = mix_plan(docs, text, key, source, **options)
-    names = [free_name(docs.columns, n) for n in ("_hash", "_taken", "_place")]
-    # Rows meet their copies by the key's hash, so that texts move once.  Rows of one hash, which are those of one key
-    # and hardly others, take the copies of its plans in order of key and size.
-    taken = plan.groupBy(F.xxhash64("id").alias(names[0])).agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "size", "copies"))), lambda p: p["copies"]).alias(names[1]))
-    size = F.size(F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    met = docs.withColumn(names[0], F.xxhash64(key)).join(taken, names[0])
-    alone = F.size(names[1]) == 1
-    own = Window.partitionBy(names[0]).orderBy(F.when(~alone, F.col(key)).asc_nulls_first(), F.when(~alone, size))
-    placed = met.withColumn(names[2], F.row_number().over(own))
-    copies = F.element_at(names[1], F.col(names[2]))
-    times = F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>")))
-    return placed.select(*[placed[c] for c in docs.columns], times.alias(names[2])).drop(names[2])
+    """``docs`` as the mix takes them: each row as often as its copies (see :func:`mix_plan`), all columns as they were.
+
+    Where rows alike in key, source and text don't share their copies evenly, one of them has those that are over.
+    """
+    names = [free_name(docs.columns, n) for n in ("_mark", "_id", "_source", "_text_mark", "_all", "_over", "_place")]
+    mark, id_, source_, text_mark, all_, over, place = names
+    with tidy(docs.sparkSession) as keep:
+        units = mix_units(hold(with_sizes(docs, text, key, source), "sizes"), **options)
+        taken = units.select(F.col("id").alias(id_), F.col("source").alias(source_), F.col("mark").alias(text_mark), F.floor(F.col("copies") / F.col("n")).alias(all_), (F.col("copies") % F.col("n")).alias(over))
+        taken = keep(taken.where(f"{all_} > 0 or {over} > 0"), "taken")
+    same = F.col(key).eqNullSafe(F.col(id_)) & F.col(source).eqNullSafe(F.col(source_)) & (F.col(mark) == F.col(text_mark))
+    met = docs.withColumn(mark, F.xxhash64(text)).join(taken, same)
+    out = repeated(met, F.col(all_), place).select(*docs.columns)
+    if taken.where(f"{over} > 0").limit(1).count():
+        ones = docs.withColumn(mark, F.xxhash64(text)).join(taken.where(f"{over} > 0"), same).dropDuplicates([id_, source_, text_mark])
+        out = out.unionByName(repeated(ones, F.col(over), place).select(*docs.columns))
+    return out

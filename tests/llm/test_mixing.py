@@ -92,3 +92,17 @@ def test_rows_with_one_key_keep_their_own_copies(spark):
     for r in M.mix(df).collect():
         got[len(r["text"].split())] += 1
     assert sorted(got.items()) == want
+
+
+def test_reruns_agree_on_texts_whatever_the_partitions(spark):
+    rows = [(None if i % 3 else i, " ".join(f"w{i}" for _ in range(1 + i % 5)), "a" if i % 4 else "b") for i in range(4000)] + [(7, "w " * 3, "a")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one, two = (sorted(map(str, M.mix(df.repartition(n), chunk=64).collect())) for n in (3, 8))
+    assert one == two
+    check(df, chunk=64)
+    assert len(one) == sum(r["copies"] for r in M.mix_plan(df, chunk=64).collect())
+
+
+def test_smallest_chunks_still_finish(spark):
+    rows = [(i, "w " * (1 + i % 9), "a" if i % 3 else "b") for i in range(200)]
+    check(spark.createDataFrame(rows, "doc_id long, text string, source string"), chunk=2)
