@@ -4,8 +4,9 @@ Pass one counts, for each of ``HASHES`` cells a text hash falls into, how many r
 packs the cells hit twice into bitmaps.  Pass two tests every row against these bitmaps: a row with a cell that was
 hit once has no equal, and goes straight through; only the others are shuffled by their digest.
 
-The filter has a fixed largest size (``max_bits``), which bounds what is broadcast; past it more rows count as
-possibly repeated and shuffle, and results stay the same.
+A filter has a fixed largest size (``max_bits``), which bounds what is broadcast.  Rows beyond what one filter holds at
+BITS_PER_ROW are dealt into blocks by hash, each with a filter of its own, so that as few rows shuffle at any size.
+Pass one shuffles two cell numbers a row, pre-aggregated; texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .shared import free_name, hold
+from .shared import free_name, hold, scratch
 
 #: Bits of one bitmap of Spark's bitmap functions (4 KiB).
 BITMAP_BITS = 32768
@@ -51,7 +53,10 @@ def _bit(bitmap: Column, position: Column) -> Column:
 
 
 def possible_repeats(rows: DataFrame, digest: str, max_bits: int = MAX_BITS) -> DataFrame:
-    """``rows`` with a boolean column ``maybe``: false only where no other row has the same ``digest``."""
+    """``rows`` with a boolean column ``maybe``: false only where no other row has the same ``digest``.
+
+    One filter of ``max_bits`` bits at most; see :func:`marked` for more rows than it holds.
+    """
     bits = filter_bits(rows.count(), max_bits)
     hit = rows.select(F.explode(F.array(*_cells(F.col(digest), bits))).alias("cell"))
     twice = hit.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -69,12 +74,28 @@ def possible_repeats(rows: DataFrame, digest: str, max_bits: int = MAX_BITS) ->
     return out.select(*[rows[c] for c in rows.columns], reduce(Column.__and__, flags).alias("maybe"))
 
 
+def marked(rows: DataFrame, digest: str, max_bits: int = MAX_BITS) -> DataFrame:
+    """``rows`` with the column ``maybe`` of :func:`possible_repeats`, written, with filters of BITS_PER_ROW bits a row."""
+    blocks = -(-rows.count() * BITS_PER_ROW // max_bits)
+    if blocks <= 1:
+        return hold(possible_repeats(rows, digest, max_bits), "marked")
+    spark = rows.sparkSession
+    dealt, out = scratch(spark, "blocks"), scratch(spark, "marked")
+    block = free_name(rows.columns, "_block")
+    rows.withColumn(block, F.pmod(F.xxhash64(F.lit("block"), digest), F.lit(blocks))).write.partitionBy(block).parquet(dealt)
+    parts = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(block, T.LongType())])).parquet(dealt)
+    for k in range(blocks):
+        own = possible_repeats(parts.where(F.col(block) == k).drop(block), digest, max_bits)
+        own.write.mode("append").parquet(out)
+    return spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())])).parquet(out)
+
+
 def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``key``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Texts are equal when they are the same without ASCII white space; null counts as the empty text.  Of equal texts
     the row with the most code points in the original text stays, then the smallest key, null keys last; of rows that
-    tie in all of these, one stays.  Other columns are left out, whatever their names; an empty table gives an empty
+    tie in all of these, one stays.  Texts are read whole, however long.  Other columns are left out, whatever their names; an empty table gives an empty
     result.
     """
     digests = hold(
@@ -86,11 +107,11 @@ def exact_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", max_bi
         ),
         "digests",
     )
-    marked = hold(possible_repeats(digests, "sha", max_bits), "marked")
-    single = marked.where(~F.col("maybe")).select(
+    tested = marked(digests, "sha", max_bits)
+    single = tested.where(~F.col("maybe")).select(
         F.col("id").alias(key), F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256")
     )
-    several = marked.where("maybe")
+    several = tested.where("maybe")
     order = F.struct((-F.col("chars")).alias("c"), F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))
     groups = hold(several.groupBy("sha").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("size")).withColumnRenamed("sha", "_sha"), "groups")
     # Groups of over a thousandth of these rows are under a thousand, so they may be broadcast, and their rows don't

@@ -1,10 +1,11 @@
 """Line dedup by a sharded minimal perfect hash.
 
 Lines are known by a 128-bit hash of their key.  One pass counts in how many documents each hash occurs; the hashes of
-more than one document are dealt into shards, and for each shard a minimal perfect hash is built (levels of bits: a
+enough documents are dealt into shards, and for each shard a minimal perfect hash is built (levels of bits: a
 hash that shares its bit with none takes it, the others go to the next level; its slot is the rank of its bit).  The
 slot indexes a fingerprint array (the half of the hash that the bits don't use) and a count array.  A hash that isn't
-in the arrays fails the fingerprint and occurs in one document.  Documents then probe the arrays: no line is joined.
+in the arrays fails the fingerprint and occurs in too few documents.  Documents then probe the arrays: no line is joined.
+Those of a few batches probe together, shard by shard, so each shard is read once for them.
 """
 
 from __future__ import annotations
@@ -21,9 +22,10 @@ from pyspark.sql import types as T
 
 from .shared import drop_held, free_name, hold, raw, read_file, scratch, ship, write_file
 
-#: Hashes of one shard, about; and bytes of shards that a worker keeps at hand.
+#: Hashes of one shard, about; bytes of shards that a worker keeps at hand, and of texts whose lines probe together.
 SHARD_KEYS = 1 << 16
 CACHE_BYTES = 96 << 20
+PROBE_BYTES = 32 << 20
 STRIP = b" \t\n\x0b\x0c\r"
 MAX_LEVELS = 48
 
@@ -37,38 +39,47 @@ def mix(values: np.ndarray, salt: int) -> np.ndarray:
 
 
 class PerfectHash:
-    """Minimal perfect hash of distinct 64-bit keys: a slot of 0..n-1 each, others get any slot or -1."""
+    """Minimal perfect hash of distinct 64-bit keys: a slot of 0..n-1 each, others get any slot or -1.
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels  # of booleans, one array a level
+    Bits are packed; a slot is the rank of its bit, worked out from a count for each 64 bits.
+    """
+
+    def __init__(self, sizes: list[int], words: list[np.ndarray]):
+        self.sizes, self.words = sizes, words  # of each level, in bits, and its bits as uint64
         self.ranks, base = [], 0
-        for bits in levels:
-            rank = np.cumsum(bits, dtype=np.int64) - bits + base
-            self.ranks.append(rank)
-            base += int(bits.sum())
+        for bits in words:
+            ones = np.bitwise_count(bits).astype(np.int64)
+            ends = np.cumsum(ones)
+            self.ranks.append((ends - ones + base).astype(np.uint32))
+            base += int(ends[-1]) if len(ends) else 0
 
     @classmethod
     def build(cls, keys: np.ndarray, gamma: float = 2.0) -> PerfectHash:
-        levels, left = [], keys.astype(np.uint64)
+        sizes, words, left = [], [], keys.astype(np.uint64)
         while len(left):
-            if len(levels) >= MAX_LEVELS:
+            if len(sizes) >= MAX_LEVELS:
                 raise ValueError("keys of a perfect hash have to be distinct")
             size = max(8, int(len(left) * gamma))
-            at = (mix(left, len(levels)) % np.uint64(size)).astype(np.int64)
+            at = (mix(left, len(sizes)) % np.uint64(size)).astype(np.int64)
             bits = np.bincount(at, minlength=size) == 1
-            levels.append(bits)
+            padded = np.zeros(-(-size // 64) * 64, dtype=bool)
+            padded[:size] = bits
+            sizes.append(size)
+            words.append(np.packbits(padded, bitorder="little").view("<u8").astype(np.uint64))
             left = left[~bits[at]]
-        return cls(levels)
+        return cls(sizes, words)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         out = np.full(len(keys), -1, dtype=np.int64)
         todo = np.arange(len(keys))
-        for k, (bits, rank) in enumerate(zip(self.levels, self.ranks, strict=True)):
+        for k, (size, words, ranks) in enumerate(zip(self.sizes, self.words, self.ranks, strict=True)):
             if not len(todo):
                 break
-            at = (mix(keys[todo], k) % np.uint64(len(bits))).astype(np.int64)
-            found = bits[at]
-            out[todo[found]] = rank[at[found]]
+            at = mix(keys[todo], k) % np.uint64(size)
+            word, bit = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            found = (words[word] >> bit & np.uint64(1)).astype(bool)
+            below = words[word[found]] & ((np.uint64(1) << bit[found]) - np.uint64(1))
+            out[todo[found]] = ranks[word[found]] + np.bitwise_count(below).astype(np.int64)
             todo = todo[~found]
         return out
 
@@ -101,22 +112,20 @@ class Shard:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        sizes = np.array([len(b) for b in self.mph.levels], dtype=np.int64)
-        flat = np.packbits(np.concatenate(self.mph.levels)) if len(sizes) else np.zeros(0, np.uint8)
-        np.savez(out, sizes=sizes, bits=flat, prints=self.prints, counts=self.counts)
+        words = np.concatenate(self.mph.words) if self.mph.words else np.zeros(0, dtype=np.uint64)
+        np.savez(out, sizes=np.array(self.mph.sizes, dtype=np.int64), words=words, prints=self.prints, counts=self.counts)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Shard:
         with np.load(io.BytesIO(data)) as z:
-            sizes = z["sizes"]
-            flat = np.unpackbits(z["bits"])[: int(sizes.sum())].astype(bool)
-            levels = np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else []
-            return cls(PerfectHash(levels), z["prints"], z["counts"])
+            sizes = z["sizes"].tolist()
+            words = np.split(z["words"], np.cumsum([-(-n // 64) for n in sizes])[:-1]) if sizes else []
+            return cls(PerfectHash(sizes, words), z["prints"], z["counts"])
 
     @property
     def nbytes(self) -> int:
-        return sum(9 * len(b) for b in self.mph.levels) + self.prints.nbytes + self.counts.nbytes
+        return sum(w.nbytes + r.nbytes for w, r in zip(self.mph.words, self.mph.ranks, strict=True)) + self.prints.nbytes + self.counts.nbytes
 
 
 def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
@@ -124,36 +133,40 @@ def shard_of(high: np.ndarray, shards: int) -> np.ndarray:
 
 
 class Index:
-    """The shards as files; a worker keeps those it used last, within a bound."""
+    """The shards as files ``folder``/shard-k.npz; a worker keeps those it used last, within a bound."""
 
-    def __init__(self, paths: list[str], cache_bytes: int = CACHE_BYTES):
-        self.paths, self.cache_bytes = paths, cache_bytes
+    def __init__(self, folder: str, shards: int, cache_bytes: int = CACHE_BYTES):
+        self.folder, self.shards, self.cache_bytes, self.reads = folder, shards, cache_bytes, 0
         self.kept: OrderedDict[int, Shard] = OrderedDict()
 
-    def shard(self, k: int) -> Shard | None:
-        if not self.paths[k]:
-            return None
+    def shard(self, k: int) -> Shard:
         if k not in self.kept:
-            self.kept[k] = Shard.load(read_file(self.paths[k]))
+            self.reads += 1
+            self.kept[k] = Shard.load(read_file(shard_path(self.folder, k)))
             while len(self.kept) > 1 and sum(s.nbytes for s in self.kept.values()) > self.cache_bytes:
                 self.kept.popitem(last=False)
         self.kept.move_to_end(k)
         return self.kept[k]
 
     def count(self, digests: list[bytes]) -> np.ndarray:
+        """Documents of each digest, 1 for those not in the index; each shard is looked up once."""
         halves = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2)
         high, low = halves[:, 0].copy(), halves[:, 1].copy()
         out = np.ones(len(high), dtype=np.int64)
-        if not self.paths:
+        if not self.shards:
             return out
-        home = shard_of(high, len(self.paths))
+        home = shard_of(high, self.shards)
         order = np.argsort(home, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(home[order])) + 1):
-            if len(part) and (shard := self.shard(int(home[part[0]]))) is not None:
-                out[part] = shard.count(high[part], low[part])
+            if len(part):
+                out[part] = self.shard(int(home[part[0]])).count(high[part], low[part])
         return out
 
 
+def shard_path(folder: str, k: int) -> str:
+    return f"{folder}/shard-{k:08d}.npz"
+
+
 def split_lines(text: bytes | None) -> tuple[list[bytes], list[bytes]]:
     """Lines as they are, and their keys: white space stripped at both ends, A-Z lower-cased."""
     text = text or b""
@@ -192,45 +205,49 @@ def count_lines(docs: DataFrame, text: str, min_chars: int) -> DataFrame:
     return docs.select(F.col(text).alias("text")).mapInArrow(run, schema).groupBy("high", "low").agg(F.sum("n").alias("n"))
 
 
-def build_index(docs: DataFrame, text: str = "text", min_chars: int = 1, index_from: int = 2, shard_keys: int = SHARD_KEYS) -> list[str]:
-    """Paths of the shards over the line hashes of at least ``index_from`` documents; "" for a shard without any."""
+def build_index(docs: DataFrame, text: str = "text", min_chars: int = 1, index_from: int = 2, shard_keys: int = SHARD_KEYS) -> tuple[str, int]:
+    """Folder and number of the shards over the line hashes of at least ``index_from`` documents."""
     spark = docs.sparkSession
     ship(spark)
-    counted = hold(count_lines(docs, text, min_chars).where(F.col("n") >= index_from), "lines")
-    keys = counted.count()
-    if not keys:
-        drop_held(counted)
-        return []
-    shards = max(1, -(-keys // shard_keys))
     folder = scratch(spark, "line-index")
-
-    def build(group):
-        high, low = (group[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("high", "low"))
-        k = int(group["shard"].iloc[0])
-        path = f"{folder}/shard-{k:08d}.npz"
-        write_file(path, [Shard.build(high, low, group["n"].to_numpy()).dump()])
-        return group.iloc[:1][["shard"]].assign(path=path)
-
-    # The shard is ((unsigned high) >> 32) % shards, as in shard_of.
-    dealt = counted.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 32), F.lit(shards)))
-    made = dealt.groupBy("shard").applyInPandas(build, "shard long, path string").collect()  # a path a shard
+    counted = hold(count_lines(docs, text, min_chars).where(F.col("n") >= index_from), "lines")
+    shards = -(-counted.count() // shard_keys)
+    if shards:
+        def build(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            high, low = (group.column(c).to_numpy().view(np.uint64) for c in ("high", "low"))
+            # A shard none of whose hashes is left over is written too, so that a missing file is an error.
+            write_file(shard_path(folder, key[0].as_py()), [Shard.build(high, low, group.column("n").to_numpy()).dump()])
+            return pa.table({"shard": pa.array([key[0].as_py()], pa.int64())})
+
+        # The shard is ((unsigned high) >> 32) % shards, as in shard_of; a null row for each stands for empty ones.
+        dealt = counted.withColumn("shard", F.pmod(F.shiftrightunsigned("high", 32), F.lit(shards)))
+        made = hold(dealt.groupBy("shard").applyInArrow(build, "shard long"), "shards")
+        empty = spark.range(shards).withColumnRenamed("id", "shard").join(made, "shard", "left_anti")
+
+        def fill(batches):
+            none = np.zeros(0, dtype=np.uint64)
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    write_file(shard_path(folder, k), [Shard.build(none, none, none.astype(np.int64)).dump()])
+                yield batch
+
+        empty.mapInArrow(fill, "shard long").count()
+        drop_held(made)
     drop_held(counted)
-    paths = [""] * shards
-    for row in made:
-        paths[row["shard"]] = row["path"]
-    return paths
+    return folder, shards
 
 
-def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int = 2, shard_keys: int = SHARD_KEYS) -> DataFrame:
+def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1, index_from: int | None = None, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``docs`` without the lines whose key occurs in ``min_docs`` documents, with ``n_lines`` and ``n_dropped``.
 
-    Texts are split at \\n; null or empty is one empty line, and comes back as the empty text.  A key is the line
-    stripped of ASCII white space with A-Z lower-cased; keys of fewer than ``min_chars`` code points always stay.  A
-    key counts once for each row it occurs in, so repeated rows count each.  Other columns stay as they are; where
-    they are called ``n_lines`` or ``n_dropped``, the new ones get underscores before their names.  An empty table
-    gives an empty one.
+    Texts are split at \n, whole, however long; null or empty is one empty line, and comes back as the empty text.  A
+    key is the line stripped of ASCII white space with A-Z lower-cased; keys of fewer than ``min_chars`` code points
+    always stay.  Each row is a document: a key counts once for each row it occurs in, also where rows share an id or
+    are repeated.  The index holds keys of ``index_from`` documents or more, of ``min_docs`` if not given.  Other columns
+    stay as they are; where they are called ``n_lines`` or ``n_dropped``, the new ones get underscores before their
+    names.  An empty table gives an empty one.
     """
-    paths = build_index(docs, text, min_chars, min(index_from, min_docs), shard_keys)
+    folder, shards = build_index(docs, text, min_chars, min(index_from or min_docs, min_docs), shard_keys)
     lines_name = free_name(docs.columns, "n_lines")
     dropped_name = free_name(docs.columns, "n_dropped")
     fields = [T.StructField(f.name, T.StringType() if f.name == text else f.dataType, True) for f in docs.schema.fields]
@@ -238,24 +255,39 @@ def drop_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_char
     at = docs.columns.index(text)
     names = [*docs.columns, lines_name, dropped_name]
 
-    def run(batches):
-        index = Index(paths)
+    def settle(parts, index):
         digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                split = [split_lines(value) for value in raw(part.column(at))]
-                flat = list({key for _, keys in split for key in keys if long_enough(key, min_chars)})
-                counts = index.count([digest(k) for k in flat]) if flat else []
-                common = {k for k, n in zip(flat, counts, strict=True) if n >= min_docs}
-                kept, dropped = [], []
-                for lines, keys in split:
-                    stay = lines if common.isdisjoint(keys) else [x for x, k in zip(lines, keys, strict=True) if k not in common]
+        own = [{digest(k) for value in raw(part.column(at)) for k in split_lines(value)[1] if long_enough(k, min_chars)} for part in parts]
+        flat = list(set().union(*own))
+        common = {d for d, n in zip(flat, index.count(flat), strict=True) if n >= min_docs} if flat else set()
+        for part, mine in zip(parts, own, strict=True):
+            some = not common.isdisjoint(mine)
+            kept, total, dropped = [], [], []
+            for value in raw(part.column(at)):
+                if some:
+                    lines, keys = split_lines(value)
+                    stay = [x for x, k in zip(lines, keys, strict=True) if not long_enough(k, min_chars) or digest(k) not in common]
                     kept.append(b"\n".join(stay))
+                    total.append(len(lines))
                     dropped.append(len(lines) - len(stay))
-                columns = list(part.columns)
-                columns[at] = pa.array(kept, type=pa.binary()).cast(pa.string())
-                columns += [pa.array([len(lines) for lines, _ in split], pa.int64()), pa.array(dropped, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                else:
+                    kept.append(value or b"")
+                    total.append((value or b"").count(b"\n") + 1)
+                    dropped.append(0)
+            columns = list(part.columns)
+            columns[at] = pa.array(kept, type=pa.binary()).cast(pa.string())
+            columns += [pa.array(total, pa.int64()), pa.array(dropped, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    def run(batches):
+        index, parts, size = Index(folder, shards), [], 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                parts.append(batch.slice(start, 1000))
+                size += parts[-1].column(at).get_total_buffer_size() * len(parts[-1]) // max(1, batch.num_rows)
+                if size > PROBE_BYTES:
+                    yield from settle(parts, index)
+                    parts, size = [], 0
+        yield from settle(parts, index)
 
     return docs.mapInArrow(run, schema)

@@ -119,13 +119,14 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN n >= 1000 AND head <> page_id THEN head END AS refers_to
             FROM h""",
         "op8_line_dedup": rf"""
-            WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
-            keyed AS (SELECT doc_id, line, i, {_LOWER.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS k FROM lines),
-            common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+            WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+            lines AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS line,
+                             generate_subscripts(string_split(t, chr(10)), 1) AS i FROM docs),
+            keyed AS (SELECT r, doc_id, line, i, {_LOWER.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS k FROM lines),
+            common AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT r) >= 10)
             SELECT doc_id, count(*) AS n_lines, count(c.k) AS n_dropped,
                    sha256(coalesce(string_agg(CASE WHEN c.k IS NULL THEN line END, chr(10) ORDER BY i), '')) AS kept_sha256
-            FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY doc_id""",
+            FROM keyed LEFT JOIN common c ON keyed.k = c.k GROUP BY r, doc_id""",
         "op10_exact_dedup": r"""
             WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS t, length(coalesce(text, '')) AS c FROM documents),
             w AS (SELECT doc_id, t, first_value(doc_id) OVER (PARTITION BY t ORDER BY c DESC, doc_id) AS keep_id,

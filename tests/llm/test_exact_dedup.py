@@ -2,7 +2,7 @@ import hashlib
 import re
 from collections import defaultdict
 
-from recordloom.llm.exact_dedup import drop_copies, exact_dedup, possible_repeats
+from recordloom.llm.exact_dedup import drop_copies, exact_dedup, marked, possible_repeats
 
 
 def brute(rows):
@@ -43,6 +43,20 @@ def test_unrepeated_rows_go_straight_through(spark):
     assert marked.where("d <> 'x' and maybe").count() < 1000
 
 
+def test_rows_beyond_one_filter_have_filters_of_their_own(spark):
+    df = spark.range(60_000).selectExpr("sha2(cast(id as string), 256) as d").union(spark.range(50).selectExpr("sha2(cast(id as string), 256)"))
+    assert possible_repeats(df, "d", 32768).where("maybe").count() > 50_000
+    found = marked(df, "d", 32768)
+    assert found.count() == 60_050
+    assert found.where("maybe").count() < 60_050 * 0.05
+    assert found.where("maybe").groupBy("d").count().where("count > 1").count() == 50
+
+
+def test_no_python_in_the_plan(documents):
+    plan = exact_dedup(documents)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
 def test_empty(none):
     assert exact_dedup(none).count() == 0
     assert drop_copies(none).columns == none.columns

@@ -50,6 +50,20 @@ def test_many_shards(spark):
     check(df, 10, min_chars=7)
 
 
+def test_rows_that_share_an_id_count_each(spark):
+    df = spark.createDataFrame([(1, "same line")] * 12 + [(2, "other")], "doc_id long, text string")
+    check(df, 10)
+
+
+def test_a_task_reads_each_shard_once(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"line {i % 90}\nown {i}") for i in range(900)], "doc_id long, text string")
+    folder, shards = L.build_index(df, index_from=10, shard_keys=8)
+    index = L.Index(folder, shards, cache_bytes=0)
+    digests = [L.xxhash.xxh3_128_digest(f"line {k}".encode()) for k in range(200)]
+    assert shards > 8 and (index.count(digests) == [10] * 90 + [1] * 110).all()
+    assert index.reads <= shards
+
+
 def test_documents(documents):
     check(documents, 10)
     check(documents, 3)
