@@ -4,11 +4,12 @@ The automaton of an item set holds every run of words of every item.  A document
 stands for the longest run that ends at this word and occurs in an item.  Once that length reaches the window, the
 window ending here occurs, and the state knows the items that have it.  An item shorter than the window is one window,
 found through the suffix links.  Item sets of more than ``block_words`` words are taken in blocks, one automaton each,
-so that what is broadcast has a bound.
+so that what a worker holds has a bound; texts are read in one pass, a bounded number of them walking all automata.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 from itertools import chain
@@ -17,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .shared import free_name, hold, raw, ship
+from .shared import free_name, raw, read_file, scratch, ship, write_file
 
 WINDOW = 13
 #: Of an item set's block; an automaton has less than two states a word.
 BLOCK_WORDS = 200_000
+#: Bytes of texts that walk one automaton after the other together, about.
+WALK_BYTES = 48 << 20
 # A-Z to a-z, and every other ASCII character that is no digit or letter to a space: then words are what split() gives.
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 
@@ -167,11 +171,11 @@ class Automaton:
 _BUILT: dict[str, Automaton] = {}
 
 
-def built(name: str, block: list, window: int) -> Automaton:
-    """The automaton of a block, kept for a worker's next tasks; the last one only."""
+def built(name: str, block, window: int) -> Automaton:
+    """The automaton of the block that ``block()`` gives, kept for a worker's next tasks; the last one only."""
     if name not in _BUILT:
         _BUILT.clear()
-        _BUILT[name] = Automaton(block, window)
+        _BUILT[name] = Automaton(block(), window)
     return _BUILT[name]
 
 
@@ -209,9 +213,11 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     """``docs`` with ``n_words``, ``n_hit``, ``n_items``, ``items`` (array) and ``spans`` (array of word starts and ends).
 
     A document word inside any occurrence of a window is hit; a window is ``window`` consecutive item words, or a
-    whole shorter item.  Null and wordless texts have no words and no hits; items of a null or wordless text have no
-    window.  Items that share an id count once; those without an id count as one item, a null at the end of ``items``.  Other columns stay; where one has a new column's name, the new one gets
-    underscores before it.  An empty table gives an empty one.
+    whole shorter item.  Null and wordless texts have no words and no hits; texts are read whole, however long, and
+    repeated rows each; items of a null or wordless text have no window.  Items that share an id count once; those
+    without an id count as one item, a null at the end of ``items``.  Ids are of any type that has an order.  Other
+    columns stay; where one has a new column's name, the new one gets underscores before it.  An empty table gives an
+    empty one.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -220,48 +226,53 @@ def match(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kinds = (T.LongType(), T.LongType(), T.LongType(), T.ArrayType(item_type), span)
     schema = T.StructType([*[T.StructField(f.name, f.dataType, True) for f in docs.schema.fields], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
-    at = docs.columns.index(text)
-    span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    at, all_names = docs.columns.index(text), [f.name for f in schema.fields]
+    span_type, ids = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(to_arrow_type(item_type))
 
-    n_old, all_names = len(docs.columns), [f.name for f in schema.fields]
-    ids = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type.simpleString()]
-
-    def pass_over(source: DataFrame, block: list, first: bool) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-        name = uuid.uuid4().hex
-
-        def run(batches):
-            automaton = built(name, shared.value, window)
-            get = automaton.ids.get
-            for batch in batches:
-                for begin in range(0, batch.num_rows, 1000):
-                    part = batch.slice(begin, 1000)
-                    values = raw(part.column(at))
-                    before = [([], [])] * len(values) if first else list(zip(part.column(n_old + 4).to_pylist(), part.column(n_old + 3).to_pylist(), strict=True))
-                    n_words, all_spans, all_items = [], [], []
-                    for value, (old_spans, old_items) in zip(values, before, strict=True):
-                        sequence = words(value)
-                        spans, items = automaton.scan([get(w) for w in sequence])
-                        n_words.append(len(sequence))
-                        all_spans.append(_joined(chain(spans, ((s["start"], s["end"]) for s in old_spans))) if old_spans else spans)
-                        all_items.append(sorted(items | set(old_items), key=_null_last))
-                    columns = [
-                        pa.array(n_words, pa.int64()),
-                        pa.array([sum(e - s for s, e in x) for x in all_spans], pa.int64()),
-                        pa.array([len(x) for x in all_items], pa.int64()),
-                        pa.array(all_items, pa.list_(ids)),
-                        pa.array([[{"start": s, "end": e} for s, e in x] for x in all_spans], span_type),
-                    ]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:n_old], *columns], names=all_names)
-
-        return source.mapInArrow(run, schema)
-
-    out, first = docs, True
+    # The first block travels with the tasks; where there are more, all but it are files in the shared folder.
+    folder, uid, first, n_blocks = scratch(spark, "items"), uuid.uuid4().hex, None, 0
     for block in _item_blocks(benchmark, item, item_text, block_words):
-        if not first:
-            out = hold(out, "decontaminated")
-        out, first = pass_over(out, block, first), False
-    return out
+        if n_blocks:
+            write_file(f"{folder}/{n_blocks}.pickle", [pickle.dumps(block)])
+        else:
+            first = spark.sparkContext.broadcast(block)
+        n_blocks += 1
+
+    def load(k: int):
+        return pickle.loads(read_file(f"{folder}/{k}.pickle")) if k else first.value
+
+    def settle(parts):
+        texts = [raw(part.column(at)) for part in parts]
+        n_words = [[0] * len(t) for t in texts]
+        all_spans, all_items = [[[] for _ in t] for t in texts], [[set() for _ in t] for t in texts]
+        for block in range(n_blocks):
+            automaton = built(f"{uid}/{block}", lambda k=block: load(k), window)
+            get = automaton.ids.get
+            for p, values in enumerate(texts):
+                for k, value in enumerate(values):
+                    sequence = words(value)
+                    n_words[p][k] = len(sequence)
+                    spans, items = automaton.scan([get(w) for w in sequence])
+                    all_spans[p][k] = _joined(chain(spans, all_spans[p][k])) if all_spans[p][k] else spans
+                    all_items[p][k] |= items
+        for part, counts, spans, items in zip(parts, n_words, all_spans, all_items, strict=True):
+            yield pa.RecordBatch.from_arrays([
+                *part.columns, pa.array(counts, pa.int64()), pa.array([sum(e - s for s, e in x) for x in spans], pa.int64()), pa.array([len(x) for x in items], pa.int64()),
+                pa.array([sorted(x, key=_null_last) for x in items], ids), pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], span_type),
+            ], names=all_names)
+
+    def run(batches):
+        parts, size = [], 0
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 1000):
+                parts.append(batch.slice(begin, 1000))
+                size += parts[-1].column(at).get_total_buffer_size() * len(parts[-1]) // max(1, batch.num_rows)
+                if n_blocks == 1 or size > WALK_BYTES:
+                    yield from settle(parts)
+                    parts, size = [], 0
+        yield from settle(parts)
+
+    return docs.mapInArrow(run, schema)
 
 
 def contaminated(n_hit, n_words, share: int = 20):
@@ -270,7 +281,10 @@ def contaminated(n_hit, n_words, share: int = 20):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, share: int = 20) -> DataFrame:
-    """``docs`` without contaminated documents, all columns as they were."""
+    """``docs`` without contaminated documents, all columns as they were.
+
+    Nulls, long texts, repeated rows and empty tables as in :func:`match`: a document without words is clean.
+    """
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))
     marked = match(inner, benchmark, "text", item, window=window)
     return marked.where(~contaminated(F.col("n_hit"), F.col("n_words"), share)).select("row.*")
@@ -279,7 +293,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, share: int = 20) -> DataFrame:
     """``docs`` with hit spans cut out of texts; texts over the coverage limit become null.
 
-    A span runs from its first word's first byte to its last word's last byte; what separates words stays.
+    A span runs from its first word's first byte to its last word's last byte; what separates words stays.  Null texts
+    stay null; else as in :func:`match`.
     """
     ship(docs.sparkSession)
     inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text].alias("text"))

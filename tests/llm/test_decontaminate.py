@@ -88,3 +88,15 @@ def test_items_without_an_id_hit_as_one_item(spark):
         out = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items"]) for r in D.match(docs, bench, block_words=block_words).collect()}
         assert out == {1: (4, 2, [5, None]), 2: (2, 1, [None]), 3: (0, 0, [])}
     assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [3]
+
+
+def test_ids_of_any_type_and_one_pass_over_texts(spark):
+    import datetime
+    from decimal import Decimal
+
+    docs = spark.createDataFrame([(1, "one two three four"), (2, None)], "doc_id long, text string")
+    for kind, value in (("smallint", 3), ("date", datetime.date(2020, 1, 2)), ("decimal(5,2)", Decimal("1.50")), ("double", 0.5), ("boolean", True)):
+        bench = spark.createDataFrame([(value, "two three"), (value, "three four five"), (None, "four")], f"item_id {kind}, text string")
+        out = D.match(docs, bench, block_words=1)
+        assert {r["doc_id"]: r["items"] for r in out.collect()} == {1: [value, None], 2: []}
+        assert out._jdf.queryExecution().toString().count("MapInArrow") <= 4  # one, in each of the four plans

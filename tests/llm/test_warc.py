@@ -58,3 +58,17 @@ def test_repeated_rows_null_keys_and_empty(spark):
 
 def test_no_dictionary_from_too_little():
     assert W.dictionary([]) == b"" and W.dictionary([b"a"]) == b""
+
+
+def test_keys_of_any_type_urls_and_record_ids(spark):
+    big = "y" * 3000
+    rows = [("a b\nc", "http://h/ x\r\n", big), ("é", None, big), (None, "", big), ("", " u ", None), ("z", "%20", "q"), ("z", "%20", "q")]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    made = W.write_archives(df, scratch(spark, "test-warc"))
+    got = W.read_archives(made, key_type="string").collect()
+    assert sorted(((r["page_id"], r["url"]) for r in got), key=repr) == sorted(((i, u) for i, u, _ in rows), key=repr)
+    assert {r["page_id"]: r["refers_to"] for r in got}["a b\nc"] == "é"
+    heads = [W.parse(d)[0] for m in made.collect() for d in W.read_archive(io.BytesIO(read_file(m["path"])))]
+    assert len({h["warc-record-id"] for h in heads}) == len(rows)
+    known = {h["warc-record-id"] for h in heads}
+    assert all(h["warc-refers-to"] in known for h in heads if h["warc-type"] == "revisit")
