@@ -10,7 +10,10 @@ from recordloom.llm.shared import hold, table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from all labelled documents of the input table."""
+    """Documents that the classifier doesn't reject; it learns from labelled documents of the input table.
+
+    Null and empty texts have the score of the bias alone; repeated rows are kept or go alike; an empty table stays so.
+    """
     weights = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), F.lit(True))
     kept = quality.with_scores(docs, weights, keep_from=0.5)
     return kept.select(*docs.columns)
@@ -25,15 +28,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without benchmark passages over a twentieth of their words; null and wordless texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document 0 to 2 times, so that sources come near their targets; see :func:`recordloom.llm.mixing.mix`."""
     return mixing.mix(docs)
 
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), queries.pattern())
+    """Packed rows, written as matrices and read from them; null and empty texts are an end id each."""
+    return packing.pack_to_files(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), queries.pattern())
 
 
 STAGES = [

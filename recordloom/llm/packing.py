@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import filesystem, raw, ship, write_file
+from .shared import filesystem, hold, raw, read_file, scratch, ship, write_file
 
 ROW = 2048
-#: Ids that are packed together, about.
+#: Ids that are packed together, about, and packed rows of a set of files.
 BLOCK_IDS = 4_000_000
+SET_ROWS = 8192
 
 
 class Rooms:
@@ -101,8 +102,8 @@ def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str
     ``end_id``; ``cu_seqlens`` the segments' bounds from 0 to ``n_ids``; ``position_ids`` uint16 or uint32 positions
     that start again from 0 at each segment and in the filling; ``doc_ids`` the key of each segment's document and
     ``doc_starts`` where in the document's ids the segment starts.  ``end_id`` is one past the vocabulary by default and
-    ends each document; a null or empty text is an end id alone.  Repeated rows are packed each; other columns are
-    left out.  An empty table gives no rows.  Row ids are the partition's number times 2**40 and a running number.
+    ends each document; a null or empty text is an end id alone; longer ones are cut, however long.  Repeated rows are
+    packed each; other columns are left out.  An empty table gives no rows.  Row ids are the partition's number times 2**40 and a running number.
     """
     ship(docs.sparkSession)
     kind = docs.schema[key].dataType
@@ -157,37 +158,86 @@ def pack(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str
                 total += len(ids)
                 if total >= block_ids:
                     yield from flush()
+                    # Only the keys of rows to come are needed any more.
+                    owner_parts, held = [batch.column(0).slice(k + 1)], -(k + 1)
             held += batch.num_rows
-            if not pieces:
-                owner_parts, held = [], 0
         if pieces:
             yield from flush()
 
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema)
 
 
-def write_matrices(packed: DataFrame, folder: str) -> DataFrame:
-    """Write what :func:`pack` returned as files under the URI ``folder``, three for each partition that has rows.
+def write_matrices(packed: DataFrame, folder: str, set_rows: int = SET_ROWS) -> DataFrame:
+    """Write what :func:`pack` returned as files under the URI ``folder``, in sets of at most ``set_rows`` rows.
 
     ``-ids.bin``: a matrix, a row of ids a line.  ``-positions.bin``: the same of positions.  ``-cu_seqlens.bin``:
-    uint32, for each row its number of segments and their bounds.  Returns (name, n_rows) of each set.
+    uint32, for each row its number of segments and their bounds.  ``-documents.arrow``: row ids, keys and starts of the
+    segments' documents.  Returns (name, n_rows) of each set; sets that aren't in it come from attempts that didn't count.
     """
+    ship(packed.sparkSession)
+
     def run(batches):
-        ids, positions, bounds, n = [], [], [], 0
+        # Each attempt has names of its own; only those returned count.
+        name, serial, held, n = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}", 0, [], 0
+
+        def flush():
+            own = pa.Table.from_batches(held)
+            sizes = [np.array([len(b) - 1, *b], dtype="<u4").tobytes() for b in own.column("cu_seqlens").to_pylist()]
+            docs = pa.BufferOutputStream()
+            with pa.ipc.new_stream(docs, (side := own.select(["row_id", "doc_ids", "doc_starts"])).schema) as out:
+                out.write_table(side)
+            for what, parts in (("ids.bin", own.column("ids").to_pylist()), ("positions.bin", own.column("position_ids").to_pylist()), ("cu_seqlens.bin", sizes), ("documents.arrow", [docs.getvalue()])):
+                write_file(f"{folder}/{name}-{serial:05d}-{what}", parts)
+            return pa.RecordBatch.from_arrays([pa.array([f"{name}-{serial:05d}"]), pa.array([n], pa.int64())], names=["name", "n_rows"])
+
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            positions += batch.column(1).to_pylist()
-            for own in batch.column(2).to_pylist():
-                bounds.append(np.array([len(own) - 1, *own], dtype="<u4").tobytes())
-            n += batch.num_rows
+            for begin in range(0, batch.num_rows, 512):
+                held.append(batch.slice(begin, 512))
+                n += held[-1].num_rows
+                if n >= set_rows - 511:
+                    yield flush()
+                    serial, held, n = serial + 1, [], 0
         if n:
-            # Each attempt has names of its own; only those returned count.
-            name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}"
-            for what, parts in (("ids", ids), ("positions", positions), ("cu_seqlens", bounds)):
-                write_file(f"{folder}/{name}-{what}.bin", parts)
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["name", "n_rows"])
+            yield flush()
+
+    return packed.mapInArrow(run, "name string, n_rows long")
 
-    return packed.select("ids", "position_ids", "cu_seqlens").mapInArrow(run, "name string, n_rows long")
+
+def read_matrices(sets: DataFrame, folder: str, schema: T.StructType) -> DataFrame:
+    """The rows, with the columns ``schema`` of :func:`pack`, of sets (name, n_rows) that :func:`write_matrices` wrote."""
+    ship(sets.sparkSession)
+    names = schema.names
+
+    def run(batches):
+        for batch in batches:
+            for name, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, places = (np.frombuffer(read_file(f"{folder}/{name}-{what}.bin"), np.uint8).reshape(n, -1) for what in ("ids", "positions"))
+                flat = np.frombuffer(read_file(f"{folder}/{name}-cu_seqlens.bin"), "<u4")
+                docs = pa.ipc.open_stream(read_file(f"{folder}/{name}-documents.arrow")).read_all().combine_chunks()
+                at = 0
+                for begin in range(0, n, 512):
+                    bounds = []
+                    for _ in range(min(512, n - begin)):
+                        bounds.append(flat[at + 1 : at + 2 + flat[at]])
+                        at += 2 + int(flat[at])
+                    part = docs.slice(begin, 512).combine_chunks()
+                    own = {
+                        "row_id": part.column("row_id"), "n_ids": pa.array([int(b[-1]) for b in bounds], pa.int32()), "ids": pa.array([x.tobytes() for x in ids[begin : begin + 512]], pa.binary()),
+                        "cu_seqlens": pa.array([b.astype(np.int32) for b in bounds], pa.list_(pa.int32())), "position_ids": pa.array([x.tobytes() for x in places[begin : begin + 512]], pa.binary()),
+                        "doc_ids": part.column("doc_ids"), "doc_starts": part.column("doc_starts"),
+                    }
+                    yield from pa.table({c: own[c] for c in names}).to_batches()
+
+    n = sets.count()
+    spread = sets.select("name", "n_rows").repartition(max(1, n), F.xxhash64("name"))
+    return spread.mapInArrow(run, schema)
+
+
+def pack_to_files(docs: DataFrame, path: str, pattern: str, folder: str | None = None, **options) -> DataFrame:
+    """:func:`pack`, written by :func:`write_matrices` under ``folder`` (one of our own if not given) and read from there."""
+    packed = pack(docs, path, pattern, **options)
+    folder = folder or scratch(docs.sparkSession, "matrices")
+    return read_matrices(hold(write_matrices(packed, folder), "sets"), folder, packed.schema)
 
 
 def read_matrix(uri: str, row: int = ROW, dtype: str = "<u2") -> np.ndarray:

@@ -99,7 +99,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "te
     """Weights from labelled rows for which ``learnable`` (over ``labels``) holds.
 
     Fitted on at most ``max_rows`` rows with texts of at most ``max_chars`` characters, chosen by a hash of the key.
-    Null labels, keys and texts are passed over; a row is learnt once for each distinct label it has.
+    Null labels, keys and texts are passed over; a key is learnt once for each distinct label it has, with the least
+    text where several rows share it.  Nothing to learn from gives zero weights.
     """
     known = labels.where(learnable).select(F.col(key).alias("_id"), F.col(label).cast("int").alias("_y")).where("_id is not null and _y is not null").distinct()
     total = known.count()
@@ -108,7 +109,8 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "te
     known = known.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     # About max_rows ids and labels: a bound, so they may be broadcast.
     rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull() & (F.char_length("_t") <= max_chars))
-    found = rows.join(F.broadcast(known), "_id").select("_t", "_y", order.alias("_o"), "_id").toPandas()
+    # Copies of a row are one, so that they can't fill the sample, nor the driver.
+    found = rows.join(F.broadcast(known), "_id").groupBy("_id", "_y").agg(F.min("_t").alias("_t")).select("_t", "_y", order.alias("_o"), "_id").toPandas()
     found = found.sort_values(["_o", "_id", "_y", "_t"]).head(max_rows)
     return fit([(t.encode(), y) for t, y in zip(found["_t"], found["_y"], strict=True)])
 
@@ -116,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column, text: str = "te
 def with_scores(docs: DataFrame, weights: np.ndarray, text: str = "text", keep_from: float | None = None) -> DataFrame:
     """``docs`` with ``score`` (0 to 1, higher: label 1 likelier); with ``keep_from``, only rows of at least that score.
 
-    Null and wordless texts get the score of the bias alone.  Other columns stay; where one is called ``score``, the
+    Null and wordless texts get the score of the bias alone; texts are read whole, however long.  Other columns stay; where one is called ``score``, the
     new one gets underscores before it.  An empty table gives an empty one.
     """
     spark = docs.sparkSession

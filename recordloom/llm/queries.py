@@ -57,7 +57,7 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), pattern())
+    return packing.pack_to_files(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), pattern())
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

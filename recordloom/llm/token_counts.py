@@ -120,6 +120,11 @@ class Counter:
         model = spec["model"]
         if steps != ["NFC", "Replace", "Lowercase"] or parts != ["Split", "ByteLevel"] or model["type"] != "BPE" or not model["end_of_word_suffix"]:
             raise ValueError("a vocabulary of lower-cased words with word ends is needed")
+        space, split, letters = spec["normalizer"]["normalizers"][1], *spec["pre_tokenizer"]["pretokenizers"]
+        if (space["pattern"], space["content"]) != ({"Regex": r"\s+"}, " ") or (split["behavior"], split["invert"]) != ("Removed", True) or letters["add_prefix_space"] or letters["use_regex"]:
+            raise ValueError("white space has to become a space, and pre-tokens what the pattern finds")
+        if any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")) or spec.get("post_processor"):
+            raise ValueError("merges have to be applied in full, without unknown tokens or templates")
         if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("added tokens have to be plain strings")
         self.added = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))) if spec["added_tokens"] else None

@@ -101,3 +101,15 @@ def test_files(spark, documents):
             at += n + 2
         assert at == len(flat)
     assert total == packed.count()
+
+
+def test_rows_come_back_from_files(documents, none):
+    options = {"row": 64, "block_ids": 5000}
+    plain = sorted(map(str, K.pack(documents, PATH, PATTERN, **options).collect()))
+    assert sorted(map(str, K.pack_to_files(documents, PATH, PATTERN, **options).collect())) == plain
+    assert K.pack_to_files(none, PATH, PATTERN).count() == 0
+
+
+def test_sets_are_bounded(spark, documents):
+    made = K.write_matrices(K.pack(documents.coalesce(1), PATH, PATTERN, row=64, block_ids=5000), scratch(spark, "packed"), set_rows=1024).collect()
+    assert len(made) > 1 and max(r["n_rows"] for r in made) <= 1024

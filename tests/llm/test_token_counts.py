@@ -1,3 +1,4 @@
+import json
 import random
 
 import public_tokenizers
@@ -50,3 +51,12 @@ def test_forgetting_changes_nothing(library, monkeypatch, documents):
     monkeypatch.setattr(C, "MERGE_BYTES", 200)
     counter = C.Counter(PATH)
     assert [counter.count([t])[0] for t in texts] == want(library, texts)
+
+
+@pytest.mark.parametrize("change", [lambda s: s["normalizer"]["normalizers"][1].update(content="_"), lambda s: s["pre_tokenizer"]["pretokenizers"][0].update(invert=False), lambda s: s["pre_tokenizer"]["pretokenizers"][1].update(add_prefix_space=True), lambda s: s["model"].update(byte_fallback=True)])
+def test_other_settings_are_refused(tmp_path, change):
+    spec = json.loads(open(PATH, encoding="utf8").read())
+    change(spec)
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        C.Counter(str(tmp_path / "v.json"))
