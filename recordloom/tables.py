@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = Path(__file__).resolve().parents[1]
 
 
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
 #: Folders that open ``tidy`` blocks have to delete.
 _OPEN: list[list[str]] = []
 
@@ -92,10 +93,14 @@ def drop_held(df: DataFrame) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package.
+    """Make a session ready for Python functions over Arrow: small batches, and executors that can import this package.
 
-    Nothing to do where PYTHONPATH or the working folder leads there; else Spark's file server hands out a zip.
+    Batches of texts stay within BATCH_BYTES unless the session says otherwise, as Spark's default of 64 MiB is held
+    several times over by a task.  Nothing to ship where PYTHONPATH or the working folder leads to the package; else
+    Spark's file server hands out a zip.
     """
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     seen = {os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)}
     sc = spark.sparkContext
     if str(ROOT) in seen | {os.path.realpath(os.getcwd())} or getattr(sc, "_recordloom_shipped", False):
