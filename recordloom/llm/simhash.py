@@ -312,6 +312,8 @@ def route_fingerprints(nodes: DataFrame, bits: int, sample: int = SAMPLE, shard:
 def deal_parts(routed: DataFrame, large: DataFrame) -> DataFrame:
     """``routed`` with columns ``i`` and ``j``: those of a large shard dealt into parts, and each row once for each other
     part, so that any two rows share a group (shard, i, j), of bounded size."""
+    if not large.limit(1).count():
+        return routed.select("shard", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "fp", "node")
     # A row a large shard, each of shard_max rows or more: may be broadcast.
     rows = routed.join(F.broadcast(large.select("shard", "parts")), "shard", "left")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))

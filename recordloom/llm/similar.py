@@ -32,7 +32,7 @@ BITS = 3
 WIDE = 4
 WIDE_BITS = 60
 #: Bounds of the rounds over dense blocks, in bits of the wide fingerprint.
-ROUNDS = (40, 50, WIDE_BITS)
+ROUNDS = (44, WIDE_BITS)
 #: Pairs a row beyond which a block is dense.
 DENSE = 4
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
