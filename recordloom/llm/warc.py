@@ -127,15 +127,14 @@ def plan(pages: DataFrame, key: str, url: str, payload: str, min_bytes: int) ->
     empty = F.coalesce(F.col(payload), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page"), F.col(url).alias("url"), empty.alias("html"))
     rows = rows.withColumns({"n_bytes": F.octet_length("html").cast("long"), "digest": F.sha1("html"), "strong": F.sha2("html", 256)})
-    large = possible_repeats(rows.where(F.col("n_bytes") >= min_bytes), "strong")
+    tested = possible_repeats(rows, "strong").withColumn("maybe", F.col("maybe") & (F.col("n_bytes") >= min_bytes))
     # Only digests are grouped; of copies, those that aren't the last find it, and AQE splits large groups.
-    several = large.where("maybe")
+    several = tested.where("maybe")
     heads = several.groupBy("strong").agg(F.max("page").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = several.join(heads.withColumnRenamed("strong", "_strong"), F.col("strong") == F.col("_strong"), "left")
     refers, head = F.when(F.col("last") != F.col("page"), F.col("last")), F.coalesce(F.col("last") == F.col("page"), F.lit(False))
     names = ("page", "url", "html", "n_bytes", "digest")
-    alone = rows.where(F.col("n_bytes") < min_bytes).unionByName(large.where("not maybe").drop("maybe"))
-    alone = alone.select(*names, F.lit(None).cast(rows.schema["page"].dataType).alias("refers_to"), F.lit(False).alias("head"))
+    alone = tested.where("not maybe").select(*names, F.lit(None).cast(rows.schema["page"].dataType).alias("refers_to"), F.lit(False).alias("head"))
     return alone.unionByName(met.select(*names, refers.alias("refers_to"), head.alias("head")))
 
 
