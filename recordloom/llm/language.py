@@ -377,8 +377,9 @@ def train(docs: DataFrame, learnable: Column, text: str = "text", lang: str = "l
     known = known.select(F.col(key).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.lit("train"), key, text).alias("o"))
     counts = known.groupBy("lang").agg(F.approx_count_distinct("o", 0.02).alias("n"))  # a row a language
     share = counts.select("lang", (F.least(F.lit(1.0), 1.2 * docs_each / F.col("n")) * (1 << 20) + 1).alias("share"))
-    # Copies of a row are one, so that they can't fill the sample.
-    rows = known.join(share, "lang").where(F.pmod("o", F.lit(1 << 20)) < F.col("share")).groupBy("lang", "o").agg(F.min(F.struct("text", "id")).alias("r")).select("lang", "r.text", "o", "r.id").toPandas()
+    # A row a language, as the model has weights for each: may be broadcast.  Copies of a row are one, so that they can't
+    # fill the sample.
+    rows = known.join(F.broadcast(share), "lang").where(F.pmod("o", F.lit(1 << 20)) < F.col("share")).groupBy("lang", "o").agg(F.min(F.struct("text", "id")).alias("r")).select("lang", "r.text", "o", "r.id").toPandas()
     rows = rows.sort_values(["o", "id", "text"]).groupby("lang").head(docs_each) if len(rows) else rows
     return fit(list(zip(rows["text"], rows["lang"], strict=True)), max_words=max_words)
 
