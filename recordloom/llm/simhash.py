@@ -313,13 +313,13 @@ def deal_parts(routed: DataFrame, large: DataFrame) -> DataFrame:
     """``routed`` with columns ``i`` and ``j``: those of a large shard dealt into parts, and each row once for each other
     part, so that any two rows share a group (shard, i, j), of bounded size."""
     if not large.limit(1).count():
-        return routed.select("shard", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "fp", "node")
+        return routed.withColumns({"i": F.lit(0).cast("long"), "j": F.lit(0).cast("long")})
     # A row a large shard, each of shard_max rows or more: may be broadcast.
     rows = routed.join(F.broadcast(large.select("shard", "parts")), "shard", "left")
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda x: x != F.col("own"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(others)))
-    return rows.select("shard", F.coalesce(F.least("own", "other"), F.lit(0)).alias("i"), F.coalesce(F.greatest("own", "other"), F.lit(0)).alias("j"), "fp", "node")
+    return rows.withColumns({"i": F.coalesce(F.least("own", "other"), F.lit(0)), "j": F.coalesce(F.greatest("own", "other"), F.lit(0))}).select(*routed.columns, "i", "j")
 
 
 def link_fingerprints(nodes: DataFrame, bits: int = MAX_BITS, sample: int = SAMPLE, shard: int | None = None, shard_max: int | None = None) -> DataFrame:

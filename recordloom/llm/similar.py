@@ -5,8 +5,8 @@ word pairs of least hash in that table's order: changed words move a fingerprint
 elsewhere leaves a part as it was.  The trees of :mod:`simhash` bring together all pairs within ``BITS`` bits in a table.
 A wide fingerprint of the shingles then drops pairs that are far from similar, and the sets of shingles decide the rest.
 
-A block in which most are near each other gives a forest and each one's nearest first; the pairs that this leaves in
-different groups follow, nearest first, in rounds, so that large groups of copies are never compared pair by pair.
+In blocks where most are near each other, pairs aren't written out: their rows meet with their sets of shingles, each
+is compared with those that aren't in its group yet, and a forest of the links is what comes out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .line_dedup import mix
 from .shared import hold, raw, ship, tidy
-from .simhash import Forest, blocks, components, deal_parts, distances, keep_heads, route_fingerprints, vote, with_rows
+from .simhash import Forest, blocks, components, deal_parts, keep_heads, route_fingerprints, vote, with_rows
 
 TABLES = 16
 BITS = 3
@@ -31,10 +31,9 @@ BITS = 3
 #: a bit differs with a probability of 0.151, so 38.8 on average with a deviation of 5.7.
 WIDE = 4
 WIDE_BITS = 60
-#: Bounds of the rounds over dense blocks, in bits of the wide fingerprint.
-ROUNDS = (44, WIDE_BITS)
-#: Pairs a row beyond which a block is dense.
+#: Pairs a row beyond which a block is dense, and rows with their sets that a task takes, about.
 DENSE = 4
+DENSE_ROWS = 8192
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -164,32 +163,10 @@ def _near(own: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
-def _nearest(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each position's nearest other within ``bits`` bits, and a forest of all such links."""
-    forest, left, right = Forest(len(own)), [], []
-    label = np.arange(len(own))
-    for a in range(len(own)):
-        d = distances(own, own[a])
-        d[a] = 99
-        b = int(d.argmin())
-        if d[b] <= bits:
-            left.append(a)
-            right.append(b)
-        while True:
-            other = np.where(label != label[a], d, 99)
-            b = int(other.argmin())
-            if other[b] > bits:
-                break
-            forest.join(a, b)
-            label[label == label[b]] = label[a]
-    links = np.array(forest.links, dtype=np.int64).reshape(-1, 2)
-    return np.concatenate([np.array(left, dtype=np.int64), links[:, 0]]), np.concatenate([np.array(right, dtype=np.int64), links[:, 1]])
-
-
 def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (block, fp, node) of dense parts of shards, of
-    whose pairs the first frame has a part."""
-    schema = T.StructType([T.StructField("block", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (shard, fp, node) of dense parts of shards,
+    whose pairs aren't among them."""
+    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def within(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         prints = group.column("fp").to_numpy()
@@ -197,85 +174,106 @@ def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame
         name = "/".join(str(k.as_py()) for k in key)
         out = []
 
-        def emit(block, fps, a, b):
+        def emit(shard, fps, a, b):
             n = len(a)
-            out.append(pa.table([pa.array([block] * n, pa.string()), pa.array(fps, pa.int64()) if fps is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=schema.names))
+            out.append(pa.table([pa.array([shard] * n, pa.string()), pa.array(fps, pa.int64()) if fps is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=schema.names))
 
         dense = np.zeros(len(prints), dtype=bool)
         for rows in blocks(prints.view(np.uint64), bits):
             own = prints[rows].view(np.uint64)
             found = _near(own, bits, DENSE * len(rows))
             if found is None:
-                found = _nearest(own, bits)
                 dense[rows] = True
-            emit(None, None, ids[rows[found[0]]], ids[rows[found[1]]])
+            else:
+                emit(None, None, ids[rows[found[0]]], ids[rows[found[1]]])
         emit(name, prints[dense], ids[dense], None)
         return pa.concat_tables(out)
 
     routed, large = route_fingerprints(nodes, bits, **options)
     found = hold(deal_parts(routed, large).groupBy("shard", "i", "j").applyInArrow(within, schema), "candidates")
-    pairs = found.where("block is null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, found.where("block is not null").select("block", "fp", F.col("a").alias("node"))
-
-
-def open_pairs(placed: DataFrame, bits: int, low: int, high: int) -> DataFrame:
-    """Pairs (a, b) of rows (block, fp, node, c, w0..) of a block that are within ``bits`` bits, over ``low`` and up to
-    ``high`` bits apart by the wide fingerprint, and not in the same group ``c``."""
+    pairs = found.where("shard is null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs, found.where("shard is not null").select("shard", "fp", F.col("a").alias("node"))
+
+
+def shared(own: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How many hashes of the sorted set ``own`` each of some sets has, which start in ``flat`` at ``starts``."""
+    at = np.repeat(starts - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
+    here = flat[at]
+    hit = own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here
+    return np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64))
+
+
+def dense_links(fps: np.ndarray, wide: list[np.ndarray], flat: np.ndarray, offsets: np.ndarray, bits: int, tenths: int) -> list[tuple[int, int]]:
+    """A forest of the links among rows whose fingerprints are within ``bits`` bits and whose sets, which ``flat`` holds
+    between ``offsets``, are similar; rows of one group aren't compared."""
+    sizes, label, forest = np.diff(offsets), np.arange(len(fps)), Forest(len(fps))
+    for a in range(len(fps) - 1):
+        near = np.flatnonzero((np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= bits) & (label[a + 1 :] != label[a])) + a + 1
+        near = near[10 * np.minimum(sizes[near], sizes[a]) >= tenths * np.maximum(sizes[near], sizes[a])]
+        near = near[sum(np.bitwise_count(w[near] ^ w[a]).astype(np.int64) for w in wide) <= WIDE_BITS]
+        for begin in range(0, len(near), 256):
+            some = near[begin : begin + 256]
+            some = some[(label[some] != label[a]) & (sizes[some] > 0)]
+            if not len(some):
+                continue
+            both = shared(flat[offsets[a] : offsets[a + 1]], flat, offsets[some], sizes[some])
+            for b in some[both * (10 + tenths) >= (sizes[some] + sizes[a]) * tenths].tolist():
+                if label[b] != label[a]:
+                    forest.join(a, b)
+                    label[label == label[b]] = label[a]
+    return forest.links
+
+
+def links_of_dense(rows: DataFrame, bits: int, tenths: int, most: int = DENSE_ROWS) -> DataFrame:
+    """Links (a, b) of rows (shard, fp, node, w0.., hs), as :func:`dense_links` finds them in each shard."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def within(group: pa.Table) -> pa.Table:
-        own = group.column("fp").to_numpy().view(np.uint64)
-        ids, label = group.column("node").to_numpy(), group.column("c").to_numpy()
+        group = group.combine_chunks()
+        sets, ids = group.column("hs").chunk(0), group.column("node").to_numpy()
         wide = [group.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)]
-        left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
-        for start in range(0, len(own), 64):
-            near = np.bitwise_count(own[start : start + 64, None] ^ own[None, start:]) <= bits
-            a, b = np.nonzero(near & (label[start : start + 64, None] != label[None, start:]))
-            a, b = start + a[b > a], start + b[b > a]
-            far = reduce(add, (np.bitwise_count(w[a] ^ w[b]).astype(np.int64) for w in wide))
-            fits = (far > low) & (far <= high)
-            left.append(ids[a[fits]])
-            right.append(ids[b[fits]])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.table([np.minimum(a, b), np.maximum(a, b)], names=["a", "b"])
-
-    apart = placed.groupBy("block").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("block")
-    return placed.join(apart, "block").groupBy("block").applyInArrow(within, schema).distinct()
+        offsets = sets.offsets.to_numpy().astype(np.int64)
+        flat = sets.values.to_numpy().view(np.uint64)
+        links = np.array(dense_links(group.column("fp").to_numpy().view(np.uint64), wide, flat, offsets, bits, tenths), dtype=np.int64).reshape(-1, 2)
+        return pa.table([ids[links[:, 0]], ids[links[:, 1]]], names=["a", "b"])
+
+    large = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).withColumn("parts", F.ceil(2 * F.col("n") / most))
+    return deal_parts(rows, hold(large, "large")).groupBy("shard", "i", "j").applyInArrow(within, schema)
 
 
 def _wide_distance(left: str, right: str) -> Column:
     return reduce(add, (F.bit_count(F.col(f"{left}w{k}").bitwiseXOR(F.col(f"{right}w{k}"))) for k in range(WIDE)))
 
 
-def similar_pairs(pairs: DataFrame, nodes: DataFrame, sets_of, tenths: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets of shingles have a similarity of ``tenths`` / 10 or more.
-
-    ``nodes``: (node, id, mark, n, w0..); ``sets_of`` gives (node, hs) for some of them.
-    """
+def near_pairs(pairs: DataFrame, nodes: DataFrame, tenths: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that can be similar, by size and wide fingerprint, of ``nodes`` (node, n, w0..)."""
     wide = [f"w{k}" for k in range(WIDE)]
     x, y = (nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}n"), *[F.col(w).alias(f"{side}{w}") for w in wide]) for side in "ab")
     sized = F.least("an", "bn") * 10 >= F.greatest("an", "bn") * tenths
-    some = hold(pairs.join(x, "a").join(y, "b").where(sized & (_wide_distance("a", "b") <= WIDE_BITS)).select("a", "b"), "near")
-    wanted = some.select(F.col("a").alias("node")).unionByName(some.select(F.col("b").alias("node"))).distinct()
-    own = hold(sets_of(hold(nodes.join(wanted, "node", "left_semi").select("node", "id", "mark"), "wanted")), "sets")
-    met = some.join(own.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(own.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+    return pairs.join(x, "a").join(y, "b").where(sized & (_wide_distance("a", "b") <= WIDE_BITS)).select("a", "b")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, tenths: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose ``sets`` (node, hs) have a similarity of ``tenths`` / 10 or more."""
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
     both = F.size(F.array_intersect("x", "y"))
-    return hold(met.where(both * (10 + tenths) >= (F.size("x") + F.size("y")) * tenths).select("a", "b"), "similar")
+    return met.where(both * (10 + tenths) >= (F.size("x") + F.size("y")) * tenths).select("a", "b")
 
 
-def similar_links(nodes: DataFrame, sets_of, tenths: int, **options) -> DataFrame:
-    """Links (a, b), enough to join all similar ``nodes`` (node, id, mark, n, fps, w0..) that a table brings together."""
-    pairs, dense = candidates(nodes.select(F.posexplode("fps").alias("table", "fp"), "node"), **options)
-    links = similar_pairs(pairs, nodes, sets_of, tenths)
+def similar_links(nodes: DataFrame, sets_of, tenths: int, bits: int = BITS, **options) -> DataFrame:
+    """Links (a, b), enough to join all similar ``nodes`` (node, id, mark, n, fps, w0..) that a table brings together.
+
+    ``sets_of`` gives (node, hs) for some of the nodes.
+    """
+    pairs, dense = candidates(nodes.select(F.posexplode("fps").alias("table", "fp"), "node"), bits, **options)
+    pairs = hold(near_pairs(pairs, nodes, tenths), "near")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
+    sets = hold(sets_of(hold(nodes.join(wanted, "node", "left_semi").select("node", "id", "mark"), "wanted")), "sets")
+    links = similar_pairs(pairs, sets, tenths)
     if not dense.limit(1).count():
         return links
-    low = -1
-    for high in ROUNDS:
-        placed = dense.join(components(links).withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        placed = placed.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node")
-        links = links.unionByName(similar_pairs(open_pairs(placed, options.get("bits", BITS), low, high), nodes, sets_of, tenths))
-        low = high
-    return links
+    rows = dense.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node").join(sets, "node")
+    return links.unionByName(links_of_dense(rows, bits, tenths))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, tenths: int = 8, **options) -> DataFrame:
