@@ -38,8 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows, written as matrices and read from them; null and empty texts are an end id each."""
-    return packing.pack_to_files(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), queries.pattern())
+    """Packed rows of token ids as binary columns; null and empty texts are an end id each."""
+    return packing.pack(docs, queries.tokenizer("byte_bpe_50k.tiktoken"), queries.pattern())
 
 
 STAGES = [
