@@ -199,7 +199,7 @@ def midpoints(prints: np.ndarray, flips: int) -> np.ndarray:
     return prints[None, :] ^ np.array(masks, dtype=np.uint64)[:, None]
 
 
-def _link_rows(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest) -> None:
+def link_rows(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest) -> None:
     """Links of each row to the later ones that aren't in its tree yet; one step a row, however many links there are."""
     own = prints[rows]
     label = np.array([forest.find(r) for r in rows.tolist()])
@@ -228,7 +228,7 @@ def _link_dense(prints: np.ndarray, rows: np.ndarray, bits: int, forest: Forest)
             forest.join(int(rows[pair // n]), int(rows[pair % n]))
         if bits % 2 == 0:
             return
-    _link_rows(prints, rows, bits, forest)
+    link_rows(prints, rows, bits, forest)
 
 
 def blocks(prints: np.ndarray, bits: int):
@@ -259,7 +259,7 @@ def shard_links(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
             a, b = np.nonzero(np.bitwise_count(own[start : start + 128, None] ^ own[None, start:]) <= bits)
             later = b > a
             if later.sum() > 4 * len(rows):  # a dense block
-                _link_rows(prints, rows, bits, forest)
+                link_rows(prints, rows, bits, forest)
                 break
             for x, y in zip(rows[start + a[later]].tolist(), rows[start + b[later]].tolist(), strict=True):
                 forest.join(x, y)

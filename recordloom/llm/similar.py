@@ -5,8 +5,8 @@ word pairs of least hash in that table's order: changed words move a fingerprint
 elsewhere leaves a part as it was.  The trees of :mod:`simhash` bring together all pairs within ``BITS`` bits in a table.
 A wide fingerprint of the shingles then drops pairs that are far from similar, and the sets of shingles decide the rest.
 
-In blocks where most are near each other, pairs aren't written out: their rows meet with their sets of shingles, each
-is compared with those that aren't in its group yet, and a forest of the links is what comes out.
+Where many are near each other, pairs aren't written out: a forest of them joins such texts to clusters, the texts of a
+cluster meet with their sets, each is compared with those that aren't in its group yet, and a forest of links comes out.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from .line_dedup import mix
 from .shared import hold, raw, ship, tidy
-from .simhash import Forest, blocks, components, deal_parts, keep_heads, route_fingerprints, vote, with_rows
+from .simhash import Forest, blocks, components, deal_parts, keep_heads, link_rows, route_fingerprints, vote, with_rows
 
 TABLES = 16
 BITS = 3
@@ -31,8 +31,10 @@ BITS = 3
 #: a bit differs with a probability of 0.151, so 38.8 on average with a deviation of 5.7.
 WIDE = 4
 WIDE_BITS = 60
-#: Pairs a row beyond which a block is dense, and rows with their sets that a task takes, about.
+#: Pairs a row beyond which a block is dense; neighbours of a row in it that are written out as pairs; and rows with their
+#: sets that a task takes, about.
 DENSE = 4
+NEIGHBOURS = 8
 DENSE_ROWS = 8192
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -163,36 +165,45 @@ def _near(own: np.ndarray, bits: int, most: int) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(left), np.concatenate(right)
 
 
+def _crowded(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Pairs of positions within ``bits`` bits, of those with few neighbours, and a forest of the pairs among the others."""
+    left, right, few = [], [], np.zeros(len(own), dtype=bool)
+    for start in range(0, len(own), 64):
+        near = np.bitwise_count(own[start : start + 64, None] ^ own[None, :]) <= bits
+        low = near.sum(axis=1) <= NEIGHBOURS + 1
+        few[start : start + 64] = low
+        a, b = np.nonzero(near[low])
+        left.append(start + np.flatnonzero(low)[a])
+        right.append(b)
+    forest = Forest(len(own))
+    link_rows(own, np.flatnonzero(~few), bits, forest)
+    return np.concatenate(left), np.concatenate(right), forest.links
+
+
 def candidates(nodes: DataFrame, bits: int = BITS, **options) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare, and the rows (shard, fp, node) of dense parts of shards,
-    whose pairs aren't among them."""
-    schema = T.StructType([T.StructField("shard", T.StringType()), T.StructField("fp", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
-
-    def within(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-        prints = group.column("fp").to_numpy()
-        ids = group.column("node").to_numpy()
-        name = "/".join(str(k.as_py()) for k in key)
-        out = []
-
-        def emit(shard, fps, a, b):
-            n = len(a)
-            out.append(pa.table([pa.array([shard] * n, pa.string()), pa.array(fps, pa.int64()) if fps is not None else pa.nulls(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()) if b is not None else pa.nulls(n, pa.int64())], names=schema.names))
-
-        dense = np.zeros(len(prints), dtype=bool)
-        for rows in blocks(prints.view(np.uint64), bits):
-            own = prints[rows].view(np.uint64)
-            found = _near(own, bits, DENSE * len(rows))
+    """Pairs (a, b) of ``nodes`` (table, fp, node) to compare; and links (a, b) of nodes with many neighbours, whose pairs
+    aren't among them, but are within what these links join."""
+    schema = T.StructType([T.StructField("many", T.BooleanType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def within(group: pa.Table) -> pa.Table:
+        prints = group.column("fp").to_numpy().view(np.uint64)
+        ids, out = group.column("node").to_numpy(), []
+
+        def emit(many, a, b):
+            out.append(pa.table([pa.array(np.full(len(a), many)), np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], names=schema.names))
+
+        for rows in blocks(prints, bits):
+            found = _near(prints[rows], bits, DENSE * len(rows))
             if found is None:
-                dense[rows] = True
-            else:
-                emit(None, None, ids[rows[found[0]]], ids[rows[found[1]]])
-        emit(name, prints[dense], ids[dense], None)
+                *found, links = _crowded(prints[rows], bits)
+                links = np.array(links, dtype=np.int64).reshape(-1, 2)
+                emit(True, rows[links[:, 0]], rows[links[:, 1]])
+            emit(False, rows[found[0]], rows[found[1]])
         return pa.concat_tables(out)
 
     routed, large = route_fingerprints(nodes, bits, **options)
     found = hold(deal_parts(routed, large).groupBy("shard", "i", "j").applyInArrow(within, schema), "candidates")
-    pairs = found.where("shard is null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs, found.where("shard is not null").select("shard", "fp", F.col("a").alias("node"))
+    return tuple(found.where("a <> b").where(which).select("a", "b").distinct() for which in ("not many", "many"))
 
 
 def shared(own: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -203,16 +214,18 @@ def shared(own: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndar
     return np.add.reduceat(hit.astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64))
 
 
-def dense_links(fps: np.ndarray, wide: list[np.ndarray], flat: np.ndarray, offsets: np.ndarray, bits: int, tenths: int) -> list[tuple[int, int]]:
-    """A forest of the links among rows whose fingerprints are within ``bits`` bits and whose sets, which ``flat`` holds
-    between ``offsets``, are similar; rows of one group aren't compared."""
-    sizes, label, forest = np.diff(offsets), np.arange(len(fps)), Forest(len(fps))
-    for a in range(len(fps) - 1):
-        near = np.flatnonzero((np.bitwise_count(fps[a + 1 :] ^ fps[a]) <= bits) & (label[a + 1 :] != label[a])) + a + 1
+def dense_links(wide: list[np.ndarray], flat: np.ndarray, offsets: np.ndarray, tenths: int) -> list[tuple[int, int]]:
+    """A forest of the links among rows whose sets, which ``flat`` holds between ``offsets``, are similar; rows of one
+    group aren't compared."""
+    sizes, n = np.diff(offsets), len(offsets) - 1
+    label, forest = np.arange(n), Forest(n)
+    for a in range(n - 1):
+        near = np.flatnonzero(label[a + 1 :] != label[a]) + a + 1
         near = near[10 * np.minimum(sizes[near], sizes[a]) >= tenths * np.maximum(sizes[near], sizes[a])]
-        near = near[sum(np.bitwise_count(w[near] ^ w[a]).astype(np.int64) for w in wide) <= WIDE_BITS]
-        for begin in range(0, len(near), 256):
-            some = near[begin : begin + 256]
+        far = sum(np.bitwise_count(w[near] ^ w[a]).astype(np.int64) for w in wide)
+        near = near[np.argsort(far, kind="stable")][: int((far <= WIDE_BITS).sum())]
+        for begin in range(0, len(near), 64):
+            some = near[begin : begin + 64]
             some = some[(label[some] != label[a]) & (sizes[some] > 0)]
             if not len(some):
                 continue
@@ -224,17 +237,16 @@ def dense_links(fps: np.ndarray, wide: list[np.ndarray], flat: np.ndarray, offse
     return forest.links
 
 
-def links_of_dense(rows: DataFrame, bits: int, tenths: int, most: int = DENSE_ROWS) -> DataFrame:
-    """Links (a, b) of rows (shard, fp, node, w0.., hs), as :func:`dense_links` finds them in each shard."""
+def links_of_dense(rows: DataFrame, tenths: int, most: int = DENSE_ROWS) -> DataFrame:
+    """Links (a, b) of rows (shard, node, w0.., hs), as :func:`dense_links` finds them in each shard."""
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def within(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         sets, ids = group.column("hs").chunk(0), group.column("node").to_numpy()
         wide = [group.column(f"w{k}").to_numpy().view(np.uint64) for k in range(WIDE)]
-        offsets = sets.offsets.to_numpy().astype(np.int64)
-        flat = sets.values.to_numpy().view(np.uint64)
-        links = np.array(dense_links(group.column("fp").to_numpy().view(np.uint64), wide, flat, offsets, bits, tenths), dtype=np.int64).reshape(-1, 2)
+        offsets, flat = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy().view(np.uint64)
+        links = np.array(dense_links(wide, flat, offsets, tenths), dtype=np.int64).reshape(-1, 2)
         return pa.table([ids[links[:, 0]], ids[links[:, 1]]], names=["a", "b"])
 
     large = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).withColumn("parts", F.ceil(2 * F.col("n") / most))
@@ -265,15 +277,13 @@ def similar_links(nodes: DataFrame, sets_of, tenths: int, bits: int = BITS, **op
 
     ``sets_of`` gives (node, hs) for some of the nodes.
     """
-    pairs, dense = candidates(nodes.select(F.posexplode("fps").alias("table", "fp"), "node"), bits, **options)
+    pairs, many = candidates(nodes.select(F.posexplode("fps").alias("table", "fp"), "node"), bits, **options)
     pairs = hold(near_pairs(pairs, nodes, tenths), "near")
+    dense = components(many).withColumnRenamed("component", "shard")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
     sets = hold(sets_of(hold(nodes.join(wanted, "node", "left_semi").select("node", "id", "mark"), "wanted")), "sets")
-    links = similar_pairs(pairs, sets, tenths)
-    if not dense.limit(1).count():
-        return links
     rows = dense.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node").join(sets, "node")
-    return links.unionByName(links_of_dense(rows, bits, tenths))
+    return similar_pairs(pairs, sets, tenths).unionByName(links_of_dense(rows, tenths))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, tenths: int = 8, **options) -> DataFrame:

@@ -88,3 +88,16 @@ def test_repeated_and_null_keys(spark):
     rows = [(1, long), (1, long), (2, long), (None, long), (None, "other text of its own"), (None, "other text of its own"), (3, None), (4, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, (r["text"] or "")[:5]) for r in similar.keep_one(df).collect()) == [(0, "other"), (1, "w0 w1"), (3, "")]
+
+
+def test_large_groups_of_near_copies(spark):
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(700):
+        copy = list(base)
+        for i in rng.integers(0, 120, int(rng.integers(0, 7))):
+            copy[i] = f"n{rng.integers(10**6)}"
+        rows.append((k, " ".join(copy)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert found(similar.keep_one(df)) == sorted(kept(rows))
