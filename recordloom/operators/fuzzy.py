@@ -4,6 +4,9 @@ A similarity of t allows K = (1 - t) times both lengths in insertions and deleti
 of a name and an insertion one, so of names whose lengths differ by D the shorter loses (3K - D) / 2 bigrams at most and
 the longer (3K + D) / 2.  Hence the rarest bigrams of either, one more than that, have one in common: names meet on
 these, the common bigrams of a hot block don't make candidates, and every pair at or above the threshold is found.
+
+Below two thirds, names may be similar without a common bigram.  There they meet on their rarest characters: the shorter
+loses (K - D) / 2 of them at most and the longer (K + D) / 2.
 """
 
 from __future__ import annotations
@@ -18,16 +21,18 @@ def candidate_pairs(names: DataFrame, block: list[str], name: str, least: float)
     """(*block, a, b) with a < b: all pairs of distinct names of a block whose ratio may reach ``least``."""
     loss = 1 - least / 100
     rows = names.select(*block, F.col(name).alias("_x")).where(F.length("_x") > 0).distinct().withColumn("_len", F.length("_x"))
-    grams = F.transform(F.sequence(F.lit(1), F.col("_len") + 1), lambda i: F.substring(F.concat(F.lit("\x02"), F.col("_x"), F.lit("\x03")), i, F.lit(2)))
+    bigrams = F.transform(F.sequence(F.lit(1), F.col("_len") + 1), lambda i: F.substring(F.concat(F.lit("\x02"), F.col("_x"), F.lit("\x03")), i, F.lit(2)))
+    characters = F.transform(F.sequence(F.lit(1), F.col("_len")), lambda i: F.substring(F.col("_x"), i, F.lit(1)))
+    grams, short, long = (bigrams, 3 * loss, 4 * loss / (1 + loss)) if 3 * loss <= 1 else (characters, loss, 2 * loss / (1 + loss))
     spread = rows.select(*block, "_x", "_len", F.posexplode(F.array_sort(grams)).alias("_p", "_g"))
-    # A bigram's second occurrence is a token of its own.
+    # A second occurrence in a name is a token of its own.
     again = Window.partitionBy(*block, "_x", "_g").orderBy("_p")  # occurrences in one name
     tokens = spread.withColumn("_t", F.concat_ws("\x1f", "_g", F.row_number().over(again).cast("string"))).drop("_p", "_g")
     rarity = tokens.groupBy(*block, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    by_rarity = Window.partitionBy(*block, "_x").orderBy("_n", "_t")  # bigrams of one name
+    by_rarity = Window.partitionBy(*block, "_x").orderBy("_n", "_t")  # tokens of one name
     ranked = tokens.join(rarity, [*block, "_t"]).withColumn("_r", F.row_number().over(by_rarity))
-    # Most bigrams lost as the shorter name, at equal lengths; as the longer one, where all changes are insertions.
-    shorter, longer = F.floor(3 * loss * F.col("_len") + 1e-6) + 1, F.floor(4 * loss / (1 + loss) * F.col("_len") + 1e-6) + 1
+    # Most tokens lost as the shorter name, at equal lengths; as the longer one, where all changes are insertions.
+    shorter, longer = F.floor(short * F.col("_len") + 1e-6) + 1, F.floor(long * F.col("_len") + 1e-6) + 1
     left = ranked.where(F.col("_r") <= shorter).select(*block, "_t", F.col("_x").alias("_a"), F.col("_len").alias("_la"))
     right = ranked.where(F.col("_r") <= longer).select(*block, "_t", F.col("_x").alias("_b"), F.col("_len").alias("_lb"))
     order = (F.col("_la") < F.col("_lb")) | ((F.col("_la") == F.col("_lb")) & (F.col("_a") < F.col("_b")))

@@ -529,11 +529,11 @@ def _oracles() -> dict[str, str]:
         "escape_phrase": scalar("artist", "phrase", lambda c: strip(f"replace(replace({c}, chr(92), ' '), '\"', ' ')")),
         "strip_echo": q(f"SELECT ord, {strip_echo('artist', 'song')} AS stripped FROM tracks"),
         "book_details": q(f"SELECT ord, {details()} AS details FROM tracks"),
-        "metadata_line": q("SELECT ord, 'sec ' || coalesce(length_seconds, '') || ', bitrate ' || CAST(CAST(coalesce(bitrate_bps, '0') AS BIGINT) // 1000 AS VARCHAR) || ' m.sz ' || CAST(CAST(coalesce(mp3_size, '0') AS BIGINT) // 1000 AS VARCHAR) || 'k c.sz ' || CAST(CAST(cdg_size AS BIGINT) // 1000 AS VARCHAR) || 'k m# ' || substr(mp3_hash, 1, 6) || ' c# ' || substr(mp3_hash, 1, 6) AS line FROM tracks WHERE ord % 13 <> 0"),
+        "metadata_line": q("SELECT ord, 'sec ' || coalesce(length_seconds, '') || ', bitrate ' || CAST(CAST(coalesce(bitrate_bps, '0') AS BIGINT) // 1000 AS VARCHAR) || ' m.sz ' || CAST(CAST(coalesce(mp3_size, '0') AS BIGINT) // 1000 AS VARCHAR) || 'k c.sz ' || CAST(CAST(cdg_size AS BIGINT) // 1000 AS VARCHAR) || 'k m# ' || substr(mp3_hash, 1, 6) || ' c# ' || substr(mp3_hash, 1, 6) AS line FROM tracks WHERE mp3_size IS NULL OR TRY_CAST(mp3_size AS BIGINT) IS NOT NULL"),
         "parse_stem": q(f"SELECT ord, p.artist AS artist, p.song AS song FROM (SELECT ord, {parse(stem())} AS p FROM tracks)"),
         "split_stem": q(f"SELECT ord, array_to_string({split_stem(stem())}, '|') AS parts FROM tracks"),
         "catalog_segment": q(f"SELECT ord, {is_catalog('song')} AS strict, {is_catalog('song', True)} AS relaxed FROM tracks"),
-        "restitch_fragments": q(f"SELECT ord, {fits('p[3:]', 'title')} AS fits FROM (SELECT ord, {split_stem(stem())} AS p, 'Heaven Is A Place On ' || split_part(path, '/', 2) AS title FROM tracks WHERE ord % 8 IN (1, 6))"),
+        "restitch_fragments": q(f"SELECT ord, {fits('p[3:]', 'title')} AS fits FROM (SELECT ord, {split_stem(stem())} AS p, 'Heaven Is A Place On ' || split_part(path, '/', 2) AS title FROM tracks)"),
         "rejoin_artist": q(f"SELECT path, artist, array_to_string(rest, '|') AS rest FROM (SELECT path, artist, rest, row_number() OVER (PARTITION BY path ORDER BY k DESC) AS r FROM runs JOIN known ON known.k = {clean_artist('artist')}) WHERE r = 1",
             KEYED, COUNTS, known(1), f"stems AS (SELECT path, {split_stem(stem())} AS p FROM tracks)", "cuts AS (SELECT path, p, unnest(range(2, len(p))) AS k FROM stems)", "runs AS (SELECT path, k AS k, array_to_string(p[1:k], ' ') AS artist, p[k + 1:] AS rest FROM cuts)").replace("SELECT path, artist, rest, row_number() OVER (PARTITION BY path ORDER BY k DESC)", "SELECT path, artist, rest, row_number() OVER (PARTITION BY path ORDER BY runs.k DESC)"),
         "clean_pass": q("SELECT ord, CASE WHEN fix AND again.artist <> '' THEN again.artist WHEN fix AND " + equality("artist") + " = " + equality("again.song") + " THEN 'Unknown' ELSE artist END AS artist, CASE WHEN fix THEN again.song ELSE song END AS song, style, track_no, CASE WHEN fix THEN coalesce(catalog_id, own) ELSE catalog_id END AS catalog_id FROM f", clean_steps()),
@@ -567,7 +567,7 @@ def _oracles() -> dict[str, str]:
         "resolutions_settled": q("SELECT path FROM res WHERE apply_", RESOLVED, sides=("state", "resolutions")),
         "resolutions_report": q("SELECT r.path, CASE WHEN t.path IS NULL THEN 'missing' WHEN coalesce(r.artist, t.artist) IS NOT DISTINCT FROM t.artist AND coalesce(r.song, t.song) IS NOT DISTINCT FROM t.song AND r.path IN (SELECT path FROM state WHERE status = 'ok') THEN 'unchanged' ELSE 'apply' END AS outcome, t.artist AS old_artist, t.song AS old_song, coalesce(r.artist, t.artist) AS new_artist, coalesce(r.song, t.song) AS new_song FROM resolutions r LEFT JOIN tracks t USING (path)", sides=("state", "resolutions")),
         "candidate_best": q("SELECT ord, round(asim, 6) AS artist_sim, round(tsim, 6) AS title_sim, mb_artist, mb_title FROM (SELECT *, row_number() OVER (PARTITION BY ord ORDER BY asim + tsim DESC, rank) AS r FROM sc WHERE asim + tsim > 0) WHERE r = 1",
-            f"asked AS (SELECT ord, artist AS oa, song AS os, lower({strip('artist')}) AS qa, lower({strip('song')}) AS qt FROM tracks WHERE artist IS NOT NULL AND ord % 4 = 0)",
+            f"asked AS (SELECT ord, artist AS oa, song AS os, lower({strip('artist')}) AS qa, lower({strip('song')}) AS qt FROM tracks WHERE artist IS NOT NULL)",
             f"mt AS (SELECT ord, rank, {match_form('oa')} AS fa, {match_form('os')} AS ft, {match_form('c.artist')} AS ga, {match_form('c.title')} AS gt, c.artist AS mb_artist, c.title AS mb_title FROM asked JOIN candidates c ON c.shape = 'direct' AND c.query_artist = qa AND c.query_title = qt)",
             f"sc AS (SELECT *, {ratio('fa', 'ga')} AS asim, {ratio('ft', 'gt')} AS tsim FROM mt)", sides=("candidates",)),
         "ks_key": ks_key(),

@@ -81,8 +81,8 @@ def _pairs(spark, sf, keys, block, name, least):
     return found.withColumn("ratio", F.round("ratio", 6))
 
 
-def _asked(spark, sf, which="ord % 4 = 0"):
-    rows = _t(spark, sf).where(f"artist is not null and {which}").select("ord", F.lit("direct").alias("shape"), F.lower(X.strip("artist")).alias("query_artist"), F.lower(X.strip("song")).alias("query_title"), F.col("artist").alias("our_artist"), F.col("song").alias("our_title"))
+def _asked(spark, sf):
+    rows = _t(spark, sf).where("artist is not null").select("ord", F.lit("direct").alias("shape"), F.lower(X.strip("artist")).alias("query_artist"), F.lower(X.strip("song")).alias("query_title"), F.col("artist").alias("our_artist"), F.col("song").alias("our_title"))
     found = corroborate.candidate_best(rows, fixture.side(spark, sf, "candidates"), ["ord"])
     return found.select("ord", F.round("artist_sim", 6).alias("artist_sim"), F.round("title_sim", 6).alias("title_sim"), "mb_artist", "mb_title")
 
@@ -93,9 +93,9 @@ def _rejoin(spark, sf):
     return corroborate.rejoin_artists(stems, groups.known_artists(rows, 1)).select("path", "artist", _joined("rest").alias("rest"))
 
 
-def _fragments(spark, sf, which="ord % 8 in (1, 6)"):
+def _fragments(spark, sf):
     rows = _t(spark, sf).select("ord", S.split_stem(X.stem("path")).alias("p"), F.concat(F.lit("Heaven Is A Place On "), F.split_part("path", F.lit("/"), F.lit(2))).alias("title"))
-    return rows.where(which).select("ord", S.fragments_match_title(S.from_(F.col("p"), 3), F.col("title")).alias("fits"))
+    return rows.select("ord", S.fragments_match_title(S.from_(F.col("p"), 3), F.col("title")).alias("fits"))
 
 
 def _edits(spark, sf):
@@ -215,14 +215,12 @@ def queries() -> dict[str, Query]:
         "escape_phrase": _function("artist", "phrase", X.escape_phrase),
         "strip_echo": lambda s, d: _t(s, d).select("ord", X.strip_artist_echo("artist", "song").alias("stripped")),
         "book_details": lambda s, d: _t(s, d).select("ord", X.book_details("length_seconds", "bitrate_bps", "tag_year", "tag_album").alias("details")),
-        "metadata_line": lambda s, d: _t(s, d).where("ord % 13 <> 0").select("ord", X.metadata_line("length_seconds", "bitrate_bps", "mp3_size", "cdg_size", "mp3_hash", "mp3_hash").alias("line")),
-        "metadata_line_all": lambda s, d: _t(s, d).where("mp3_size is null or try_cast(mp3_size as bigint) is not null").select("ord", X.metadata_line("length_seconds", "bitrate_bps", "mp3_size", "cdg_size", "mp3_hash", "mp3_hash").alias("line")),
+        "metadata_line": lambda s, d: _t(s, d).where("mp3_size is null or try_cast(mp3_size as bigint) is not null").select("ord", X.metadata_line("length_seconds", "bitrate_bps", "mp3_size", "cdg_size", "mp3_hash", "mp3_hash").alias("line")),
         "parse_stem": lambda s, d: _t(s, d).select("ord", S.parse_artist_song(X.stem("path")).alias("p")).select("ord", "p.*"),
         "split_stem": _stem(lambda c: _joined(S.split_stem(c)), "parts"),
         "catalog_segment": lambda s, d: _t(s, d).select("ord", S.is_catalog_segment("song").alias("strict"), S.is_catalog_segment("song", True).alias("relaxed")),
         "reliable_words": _stem(lambda c: _joined(S.reliable_words(S.from_(S.split_stem(c), 2))), "words"),
         "restitch_fragments": _fragments,
-        "restitch_fragments_all": lambda s, d: _fragments(s, d, "true"),
         "rejoin_artist": _rejoin,
         "clean_pass": _pass(lambda s, d, t: cleanup.clean(t), "style", "track_no", "catalog_id"),
         "trailing_article_pass": _pass(lambda s, d, t: cleanup.fix_trailing_articles(t)),
@@ -247,7 +245,6 @@ def queries() -> dict[str, Query]:
         "resolutions_report": lambda s, d: review.resolution_report(_t(s, d), state(s, d), resolutions(s, d)),
         "edits_apply": _pass(lambda s, d, t: review.apply_edits(t, _edits(s, d)), "feature"),
         "candidate_best": _asked,
-        "candidate_best_all": lambda s, d: _asked(s, d, "true"),
         "corroborate": _pass(lambda s, d, t: corroborate.corroborate(t, state(s, d), fixture.side(s, d, "candidates"))[0], "mb_checked", "mb_match", "mb_artist", "mb_title"),
         "restitch": restitch,
         "ks_key": ks_key,

@@ -114,37 +114,52 @@ def save_config(config: dict, path: str) -> None:
 
 
 class Snapshots:
-    """A table as Parquet snapshots in a folder; a pointer file names the current one.
+    """A table as Parquet snapshots in a folder; numbered pointer files name them, and the highest is the current one.
 
-    A snapshot is written whole before the pointer moves, so a reader never sees half of one.
+    A snapshot is written whole before its pointer gets its name by one rename, and no pointer is deleted before a later
+    one is there: a reader, or a writer that takes up after a crash at any step, finds the last whole snapshot.  Two
+    writers that commit at once don't overwrite each other: the later rename fails.
     """
 
+    #: Snapshots that stay for readers that are still at work.
+    KEEP = 3
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _pointer(self):
-        return self._path(f"{self.folder}/CURRENT")
+    def _pointers(self) -> list[tuple[int, str]]:
+        """(number, name of the snapshot), in order; both are in the pointer's name."""
+        if not self._fs.exists(self._path(self.folder)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return sorted((int(n.split(".")[1]), n.split(".")[2]) for n in names if n.startswith("current."))
 
     def current(self) -> str | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        return self.spark.read.text(f"{self.folder}/CURRENT").first()["value"]
+        pointers = self._pointers()
+        return pointers[-1][1] if pointers else None
 
     def read(self) -> DataFrame | None:
         name = self.current()
         return self.spark.read.parquet(f"{self.folder}/{name}") if name else None
 
+    def _move(self, part, pointer) -> None:
+        if not self._fs.rename(part, pointer):
+            raise OSError("the pointer could not be moved")
+
     def commit(self, df: DataFrame) -> str:
         """Write ``df`` as the new current snapshot and return its name."""
+        pointers = self._pointers()
+        number = pointers[-1][0] + 1 if pointers else 0
         name = f"snapshot-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.folder}/{name}")
-        part = self._path(f"{self.folder}/.CURRENT-{name}")
-        out = self._fs.create(part, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        self._fs.delete(self._pointer(), False)
-        if not self._fs.rename(part, self._pointer()):
-            raise OSError("the pointer could not be moved")
+        part = self._path(f"{self.folder}/.part-{name}")
+        self._fs.create(part, True).close()
+        if any(n >= number for n, _ in self._pointers()):
+            raise OSError("another writer has committed")
+        self._move(part, self._path(f"{self.folder}/current.{number:012d}.{name}"))
+        for n, old in pointers[: max(0, len(pointers) + 1 - self.KEEP)]:
+            self._fs.delete(self._path(f"{self.folder}/{old}"), True)
+            self._fs.delete(self._path(f"{self.folder}/current.{n:012d}.{old}"), False)
         return name

@@ -12,10 +12,11 @@ from ..sources.store import Snapshots
 LISTING = "path string, length long, modificationTime timestamp"
 
 
-def merge_listing(known: DataFrame | None, listing: DataFrame, batch_id: int) -> DataFrame:
-    """``known`` tracks and those of a listing that aren't among them; these come after the others in ``ord``."""
+def merge_listing(known: DataFrame | None, listing: DataFrame) -> DataFrame:
+    """``known`` tracks and those of a listing that aren't among them; these come after all others in ``ord``."""
     latest = listing.groupBy("path").agg(F.max("length").alias("length"), F.max("modificationTime").alias("modificationTime"))
-    fresh = scan(latest, known).withColumn("ord", F.lit(batch_id) * (1 << 40) + F.monotonically_increasing_id())
+    last = None if known is None else known.agg(F.max("ord")).first()[0]
+    fresh = scan(latest, known).withColumn("ord", F.monotonically_increasing_id() + F.lit(0 if last is None else last + 1).cast("long"))
     return fresh if known is None else known.unionByName(fresh, allowMissingColumns=True)
 
 
@@ -27,7 +28,7 @@ def follow(spark: SparkSession, listings: str, store: str, checkpoint: str) -> S
     snapshots = Snapshots(spark, store)
     stream = spark.readStream.schema(LISTING).json(listings)
 
-    def take(batch: DataFrame, batch_id: int) -> None:
-        snapshots.commit(merge_listing(snapshots.read(), batch, batch_id))
+    def take(batch: DataFrame, _: int) -> None:
+        snapshots.commit(merge_listing(snapshots.read(), batch))
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -57,3 +57,13 @@ def test_merge_goes_to_the_larger_then_the_smaller_name(spark):
     df = spark.createDataFrame([("x", "pete murray", 5), ("x", "pete muray", 2), ("x", "pete murrayy", 5), ("x", "other", 1)], "block string, name string, n long")
     got = {r["name"]: r["target"] for r in fuzzy.merge_targets(df, ["block"], "name", 90.0).collect()}
     assert got == {"pete muray": "pete murray", "pete murrayy": "pete murray"}
+
+
+def test_no_pair_is_missed_below_two_thirds(spark):
+    rng = random.Random(12)
+    names = sorted({"".join(rng.choice("abcd ") for _ in range(rng.randint(1, 9))) for _ in range(120)})
+    df = spark.createDataFrame([("x", n) for n in names], "block string, name string")
+    for least in (40.0, 50.0, 60.0, 66.0, 67.0):
+        want = {(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if indel_ratio(a, b) >= least}
+        got = {(r["a"], r["b"]) for r in fuzzy.similar_pairs(df, ["block"], "name", least).collect()}
+        assert got == want

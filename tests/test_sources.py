@@ -139,3 +139,30 @@ def test_snapshots_and_stream(spark, tmp_path):
     got = snapshots.read()
     assert sorted((r["path"], r["artist"]) for r in got.collect()) == [("/l/X - A - S.zip", "A"), ("/l/Y - B - T.zip", "B")]
     assert [r["artist"] for r in got.orderBy("ord").collect()] == ["A", "B"]
+
+
+def test_a_crash_between_the_steps_of_a_commit_leaves_the_last_snapshot(spark, tmp_path, monkeypatch):
+    snapshots = store.Snapshots(spark, str(tmp_path / "table"))
+    snapshots.commit(spark.range(3))
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(store.Snapshots, "_move", stop)
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.commit(spark.range(5))
+    assert store.Snapshots(spark, str(tmp_path / "table")).read().count() == 3
+    for n in range(6, 11):
+        snapshots.commit(spark.range(n))
+    assert snapshots.read().count() == 10
+    assert len(snapshots._pointers()) == store.Snapshots.KEEP
+
+
+def test_order_of_arrival_over_many_partitions(spark):
+    listing = lambda a, b: spark.range(a, b, 1, 200).selectExpr("concat('/k/A - S', id, '.zip') as path", "1L as length", "current_timestamp() as modificationTime")
+    first = ingest.merge_listing(None, listing(0, 400))
+    rows = ingest.merge_listing(first, listing(300, 700))
+    top = first.agg({"ord": "max"}).first()[0]
+    assert rows.select("ord").distinct().count() == rows.count() == 700
+    assert rows.where(f"ord <= {top}").count() == 400
