@@ -591,6 +591,14 @@ def _oracles() -> dict[str, str]:
         "restitch": restitch(),
         "scan": q(f"""SELECT path, CASE WHEN path LIKE '%.zip' THEN 'zip' WHEN regexp_replace(path, '\\.[^./]*\\z', '') IN (SELECT regexp_replace(path, '\\.[^./]*\\z', '') FROM tracks WHERE list_contains(file_types, 'mp3')) THEN 'mp3|cdg' ELSE 'cdg' END AS file_types,
             CASE WHEN coalesce(canonical, p.artist) = '' THEN 'Unknown' ELSE coalesce(canonical, p.artist) END AS artist, p.song AS song FROM (SELECT path, {parse(stem())} AS p FROM tracks WHERE ord % 4 <> 0) LEFT JOIN usable ON variant = p.artist""", ALIASES, sides=("aliases",)),
+        "scan_swapped": q(f"""SELECT 'song-artist/' || path AS path, CASE WHEN path LIKE '%.zip' THEN 'zip' WHEN regexp_replace(path, '\\.[^./]*\\z', '') IN (SELECT regexp_replace(path, '\\.[^./]*\\z', '') FROM tracks WHERE list_contains(file_types, 'mp3')) THEN 'mp3|cdg' ELSE 'cdg' END AS file_types,
+            CASE WHEN p.song = '' THEN 'Unknown' ELSE p.song END AS artist, p.artist AS song FROM (SELECT path, {parse(stem())} AS p FROM tracks)"""),
+        "edits_accept": q(f"SELECT ord, CASE WHEN take AND {equality('ma')} <> {equality('a')} THEN ma ELSE a END AS artist, CASE WHEN take AND mt <> '' AND {equality('mt')} <> {equality('s')} THEN mt ELSE s END AS song FROM (SELECT *, ma <> '' AS take FROM sug)",
+            "sug AS (SELECT ord, coalesce(artist, '') AS a, coalesce(song, '') AS s, coalesce(CASE ord % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN upper(artist) || '!' ELSE 'New ' || ord END, '') AS ma, coalesce(CASE ord % 3 WHEN 0 THEN NULL WHEN 1 THEN upper(song) || '.' ELSE 'Title ' || ord END, '') AS mt FROM tracks)"),
+        "credit_name": q(f"SELECT ord, {strip("coalesce(artist, '') || ' & ' || CASE WHEN ord % 5 > 0 THEN 'W' || ord ELSE 'Other' END")} AS name FROM tracks"),
+        "playable_ext": q("SELECT ord, CASE WHEN list_contains(file_types, 'zip') THEN 'zip' WHEN list_contains(file_types, 'mp3') THEN 'mp3' END AS ext FROM tracks"),
+        "stored_round_trip": q("SELECT path, array_to_string(file_types, '|') AS file_types, coalesce(artist, '') AS artist, coalesce(song, '') AS song, mp3_hash, mp3_size, cdg_size, tag_artist, CASE WHEN ord % 7 <> 0 THEN tag_year END AS tag_year, key FROM tracks"),
+        "snapshots": q("SELECT path, artist, 'Second ' || ord AS song, ord FROM tracks"),
         "changed_files": q("SELECT path, CAST(ord * 10 + 1700000000 AS VARCHAR) AS src_mtime, CAST(ord * 10 AS VARCHAR) AS src_size FROM tracks WHERE ord % 3 = 0 OR ord % 5 = 0"),
         "export_index": q("""SELECT b.file AS path, b.artist, b.song AS title, b.duration, b.k AS key, b.kc AS key_confidence, CAST(coalesce(n, 0) AS INT) AS n_versions, versions FROM playable b
             LEFT JOIN (SELECT artist_key, song_key, count(*) AS n, string_agg(concat_ws('/', file, label, CAST(duration AS VARCHAR), k), '|' ORDER BY rank) AS versions FROM playable WHERE rank > 1 GROUP BY ALL) v USING (artist_key, song_key) WHERE b.rank = 1""", KEYED, shelf(3),

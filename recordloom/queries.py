@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fixture
+from . import fixture, schema
 from .functions import keys as K
 from .functions import similarity
 from .functions import stems as S
@@ -15,6 +15,7 @@ from .functions import text as X
 from .operators import fuzzy, groups, stats
 from .plans import cleanup, corroborate, export, review
 from .sources import files, store
+from .tables import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 NAMES = ("ord", "artist", "song")
@@ -128,6 +129,44 @@ def listing(spark, sf):
     return every.groupBy("path").agg(F.max("length").alias("length")).withColumn("modificationTime", F.timestamp_seconds(F.col("length") + 1_700_000_000))
 
 
+def scan_swapped(spark, sf):
+    """The same files in a folder whose names have the song first."""
+    turned = listing(spark, sf).withColumn("path", F.concat(F.lit(f"{files.SWAPPED_FOLDER}/"), "path"))
+    return files.scan(turned).select("path", _joined("file_types").alias("file_types"), "artist", "song")
+
+
+def edits_accept(spark, sf):
+    """Each track's suggested artist and title are accepted."""
+    artist = F.expr("CASE ord % 4 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN upper(artist) || '!' ELSE 'New ' || ord END")
+    title = F.expr("CASE ord % 3 WHEN 0 THEN NULL WHEN 1 THEN upper(song) || '.' ELSE 'Title ' || ord END")
+    rows = _t(spark, sf).withColumns({"mb_artist": artist, "mb_title": title})
+    edits = rows.select("path", F.lit("accept").alias("op"), F.lit(None).cast("string").alias("value"), F.lit(1).alias("ts"))
+    return review.apply_edits(rows, edits).select("ord", F.coalesce("artist", F.lit("")).alias("artist"), F.coalesce("song", F.lit("")).alias("song"))
+
+
+def credit_names(spark, sf):
+    part = lambda name, artist, join: F.struct(name.alias("name"), artist.alias("artist_name"), join.alias("joinphrase"))
+    rows = _t(spark, sf).withColumn("w", F.when(F.col("ord") % 5 > 0, F.concat(F.lit("W"), F.col("ord"))))
+    credit = F.array(part(F.when(F.col("ord") % 3 > 0, F.lit("")), F.col("artist"), F.lit(" & ")), part(F.col("w"), F.lit("Other"), F.lit(None).cast("string")))
+    return rows.select("ord", X.credit_name(credit).alias("name"))
+
+
+def stored_round_trip(spark, sf):
+    """Tracks as records with a metadata map, and back."""
+    rows = _t(spark, sf).withColumn("tag_year", F.when(F.col("ord") % 7 == 0, F.lit(schema.NOT_FOUND)).otherwise(F.col("tag_year")))
+    back = schema.from_stored(schema.to_stored(rows))
+    return back.select("path", _joined("file_types").alias("file_types"), "artist", "song", "mp3_hash", "mp3_size", "cdg_size", "tag_artist", "tag_year", "key")
+
+
+def snapshots(spark, sf):
+    """A table committed twice, and what a reader finds then."""
+    table = store.Snapshots(spark, scratch(spark, "snapshots"))
+    rows = _t(spark, sf).select("path", "artist", "song", "ord")
+    table.commit(rows.where("ord % 2 = 0"))
+    table.commit(store.upsert(table.read(), rows.withColumn("song", F.concat(F.lit("Second "), F.col("ord")))))
+    return table.read().select("path", "artist", "song", "ord")
+
+
 def scan(spark, sf):
     known = _t(spark, sf).where("ord % 4 = 0")
     return files.scan(listing(spark, sf), known, fixture.side(spark, sf, "aliases")).select("path", _joined("file_types").alias("file_types"), "artist", "song")
@@ -263,6 +302,12 @@ def queries() -> dict[str, Query]:
         "songbook_rows": songbook_rows,
         "songbook_search": lambda s, d: export.songbook_search(export.songbook(_t(s, d)), "Ring sm", limit=40),
         "scan": scan,
+        "scan_swapped": scan_swapped,
+        "edits_accept": edits_accept,
+        "credit_name": credit_names,
+        "playable_ext": _function("file_types", "ext", X.playable_ext),
+        "stored_round_trip": stored_round_trip,
+        "snapshots": snapshots,
         "changed_files": changed_files,
         "upsert": upsert,
         "doc_duplicates": doc_duplicates,
