@@ -16,6 +16,8 @@ ROOT = Path(__file__).resolve().parents[1]
 
 
 BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", 4 << 20
+#: Whether Spark deletes the shuffle files of a query as it ends, instead of when the driver next collects its garbage.
+CLEANUP_SETTING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Folders that open ``tidy`` blocks have to delete.
 _OPEN: list[list[str]] = []
 
@@ -48,16 +50,30 @@ def clear_scratch(spark: SparkSession) -> None:
     _delete(spark, f"{shared_folder(spark)}/recordloom/{spark.sparkContext.applicationId}")
 
 
+def _write(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it again; its shuffle files, of no use any more, are deleted."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP_SETTING, None)
+    spark.conf.set(CLEANUP_SETTING, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP_SETTING)
+        else:
+            spark.conf.set(CLEANUP_SETTING, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def hold(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
-    Cuts the lineage: what follows needs neither the plan above nor the executors that ran it.
+    Cuts the lineage: what follows needs neither the plan above nor the executors that ran it, nor its shuffle files.
     """
     path = scratch(df.sparkSession, label)
     if _OPEN:
         _OPEN[-1].append(path)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return _write(df, path)
 
 
 @contextmanager
@@ -71,10 +87,9 @@ def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]
 
     def keep(df: DataFrame, label: str) -> DataFrame:
         path = scratch(spark, label)
-        df.write.parquet(path)
         if len(_OPEN) > 1:
             _OPEN[-2].append(path)
-        return spark.read.schema(df.schema).parquet(path)
+        return _write(df, path)
 
     try:
         yield keep
