@@ -283,7 +283,8 @@ def similar_links(nodes: DataFrame, sets_of, tenths: int, bits: int = BITS, **op
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense.select("node")).distinct()
     sets = hold(sets_of(hold(nodes.join(wanted, "node", "left_semi").select("node", "id", "mark"), "wanted")), "sets")
     rows = dense.join(nodes.select("node", *[f"w{k}" for k in range(WIDE)]), "node").join(sets, "node")
-    return similar_pairs(pairs, sets, tenths).unionByName(links_of_dense(rows, tenths))
+    # One after the other, so that the sets that one of them shuffles are gone before the other begins.
+    return hold(similar_pairs(pairs, sets, tenths), "similar").unionByName(hold(links_of_dense(rows, tenths), "crowded"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, tenths: int = 8, **options) -> DataFrame:
