@@ -53,7 +53,12 @@ _SIDES = {
     "state": "SELECT path, CASE WHEN ord % 5 = 0 THEN 'ok' ELSE 'skip' END AS status FROM tracks WHERE ord % 5 = 0 OR ord % 7 = 0",
     "resolutions": "SELECT CASE WHEN ord % 12 = 0 THEN 'gone/' || ord ELSE path END AS path, CASE WHEN ord % 4 = 0 THEN NULL ELSE 'New ' || ord END AS artist, CASE WHEN ord % 8 = 2 THEN NULL ELSE song END AS song, 'why' AS why FROM tracks WHERE ord % 2 = 0 AND ord % 3 = 0",
     "overrides": "SELECT DISTINCT lower(trim(artist || ' - ' || song)) AS name, CASE WHEN ord % 3 = 0 THEN 'A minor' WHEN ord % 3 = 1 THEN 'Gbm' ELSE '8A' END AS key FROM tracks WHERE ord % 160 = 0",
-    "candidates": "SELECT 'direct' AS shape, lower(trim(artist)) AS query_artist, lower(trim(song)) AS query_title, CAST(ord % 3 AS INT) AS rank, CASE WHEN ord % 2 = 0 THEN upper(artist) ELSE 'Other ' || artist END AS artist, CASE WHEN ord % 3 = 0 THEN song || ' Live' ELSE song END AS title FROM tracks WHERE artist IS NOT NULL",
+    # All shapes of answers, each for some of the tracks.
+    "answers": "SELECT 'direct' AS shape, lower(trim(artist)) AS query_artist, lower(trim(song)) AS query_title, CAST(ord AS INT) AS rank, CASE WHEN ord % 8 = 0 THEN artist ELSE artist || ' Some' END AS artist, song AS title FROM tracks WHERE artist IS NOT NULL AND ord % 4 = 0"
+               " UNION ALL SELECT 'title', '', lower(trim(song)), CAST(ord AS INT), CASE WHEN ord % 8 = 1 THEN upper(artist) ELSE 'Other ' || artist END, song FROM tracks WHERE artist IS NOT NULL AND ord % 4 = 1"
+               " UNION ALL SELECT 'release', lower(trim(artist)), lower(trim(song)), CAST(ord AS INT), CASE WHEN ord % 7 = 0 THEN '' ELSE 'Real ' || artist END, CASE WHEN ord % 2 = 0 THEN song ELSE 'Not This' END FROM tracks WHERE artist IS NOT NULL AND ord % 5 in (2, 3)"
+               " UNION ALL SELECT 'direct', lower(trim(song)), lower(trim(artist)), CAST(ord AS INT), song, artist FROM tracks WHERE artist IS NOT NULL AND ord % 4 = 3",
+    "candidates": "SELECT 'direct' AS shape, lower(trim(artist)) AS query_artist, lower(trim(song)) AS query_title, CAST(ord % 3 AS INT) AS rank, CASE WHEN ord % 8 = 1 THEN upper(artist) ELSE 'Other ' || artist END AS artist, CASE WHEN ord % 3 = 0 THEN song || ' Live' ELSE song END AS title FROM tracks WHERE artist IS NOT NULL",
 }
 
 

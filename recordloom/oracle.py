@@ -168,6 +168,10 @@ def artist_tokens(x: str) -> str:
     return token_set(f"replace({rx(y, r'(?i)\b(feat|ft|featuring|and)\b', ' ')}, '&', ' ')")
 
 
+def plain_form(x: str) -> str:
+    return strip(rx(rx(rx(f"coalesce({x}, '')", X.CATALOG_PREFIX), X.QUERY_NOISE, " "), X.SPACE + "+", " "))
+
+
 def query_form(x: str) -> str:
     y = rx(rx(f"coalesce({x}, '')", X.CATALOG_PREFIX), X.QUERY_NOISE, " ")
     joiner = r"(?is)\s*(?:&|\b(?:and|feat|ft|featuring)\b\.?)\s*.*\z"
@@ -427,18 +431,45 @@ def edits_apply() -> str:
         f"rw AS (SELECT ord, artist, song, {rx('artist', CREDIT, ' & ')} AS raw, {query_form('tag_artist')} AS tagged FROM tracks)", f"st AS (SELECT ord, {step} FROM rw)")
 
 
-def corroborate() -> str:
-    def best(name: str, query: tuple, ours: tuple) -> str:
+def searches() -> str:
+    def phrase(field: str, value: str) -> str:
+        return f"'{field}:\"' || {escape(value)} || '\"'"
+
+    def escape(value: str) -> str:
+        return strip(f"replace(replace({value}, chr(92), ' '), '\"', ' ')")
+
+    def ask(shape: str, artist: str, title: str, text: str, answers: int) -> str:
+        return f"SELECT '{shape}' AS shape, {artist} AS query_artist, {title} AS query_title, {text} AS text, {answers} AS answers FROM named"
+
+    def pair(by: str, title: str) -> str:
+        return f"{phrase('artist', query_form(by))} || ' AND ' || {phrase('recording', plain_form(title))}"
+
+    title = phrase("recording", plain_form("s"))
+    asked = [
+        ask("direct", "lower(a)", "lower(s)", pair("a", "s"), 5), ask("direct", "lower(s)", "lower(a)", pair("s", "a"), 5), ask("title", "''", "lower(s)", title, 20),
+        ask("release", "lower(a)", "lower(s)", f"{title} || ' AND ' || {phrase('release', plain_form('a'))}", 10),
+        ask("key", "lower(a)", "lower(s)", f"{phrase('artist', 'a')} || ' AND ' || {phrase('recording', 's')}", 10) + f" WHERE {escape('a')} <> '' AND {escape('s')} <> ''",
+    ]
+    return q("SELECT shape, query_artist, query_title, min(text) AS text, answers FROM asked GROUP BY ALL", f"named AS (SELECT * FROM (SELECT DISTINCT {strip('artist')} AS a, {strip('song')} AS s FROM tracks) WHERE a <> '' AND s <> '')",
+        f"asked AS ({' UNION ALL '.join(asked)})")
+
+
+def corroborate(side: str = "candidates") -> str:
+    def best(name: str, query: tuple, ours: tuple, shape: str = "direct") -> str:
         return f"""{name}m AS (SELECT la, ls, rank, c.artist AS ca, c.title AS ct, {match_form('o.' + ours[0])} AS fa, {match_form('o.' + ours[1])} AS ft, {match_form('c.artist')} AS ga, {match_form('c.title')} AS gt
-                FROM prs JOIN candidates c ON c.shape = 'direct' AND c.query_artist = {query[0]} AND c.query_title = {query[1]}), {name}s AS (SELECT *, {ratio('fa', 'ga')} AS x, {ratio('ft', 'gt')} AS y FROM {name}m),
+                FROM prs JOIN {side} c ON c.shape = '{shape}' AND c.query_artist = {query[0]} AND c.query_title = {query[1]}), {name}s AS (SELECT *, {ratio('fa', 'ga')} AS x, {ratio('ft', 'gt')} AS y FROM {name}m),
             {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY la, ls ORDER BY x + y DESC, rank) AS r FROM {name}s WHERE x + y > 0) WHERE r = 1)"""
 
-    kind = "CASE WHEN d.x >= 88 AND d.y >= 88 THEN 'ok' WHEN v.x >= 88 AND v.y >= 88 THEN 'swap' WHEN d.x >= 70 AND d.y >= 70 THEN 'flag' ELSE 'none' END"
+    # A release's records are taken in their order, by title alone.
+    release = "first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY la, ls ORDER BY rank) AS r FROM es WHERE y >= 88) WHERE r = 1)"
+    kind = """CASE WHEN d.x >= 88 AND d.y >= 88 THEN 'ok' WHEN v.x >= 88 AND v.y >= 88 THEN 'swap' WHEN w.x >= 88 AND w.y >= 88 THEN 'title' WHEN d.x >= 70 AND d.y >= 70 THEN 'flag' WHEN coalesce(f.ca, '') <> '' THEN 'suggest' ELSE 'none' END"""
+    noted = lambda c: f"CASE {kind} WHEN 'flag' THEN d.{c} WHEN 'suggest' THEN f.{c} END"
     return q("""SELECT t.ord, CASE WHEN kind = 'swap' THEN t.song ELSE t.artist END AS artist, CASE WHEN kind = 'swap' THEN t.artist ELSE t.song END AS song, CASE WHEN kind IS NOT NULL THEN '1' END AS mb_checked, kind AS mb_match, ma AS mb_artist, mt AS mb_title
         FROM tracks t LEFT JOIN asked ON asked.path = t.path LEFT JOIN res USING (la, ls)""", KEYED, COUNTS, QUEUE,
         f"asked AS (SELECT path, {strip('artist')} AS oa, {strip('song')} AS ot, lower({strip('artist')}) AS la, lower({strip('song')}) AS ls FROM queue WHERE {strip('artist')} <> '' AND {strip('song')} <> '')",
         "prs AS (SELECT la, ls, min({'a': oa, 't': ot}) AS o FROM asked GROUP BY ALL)", best("d", ("la", "ls"), ("a", "t")), best("v", ("ls", "la"), ("t", "a")),
-        f"res AS (SELECT prs.la, prs.ls, {kind} AS kind, CASE WHEN {kind} = 'flag' THEN d.ca END AS ma, CASE WHEN {kind} = 'flag' THEN d.ct END AS mt FROM prs LEFT JOIN d USING (la, ls) LEFT JOIN v USING (la, ls))", sides=("state", "candidates"))
+        best("w", ("''", "ls"), ("a", "t"), "title"), best("e", ("la", "ls"), ("a", "t"), "release"), release,
+        f"res AS (SELECT prs.la, prs.ls, {kind} AS kind, {noted('ca')} AS ma, {noted('ct')} AS mt FROM prs LEFT JOIN d USING (la, ls) LEFT JOIN v USING (la, ls) LEFT JOIN w USING (la, ls) LEFT JOIN first f USING (la, ls))", sides=("state", side))
 
 
 def reliable(f: str) -> str:
@@ -586,6 +617,8 @@ def _oracles() -> dict[str, str]:
         "auto_clean": q(f"SELECT ord, coalesce({uncomma('primary_')}, primary_) AS artist, feature FROM (SELECT ord, {strip("split_part(raw, '&', 1)")} AS primary_, CASE WHEN contains(raw, '&') THEN {strip("substr(raw, instr(raw, '&') + 1)")} END AS feature FROM (SELECT ord, {rx('artist', CREDIT, ' & ')} AS raw FROM tracks))"),
         "edits_apply": edits_apply(),
         "corroborate": corroborate(),
+        "corroborate_shapes": corroborate("answers"),
+        "searches": searches(),
         "detect_keys": detect_keys(),
         "reliable_words": q(f"SELECT ord, array_to_string({reliable('f')}, '|') AS words FROM (SELECT ord, {split_stem(stem())}[2:] AS f FROM tracks)"),
         "restitch": restitch(),

@@ -19,18 +19,48 @@ from .review import review_queue
 
 # Similarities from which a match is strong, or worth a look.
 STRONG, WEAK = 88, 70
+# How many records each kind of search asks for.
+ANSWERS = {"direct": 5, "title": 20, "release": 10, "restitch": 25, "key": 10}
 
 
-def queries_for(tracks: DataFrame) -> DataFrame:
-    """(shape, query_artist, query_title) of the searches that a collector has to make, each once."""
-    a, s = F.lower(X.strip("artist")), F.lower(X.strip("song"))
-    shapes = F.array(
-        F.struct(F.lit("direct").alias("shape"), a.alias("query_artist"), s.alias("query_title")),
-        F.struct(F.lit("direct").alias("shape"), s.alias("query_artist"), a.alias("query_title")),
-        F.struct(F.lit("title").alias("shape"), F.lit("").alias("query_artist"), s.alias("query_title")),
-        F.struct(F.lit("release").alias("shape"), a.alias("query_artist"), s.alias("query_title")),
-    )
-    return tracks.where((a != "") & (s != "")).select(F.explode(shapes).alias("q")).select("q.*").distinct()
+def _phrase(field: str, value: Column) -> Column:
+    return F.concat(F.lit(f'{field}:"'), X.escape_phrase(value), F.lit('"'))
+
+
+def _both(*parts: Column) -> Column:
+    return F.concat_ws(" AND ", *parts)
+
+
+def queries_for(tracks: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """(shape, query_artist, query_title, text, answers) of the searches that a collector has to make, each once.
+
+    ``text`` is what to search for, of several spellings the smallest, and ``answers`` how many records to ask for.
+    With the review ``state`` there are also those for titles in pieces.  Shape ``key`` is for :func:`online_keys`.
+    """
+    artist, song = X.strip("artist"), X.strip("song")
+    a, s = F.lower(artist), F.lower(song)
+    by, title = _phrase("artist", X.query_form(artist, uncomma=True)), _phrase("recording", X.query_form(song))
+    shapes = {
+        "direct": (a, s, _both(by, title)),
+        "title": (F.lit(""), s, title),
+        "release": (a, s, _both(title, _phrase("release", X.query_form(artist)))),
+        "key": (a, s, F.when((X.escape_phrase(artist) != "") & (X.escape_phrase(song) != ""), _both(_phrase("artist", artist), _phrase("recording", song)))),
+    }
+    turned = _both(_phrase("artist", X.query_form(song, uncomma=True)), _phrase("recording", X.query_form(artist)))
+    asked = [(shape, *of) for shape, of in shapes.items()] + [("direct", s, a, turned)]
+    structs = F.array(*[F.struct(F.lit(shape).alias("shape"), qa.alias("query_artist"), qt.alias("query_title"), text.alias("text")) for shape, qa, qt, text in asked])
+    # What two tracks share is asked once: distinct pairs first, as texts take several patterns each.
+    out = tracks.where((a != "") & (s != "")).select("artist", "song").distinct().select(F.explode(structs).alias("q")).select("q.*")
+    if state is not None:
+        words = restitch_questions(tracks, state).where(F.size("words") > 0)
+        any_of = F.concat(F.lit("recording:("), F.array_join(F.transform("words", X.escape_phrase), " AND "), F.lit(")"))
+        out = out.unionByName(words.select(
+            F.lit("restitch").alias("shape"), F.lower("artist").alias("query_artist"), F.lower(F.array_join("words", " ")).alias("query_title"),
+            _both(_phrase("artist", X.query_form("artist", uncomma=True)), any_of).alias("text"),
+        ))
+    answers = F.create_map(*[F.lit(x) for pair in ANSWERS.items() for x in pair])
+    found = out.where("text is not null").groupBy("shape", "query_artist", "query_title").agg(F.min("text").alias("text"))
+    return found.withColumn("answers", answers[F.col("shape")])
 
 
 def candidate_best(asked: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:

@@ -153,17 +153,33 @@ def songbook_search(book: DataFrame, text: str, within: str = "all", letter: str
 PAGE = """<!doctype html>
 <html lang="en"><head><meta charset="utf-8"><title>__TITLE__</title></head>
 <body><h1>__TITLE__</h1><p>__COUNT__ songs</p>
-<input id="find" placeholder="Search"><div id="rows"></div>
+<form id="ask">
+<input name="text" type="search" placeholder="Search">
+<select name="within"><option value="all">All</option><option value="artist">Artist</option><option value="song">Song title</option></select>
+<select name="letter"><option value="">A-Z</option></select>
+</form>
+<p id="total"></p><div id="rows"></div>
 <script id="data" type="application/json">__DATA__</script>
 <script>
 const plain = t => t.normalize("NFKD").replace(/[^\\x00-\\x7f]/g, "").toLowerCase().replace(/[^a-z0-9]+/g, " ").trim();
-const rows = JSON.parse(document.getElementById("data").textContent).map(r => r.split("\\t")).map(r => ({r, key: plain(r[0] + " " + r[1])}));
+const first = key => /^[a-z]/.test(key) ? key[0].toUpperCase() : "#";
+const rows = JSON.parse(document.getElementById("data").textContent).map(line => {
+  const [artist, song, details] = line.split("\\t"), keys = {artist: plain(artist), song: plain(song)};
+  return {artist, song, details, keys: {...keys, all: keys.artist + " " + keys.song}, letter: first(keys.artist)};
+});
+const ask = document.getElementById("ask"), {text, within, letter} = ask.elements;
+for (const l of [...new Set(rows.map(r => r.letter))].sort()) letter.add(new Option(l));
+const line = r => Object.assign(document.createElement("div"), {
+  textContent: r.artist + " – " + r.song, title: r.details,
+  onclick: () => { text.value = r.artist; within.value = "artist"; letter.value = ""; show(); },
+});
 const show = () => {
-  const want = plain(document.getElementById("find").value).split(" ");
-  const hits = rows.filter(x => want.every(w => x.key.includes(w)));
-  document.getElementById("rows").replaceChildren(...hits.slice(0, __LIMIT__).map(x => Object.assign(document.createElement("div"), {textContent: x.r[0] + " – " + x.r[1], title: x.r[2]})));
+  const want = plain(text.value).split(" ");
+  const hits = rows.filter(r => (!letter.value || r.letter === letter.value) && want.every(w => r.keys[within.value].includes(w)));
+  document.getElementById("total").textContent = hits.length > __LIMIT__ ? `first __LIMIT__ of ${hits.length}` : `${hits.length}`;
+  document.getElementById("rows").replaceChildren(...hits.slice(0, __LIMIT__).map(line));
 };
-document.getElementById("find").oninput = show; show();
+ask.oninput = show; ask.onsubmit = () => false; show();
 </script></body></html>
 """
 

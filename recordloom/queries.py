@@ -285,6 +285,8 @@ def queries() -> dict[str, Query]:
         "edits_apply": _pass(lambda s, d, t: review.apply_edits(t, _edits(s, d)), "feature"),
         "candidate_best": _asked,
         "corroborate": _pass(lambda s, d, t: corroborate.corroborate(t, state(s, d), fixture.side(s, d, "candidates"))[0], "mb_checked", "mb_match", "mb_artist", "mb_title"),
+        "corroborate_shapes": _pass(lambda s, d, t: corroborate.corroborate(t, state(s, d), fixture.side(s, d, "answers"))[0], "mb_checked", "mb_match", "mb_artist", "mb_title"),
+        "searches": lambda s, d: corroborate.queries_for(_t(s, d)),
         "restitch": restitch,
         "ks_key": ks_key,
         "normalize_key": lambda s, d: _key_words(s, d).select("ord", K.normalize_key("raw").alias("key")),

@@ -183,3 +183,25 @@ def test_detect_keys(spark):
     out = corroborate.detect_keys(df, profiles, overrides, online).orderBy("ord").collect()
     assert [(r["key"], r["key_source"]) for r in out] == [("C minor", "auto"), ("C major", None), ("F# minor", "online"), ("A minor", "manual")]
     assert out[3]["key_confidence"] == "1.000" and out[3]["key_camelot"] == "8A" and out[3]["key_sig"] == "h4"
+
+
+def test_searches(spark):
+    df, state = tracks(spark, [("a", "Chesney, Kenny & Kid", "Tune (Mplx)", None), ("b", "Say \"Hi\"", "x\\y", None), ("c", "", "No Artist", None), ("d", "\"", "Q", None)]), spark.createDataFrame([], STATE)
+    found = {(r["shape"], r["query_artist"], r["query_title"]): (r["text"], r["answers"]) for r in corroborate.queries_for(df, state).collect()}
+    pair = ("chesney, kenny & kid", "tune (mplx)")
+    assert found[("direct", *pair)] == ('artist:"Kenny Chesney & Kid" AND recording:"Tune"', 5)
+    assert found[("direct", *pair[::-1])] == ('artist:"Tune" AND recording:"Chesney, Kenny & Kid"', 5)
+    assert found[("title", "", pair[1])] == ('recording:"Tune"', 20)
+    assert found[("release", *pair)] == ('recording:"Tune" AND release:"Chesney, Kenny & Kid"', 10)
+    assert found[("key", *pair)] == ('artist:"Chesney, Kenny & Kid" AND recording:"Tune (Mplx)"', 10)
+    assert found[("direct", 'say "hi"', "x\\y")] == ('artist:"Say  Hi" AND recording:"x y"', 5)
+    assert not [k for k in found if "no artist" in k] and ("key", '"', "q") not in found
+
+
+def test_searches_for_titles_in_pieces(spark):
+    rows = many("Belinda Carlisle", 2) + [("d/FLY-03-06 - Belinda - Carlisle - Heaven Is A Pla - On Earth.zip", "Belinda", "Carlisle", None), ("d/X - Y - Z.zip", "X", "Y", None)]
+    df, state = tracks(spark, rows), spark.createDataFrame([], STATE)
+    asked = corroborate.restitch_questions(df, state).where("size(words) > 0").count()
+    found = [r for r in corroborate.queries_for(df, state).collect() if r["shape"] == "restitch"]
+    assert len(found) == asked > 0
+    assert all(r["answers"] == 25 and " AND recording:(" in r["text"] and r["query_title"] == r["text"].split(" AND recording:(")[1].rstrip(")").replace(" AND ", " ").lower() for r in found)
