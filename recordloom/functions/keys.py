@@ -20,6 +20,10 @@ NATURAL = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 #: Wheel codes: a step round the wheel is a fifth, 8A is A minor and 8B is C major.
 WHEEL = {f"{(7 + 7 * pitch) % 12 + 1}B": f"{NAMES[pitch]} major" for pitch in range(12)} | {f"{(7 + 7 * (pitch - 9)) % 12 + 1}A": f"{NAMES[pitch]} minor" for pitch in range(12)}
 TEMPLATES = [(f"{NAMES[tonic]} {mode}", [profile[(i - tonic) % 12] for i in range(12)]) for tonic in range(12) for profile, mode in ((MAJOR, "major"), (MINOR, "minor"))]
+# What the detail of a key says.
+TAG_CORROBORATED, TAG_ALONE = "id3 TKEY (corroborated)", "id3 TKEY"
+BOTH_AGREE, ONLINE_DISAGREES = "offline+online agree", "online disagrees ("
+ONLINE_ALONE = "original master key; unverified vs rip"
 
 
 def _literal_map(pairs: dict) -> Column:
@@ -115,12 +119,12 @@ def combine_key_signals(override, tag, offline_key, offline_confidence, online)
         sure = F.coalesce(tagged == heard, F.lit(False)) | F.coalesce(tagged == listed, F.lit(False))
         agree = F.coalesce(heard == listed, F.lit(False))
         lifted = F.when(agree, F.least(F.lit(1.0), heard_confidence + 0.20)).otherwise(heard_confidence)
-        heard_detail = F.when(listed.isNull(), "").when(agree, "offline+online agree").otherwise(F.concat(F.lit("online disagrees ("), listed, F.lit(")")))
+        heard_detail = F.when(listed.isNull(), "").when(agree, BOTH_AGREE).otherwise(F.concat(F.lit(ONLINE_DISAGREES), listed, F.lit(")")))
         return (
             F.when(manual.isNotNull(), result(manual, F.lit(1.0), "manual", F.lit("")))
-            .when(tagged.isNotNull(), result(tagged, F.when(sure, 0.97).otherwise(0.90), "tag", F.when(sure, "id3 TKEY (corroborated)").otherwise("id3 TKEY")))
+            .when(tagged.isNotNull(), result(tagged, F.when(sure, 0.97).otherwise(0.90), "tag", F.when(sure, TAG_CORROBORATED).otherwise(TAG_ALONE)))
             .when(heard.isNotNull(), result(heard, F.round(lifted, 3), "auto", heard_detail))
-            .when(listed.isNotNull(), result(listed, F.lit(0.50), "online", F.lit("original master key; unverified vs rip")))
+            .when(listed.isNotNull(), result(listed, F.lit(0.50), "online", F.lit(ONLINE_ALONE)))
             .otherwise(result(F.lit(None), F.lit(0.0), "none", F.lit("")))
         )
 

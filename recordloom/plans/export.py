@@ -18,7 +18,10 @@ from ..operators import groups
 from ..schema import meta, with_meta
 from ..tables import ship
 
+# Rows a search shows, the label of a version without a folder, the page's title.
 SEARCH_LIMIT = 400
+ALTERNATE = "Alternate"
+BOOK_TITLE = "Karaoke Songbook"
 
 
 def _shelf(rows: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def export_index(tracks: DataFrame, limit: int = 1) -> DataFrame:
     kept = _versions(tracks, limit).where(F.col("_ext").isNotNull())
     seconds = X.number("length_seconds")
     keys = key_index_fields("key", "key_confidence", "key_source", "key_camelot")
-    label = F.when(X.folder("path") == F.col("path"), "Alternate").otherwise(F.coalesce(F.nullif(F.substring_index(X.folder("path"), "/", -1), F.lit("")), F.lit("Alternate")))
+    label = F.when(X.folder("path") == F.col("path"), ALTERNATE).otherwise(F.coalesce(F.nullif(F.substring_index(X.folder("path"), "/", -1), F.lit("")), F.lit(ALTERNATE)))
     rows = kept.select("artist_key", "song_key", "rank", "artist", "song", F.concat(F.col("_dir"), F.lit("/"), F.col("_stem"), F.lit("."), F.col("_ext")).alias("file"), seconds.alias("duration"), label.alias("label"), keys.alias("k"))
     fields = [F.col(f"k.{n}").alias(n) for n in ("key", "key_confidence", "key_source", "key_camelot")]
     other = F.when(F.col("rank") > 1, F.struct("rank", F.col("file").alias("path"), "label", "duration", *fields))
@@ -193,7 +196,7 @@ def songbook_lines(book: DataFrame) -> DataFrame:
 def write_songbook(book: DataFrame, target: str, name: str = "") -> int:
     """Write the book as one searchable HTML page; the page holds all rows, so they come to the driver."""
     lines = [r["line"] for r in songbook_lines(book).toLocalIterator()]
-    title = html.escape(f"{name}'s Karaoke Songbook" if name else "Karaoke Songbook", quote=False)
+    title = html.escape(f"{name}'s {BOOK_TITLE}" if name else BOOK_TITLE, quote=False)
     data = json.dumps(lines, ensure_ascii=False).replace("</", "<\\/")
     page = PAGE.replace("__TITLE__", title).replace("__COUNT__", f"{len(lines):,}").replace("__LIMIT__", str(SEARCH_LIMIT)).replace("__DATA__", data)
     Path(target).parent.mkdir(parents=True, exist_ok=True)
