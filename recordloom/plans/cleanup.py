@@ -162,11 +162,12 @@ def ungroup_artists(tracks: DataFrame, all_copies: bool = False) -> DataFrame:
     return _update(rows, changes, {"artist": "_artist", "feature": "_feature"})
 
 
-def merge_similar_artists(tracks: DataFrame, least: float = 90.0, at_most: int = 5) -> DataFrame:
-    """Artists of few tracks take the commonest spelling of a similar one with more, from the state before the pass."""
+def merge_similar_artists(tracks: DataFrame, least: float = 90.0, at_most: int = 5, in_doubles: bool = False) -> DataFrame:
+    """Artists of few tracks take the commonest spelling of a similar one with more, from the state before the pass.
+    For ``in_doubles`` see :func:`recordloom.operators.fuzzy.similar_pairs`."""
     rows = groups.keyed(_texts(tracks))
     counted = rows.where("letter <> ''").groupBy("letter", "artist_key").agg(F.count(F.lit(1)).alias("n"))
-    targets = fuzzy.merge_targets(counted, ["letter"], "artist_key", least, at_most)
+    targets = fuzzy.merge_targets(counted, ["letter"], "artist_key", least, at_most, in_doubles)
     spelled = groups.majority(rows, ["artist_key"], "artist").select(F.col("artist_key").alias("target"), F.col("artist").alias("_spelled"))
     side = targets.join(spelled, "target", "left").select(F.col("artist_key").alias("_k"), F.coalesce("_spelled", "target").alias("_new"))
     return rows.join(side, F.col("artist_key") == F.col("_k"), "left").withColumn("artist", F.coalesce("_new", "artist")).drop("_k", "_new", "artist_key", "song_key", "letter")
@@ -183,7 +184,7 @@ def merge_similar_songs(tracks: DataFrame, least: float = 85.0) -> DataFrame:
     return met.withColumn("song", F.coalesce("_new", "song")).drop("_a", "_k", "_new", "artist_key", "song_key", "letter")
 
 
-def all_clean(tracks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+def all_clean(tracks: DataFrame, aliases: DataFrame | None = None, in_doubles: bool = False) -> DataFrame:
     """Every cleanup pass in order; each sees what the one before it changed.
 
     Passes that group read their input several times, so each gets a written table.
@@ -191,7 +192,7 @@ def all_clean(tracks: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     out = hold(fill_from_tags(fix_trailing_articles(clean(tracks))), "clean")
     out = hold(uncomma_artists(out, aliases), "uncomma")
     out = hold(ungroup_artists(out), "ungroup")
-    out = hold(merge_similar_artists(out), "merge")
+    out = hold(merge_similar_artists(out, in_doubles=in_doubles), "merge")
     return merge_similar_songs(out)
 
 
