@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import stems as S
 from ..functions import text as X
 from ..functions.keys import ONLINE_BELOW, combine_key_signals, normalize_key, profile_to_key, to_camelot
-from ..functions.similarity import similarity
+from ..functions.similarity import match_form, ratio, similarity
 from ..operators import groups
 from ..schema import meta, with_meta
 from .review import review_queue
@@ -63,14 +63,32 @@ def queries_for(tracks: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return found.withColumn("answers", answers[F.col("shape")])
 
 
+QUESTION = ("shape", "query_artist", "query_title")
+
+
+def _records(candidates: DataFrame) -> DataFrame:
+    """``candidates``, each record of a search once with its first rank, and as they are compared in ``_ga``, ``_gt``."""
+    once = candidates.groupBy(*QUESTION, "artist", "title").agg(F.min("rank").alias("rank"))
+    return once.withColumns({"_ga": match_form("artist"), "_gt": match_form("title")})
+
+
 def candidate_best(asked: DataFrame, candidates: DataFrame, keys: list[str]) -> DataFrame:
     """(*keys, artist_sim, title_sim, mb_artist, mb_title): the candidate of each row with the largest sum of both
-    similarities, the first of equals.  ``asked`` has keys, shape, query_artist, query_title, our_artist, our_title."""
-    met = asked.join(candidates, ["shape", "query_artist", "query_title"])
-    scored = met.withColumns({"artist_sim": similarity("our_artist", "artist"), "title_sim": similarity("our_title", "title")})
+    similarities, the first of equals.  ``asked`` has keys, shape, query_artist, query_title, our_artist, our_title.
+
+    Rows that ask the same, and records that say the same, are compared once: a search of n rows and m records that all
+    repeat a few would make n * m comparisons.
+    """
+    ours = [*QUESTION, "our_artist", "our_title"]
+    once = asked.select(*ours).distinct().withColumns({"_fa": match_form("our_artist"), "_ft": match_form("our_title")})
+    scored = once.join(_records(candidates), [*QUESTION]).withColumns({"artist_sim": ratio("_fa", "_ga"), "title_sim": ratio("_ft", "_gt")})
     total = F.col("artist_sim") + F.col("title_sim")
-    best = scored.where(total > 0).groupBy(*keys).agg(F.min_by(F.struct("artist_sim", "title_sim", F.col("artist").alias("mb_artist"), F.col("title").alias("mb_title")), F.struct((-total).alias("t"), "rank")).alias("b"))
-    return best.select(*keys, "b.*")
+    order = F.struct((-total).alias("t"), "rank", "artist", "title")
+    found = F.struct(order.alias("o"), F.struct("artist_sim", "title_sim", F.col("artist").alias("mb_artist"), F.col("title").alias("mb_title")).alias("b"))
+    best = scored.where(total > 0).groupBy(*ours).agg(F.min_by(found, order).alias("_b"))
+    best = best.select(*[F.col(c).alias(f"_{c}") for c in ours], "_b")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c.startswith("our_") else F.col(c) == F.col(f"_{c}") for c in ours]
+    return asked.join(best, same).groupBy(*keys).agg(F.min_by("_b.b", "_b.o").alias("_b")).select(*keys, "_b.*")
 
 
 def corroborate(tracks: DataFrame, state: DataFrame, candidates: DataFrame, recheck: bool = False) -> tuple[DataFrame, DataFrame]:
