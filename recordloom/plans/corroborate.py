@@ -113,8 +113,8 @@ def corroborate(tracks: DataFrame, state: DataFrame, candidates: DataFrame, rech
     direct = best("direct", F.col("_a"), F.col("_s"), own, "d")
     other = best("direct", F.col("_s"), F.col("_a"), own[::-1], "r")
     title = best("title", F.lit(""), F.col("_s"), own, "t")
-    release = pairs.select(*keys, "our_title", F.lit("release").alias("shape"), F.col("_a").alias("query_artist"), F.col("_s").alias("query_title")).join(candidates, ["shape", "query_artist", "query_title"])
-    release = release.where(similarity("our_title", "title") >= STRONG).groupBy(*keys).agg(F.min_by(F.struct("artist", "title"), "rank").alias("l"))
+    release = pairs.select(*keys, F.lit("release").alias("shape"), F.col("_a").alias("query_artist"), F.col("_s").alias("query_title"), match_form("our_title").alias("_ft")).join(_records(candidates), [*QUESTION])
+    release = release.where(ratio("_ft", "_gt") >= STRONG).groupBy(*keys).agg(F.min_by(F.struct("artist", "title"), F.struct("rank", "artist", "title")).alias("l"))
     met = pairs
     for side in (direct, other, title, release):
         met = met.join(side, keys, "left")

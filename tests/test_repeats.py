@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from recordloom.plans import corroborate
 
+from .helpers import tracks
+
 RECORD = "shape string, query_artist string, query_title string, rank int, artist string, title string"
 
 
@@ -30,3 +32,13 @@ def test_candidate_best(spark, compared):
     assert sorted(r["ord"] for r in best) == list(range(100))
     assert {(r["artist_sim"], r["mb_artist"], r["mb_title"]) for r in best} == {(100.0, "ring", "Song")}
     assert compared.value <= 50
+
+
+@pytest.mark.parametrize(("shape", "artist"), [("title", ""), ("release", None)])
+def test_corroborate(spark, compared, shape, artist):
+    rows = tracks(spark, [(f"p{i}", f"Ring {i}", "Song", None) for i in range(10)])
+    state = spark.createDataFrame([], "path string, status string")
+    found = [(shape, artist if artist is not None else f"ring {i}", "song", rank, f"Ring {i}", "Song") for i in range(10) for rank in range(60)]
+    out, settled = corroborate.corroborate(rows, state, spark.createDataFrame(found, RECORD))
+    assert {r["mb_match"] for r in out.collect()} == {"title" if shape == "title" else "suggest"}
+    assert compared.value <= 500
