@@ -165,7 +165,7 @@ def ungroup_artists(tracks: DataFrame, all_copies: bool = False) -> DataFrame:
 def merge_similar_artists(tracks: DataFrame, least: float = 90.0, at_most: int = 5, in_doubles: bool = False) -> DataFrame:
     """Artists of few tracks take the commonest spelling of a similar one with more, from the state before the pass.
     For ``in_doubles`` see :func:`recordloom.operators.fuzzy.similar_pairs`."""
-    rows = groups.keyed(_texts(tracks))
+    rows = hold(groups.keyed(_texts(tracks)), "keyed")
     counted = rows.where("letter <> ''").groupBy("letter", "artist_key").agg(F.count(F.lit(1)).alias("n"))
     targets = fuzzy.merge_targets(counted, ["letter"], "artist_key", least, at_most, in_doubles)
     spelled = groups.majority(rows, ["artist_key"], "artist").select(F.col("artist_key").alias("target"), F.col("artist").alias("_spelled"))
@@ -175,7 +175,7 @@ def merge_similar_artists(tracks: DataFrame, least: float = 90.0, at_most: int =
 
 def merge_similar_songs(tracks: DataFrame, least: float = 85.0) -> DataFrame:
     """Titles of one artist that are similar take the commonest spelling of the one with more tracks."""
-    rows = groups.keyed(_texts(tracks))
+    rows = hold(groups.keyed(_texts(tracks)), "keyed")
     counted = rows.where("letter <> ''").groupBy("artist_key", "song_key").agg(F.count(F.lit(1)).alias("n"))
     targets = fuzzy.merge_targets(counted, ["artist_key"], "song_key", least)
     spelled = groups.majority(rows, ["artist_key", "song_key"], "song").select("artist_key", F.col("song_key").alias("target"), F.col("song").alias("_spelled"))
@@ -187,9 +187,10 @@ def merge_similar_songs(tracks: DataFrame, least: float = 85.0) -> DataFrame:
 def all_clean(tracks: DataFrame, aliases: DataFrame | None = None, in_doubles: bool = False) -> DataFrame:
     """Every cleanup pass in order; each sees what the one before it changed.
 
-    Passes that group read their input several times, so each gets a written table.
+    Passes that group read their input several times, so each gets a written table.  Tracks are dealt out first: the
+    cleanups of a row take much longer than reading it, and a small file of many rows is read by a task or two.
     """
-    out = hold(fill_from_tags(fix_trailing_articles(clean(tracks))), "clean")
+    out = hold(fill_from_tags(fix_trailing_articles(clean(tracks.repartition("path")))), "clean")
     out = hold(uncomma_artists(out, aliases), "uncomma")
     out = hold(ungroup_artists(out), "ungroup")
     out = hold(merge_similar_artists(out, in_doubles=in_doubles), "merge")
